@@ -29,6 +29,15 @@ PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _PLAIN = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]*)([!-&(-/:-;=?@\[-`{}~]*)")
 
 
+def _byte_letters() -> dict[int, str]:
+    """Latin-1 character -> how byte-level vocabularies spell its UTF-8: visible bytes as themselves,
+    the others as characters from 256 on."""
+    visible = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = iter(range(256, 512))
+    spelt = [chr(b) if b in visible else chr(next(hidden)) for b in range(256)]
+    return {c: "".join(spelt[b] for b in chr(c).encode("utf-8")) for c in range(256)}
+
+
 class WordIds(dict):
     """Word -> row of its token ids in a flat array: a memo of bounded size that one worker keeps.
 
@@ -41,6 +50,7 @@ class WordIds(dict):
 
         super().__init__()
         self.tokenizer, self.end_id, self.limit = Tokenizer.from_str(content), end_id, limit
+        self.model, self.letters = self.tokenizer.model, _byte_letters()
         self.parts: dict[str, tuple] = {}
         self.renew()
 
@@ -57,7 +67,8 @@ class WordIds(dict):
         plain, ids = _PLAIN.fullmatch(word), ()
         for part in (plain[1].lower(), plain[2]) if plain else ():
             if part not in self.parts:
-                self.parts[part] = self.encode(part)
+                # what the tokenizer's own steps leave of such a part is one word for its model
+                self.parts[part] = tuple(t.id for t in self.model.tokenize(part.translate(self.letters)))
             ids += self.parts[part]
         ids = ids if plain else self.encode(word)
         row = self[word] = len(self.first)
