@@ -65,6 +65,29 @@ def slices(batch: pa.RecordBatch, rows: int = 2000):
         yield batch.slice(start, rows)
 
 
+def bitmap(keys: DataFrame, position: Column, bits: int) -> np.ndarray:
+    """A bitmap of ``bits`` bits with those set that ``position`` gives for the rows.
+
+    Positions are gathered as 64-bit words, so at most bits / 64 rows reach the driver.
+    """
+    word = keys.select(position.alias("p")).groupBy(F.expr("p div 64").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("b")).toPandas()
+    out = np.zeros(bits // 64, np.uint64)
+    out[word["w"].to_numpy(np.int64)] = word["b"].to_numpy(np.int64).view(np.uint64)
+    return out
+
+
+def bitmap_bits(n: int, most: int) -> int:
+    """A power of two of about 16 bits for each of ``n`` keys, within a bound."""
+    bits = 1 << 12
+    while bits < min(16 * n, most):
+        bits *= 2
+    return bits
+
+
+def in_bitmap(bits: np.ndarray, at: int) -> bool:
+    return bool(bits[at >> 6] >> np.uint64(at & 63) & np.uint64(1))
+
+
 def runs(values: np.ndarray) -> np.ndarray:
     """Start of every run of equal values in a sorted array."""
     return np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1]))) if len(values) else np.empty(0, np.int64)

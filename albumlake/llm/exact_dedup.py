@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, drop_materialized, materialize, slices, text_or_empty
+from .common import as_bytes, bitmap, bitmap_bits, drop_materialized, in_bitmap, materialize, slices, text_or_empty
 
 PRIMES = (2147483647, 2147483629)
 BASES = (1000003, 998244353)
@@ -64,15 +64,14 @@ def _mask(h1, h2, bits: int):
     return (h1 * 40503 + h2 * 2654435) % bits
 
 
-def _candidate_chunks(bitmap: np.ndarray, bits: int):
+def _candidate_chunks(marked: np.ndarray, bits: int):
     def run(batches):
         for batch in batches:
             for part in slices(batch, 500):
                 rows = []
                 for d, text in zip(part.column("doc_id").to_pylist(), as_bytes(part.column("text"))):
                     n, h1, h2 = fingerprint(text)
-                    at = _mask(h1, h2, bits)
-                    if bitmap[at >> 6] >> np.uint64(at & 63) & np.uint64(1):
+                    if in_bitmap(marked, _mask(h1, h2, bits)):
                         rows += [(d, n, h1, h2, i // CHUNK, text[i : i + CHUNK]) for i in range(0, len(text), CHUNK)]
                 cols = list(zip(*rows)) or [()] * 6
                 types = [pa.int64()] * 5 + [pa.binary()]
@@ -100,16 +99,10 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     )
     leader = F.max(F.struct("doc_id", "row"))
     shared = materialize(fps.groupBy(*KEY).agg(F.count("*").alias("n"), leader.alias("leader")).filter("n > 1"))
-    n_groups = shared.count()
-    bits = 1 << 12
-    while bits < min(16 * n_groups, max_bits):
-        bits *= 2
-    at = _mask(F.col("h1"), F.col("h2"), bits)
-    words = shared.groupBy(F.shiftright(at, 6).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast((h1 * 40503 + h2 * 2654435) % {bits} % 64 as int))")).alias("b")).toPandas()
-    bitmap = np.zeros(bits >> 6, np.uint64)
-    bitmap[words["w"].to_numpy(np.int64)] = words["b"].to_numpy(np.int64).view(np.uint64)
-
-    chunks = materialize(src.mapInArrow(_candidate_chunks(bitmap, bits), "doc_id long, n_bytes long, h1 long, h2 long, seq long, chunk binary"))
+    bits = bitmap_bits(shared.count(), max_bits)
+    marked = bitmap(shared, _mask(F.col("h1"), F.col("h2"), bits), bits)
+
+    chunks = materialize(src.mapInArrow(_candidate_chunks(marked, bits), "doc_id long, n_bytes long, h1 long, h2 long, seq long, chunk binary"))
     same_id = F.col("c.doc_id").eqNullSafe(F.col("g.leader.doc_id"))
     on_group = [F.col(f"c.{k}") == F.col(f"g.{k}") for k in KEY]
     heads = chunks.alias("c").join(shared.alias("g"), [*on_group, same_id], "left_semi").dropDuplicates([*KEY, "seq"]).withColumnRenamed("chunk", "head")

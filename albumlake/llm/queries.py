@@ -5,12 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from .exact_dedup import exact_dedup
+from .language_id import language_id
 from .mixing import mix
+from .near_dedup import near_dedup
 from .packing import best_fit_packing
+from .quality_classifier import quality_classifier
 from .quality_rules import quality_rules
+from .secret_scan import secret_scan, span_digest
+from .token_counts import token_counts
 
 
 def tokenizer_path(name: str) -> str:
@@ -31,16 +35,37 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(documents(spark, sf_dir)).drop("row")
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.tiktoken"))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"))
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return span_digest(secret_scan(documents(spark, sf_dir)))
+
+
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four-word shingles, as the query's contract has it; the operator's own default is five."""
+    return near_dedup(documents(spark, sf_dir), k=4).drop("row")
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(documents(spark, sf_dir))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir)).drop("row")
 
 
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_quality_rules, op3_mix_sources, op5_best_fit_packing, op9_exact_dedup)
+    f.__name__: f for f in (op2_quality_rules, op3_mix_sources, op4_token_counts, op5_best_fit_packing, op6_secret_scan, op7_near_dedup, op8_language_id, op9_exact_dedup, op10_quality_classifier)
 }
 
 #: DuckDB SQL for the queries that SQL can express.
