@@ -78,7 +78,7 @@ def _part_of(quota: Column, size: Column, start: Column, length: Column, limit:
     return (passes * length + F.greatest(F.lit(0), F.least(length, rest - start))).cast("long")
 
 
-def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", share: float = 1.5, limit: int = 2, block: int = 16, shards: int = 4096, seed: int = 17) -> DataFrame:
+def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", share: float = 1.5, limit: int = 2, block: int = 16, shards: int = 4096, seed: int = 17, mark: bool = False) -> DataFrame:
     """One row per input row: doc_id, size, source_size, target, taken, source, row.
 
     ``taken`` is the number of words that the mix takes of a document, repeats counted: passes over
@@ -87,7 +87,7 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     ordinary row. Extra columns are ignored. An empty table gives an empty result.
 
     Sources are split over about ``shards`` shards by a hash of the row, in proportion to their
-    documents, so that a source with a third of all rows has a third of the shards.
+    documents (``mark`` adds text_sha256), so that a source with a third of all rows has a third of the shards.
     """
     rows = materialize(
         df.select(
@@ -95,6 +95,7 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
             F.col(id_col).cast("long").alias("doc_id"),
             F.col(source_col).cast("string").alias("source"),
             word_count(text_or_empty(text_col)).alias("size"),
+            *([F.sha2(text_or_empty(text_col), 256).alias("text_sha256")] if mark else []),
         )
     )
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
@@ -126,6 +127,7 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
             "target",
             F.when(F.col("size") == 0, F.lit(0)).otherwise(_part_of(F.col("shard_quota") * block, F.col("shard_size"), F.col("start"), F.col("size"), limit)).cast("long").alias("taken"),
             F.col("d.source").alias("source"),
+            *rows.columns[4:],
             "row",
         )
     )

@@ -57,7 +57,7 @@ def _mark(s: np.ndarray) -> tuple[int, int]:
     return int.from_bytes(x[:8], "little", signed=True), int.from_bytes(x[8:], "little", signed=True)
 
 
-def _signed(k: int):
+def _signed(k: int, names: list[str]):
     def run(batches):
         for batch in batches:
             for part in slices(batch, 300):
@@ -71,7 +71,7 @@ def _signed(k: int):
                     pa.array([m[1] for m in marks], pa.int64()),
                     pa.array([next(sig) if len(s) else [] for s in sets], pa.list_(pa.int32())),
                 ]
-                yield pa.RecordBatch.from_arrays([part.column("row"), part.column("doc_id"), *cols], names=["row", "doc_id", "n", "f1", "f2", "sig"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), *cols], names=[*names, "n", "f1", "f2", "sig"])
 
     return run
 
@@ -239,7 +239,7 @@ def _meet(clumps: DataFrame, reps: DataFrame, sets: DataFrame, edges: DataFrame,
         n_pivots *= 4
 
 
-def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, trees: int = 12, small: int = 48, max_bits: int = 1 << 27) -> DataFrame:
+def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, trees: int = 12, small: int = 48, max_bits: int = 1 << 27, mark: bool = False) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept, row.
 
     Documents are linked when 100 * intersection >= percent * union of their shingle sets;
@@ -251,10 +251,14 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     A pair at the threshold shares a child with probability .8 at each of 15 chosen positions of
     the first level, so with 12 trees nearly none are lost there; pairs that a node of more than
     ``small`` documents holds together branch on and meet in at least one tree with high
-    probability. Neither partners nor candidates are capped.
+    probability. ``mark`` adds text_sha256. Neither partners nor candidates are capped.
     """
     src = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    signed = materialize(src.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").mapInArrow(_signed(k), "row long, doc_id long, n long, f1 long, f2 long, sig array<int>"))
+    marks = [F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256")] if mark else []
+    named = src.select(F.monotonically_increasing_id().alias("row"), "doc_id", *marks, "text")
+    names = named.columns[:-1]
+    schema = "row long, doc_id long" + ", text_sha256 string" * mark + ", n long, f1 long, f2 long, sig array<int>"
+    signed = materialize(named.mapInArrow(_signed(k, names), schema))
     full = signed.filter("n > 0")
     first = F.min_by("row", F.struct(F.col("doc_id").isNull(), "doc_id", "row"))
     classes = materialize(full.groupBy("f1", "f2").agg(F.min("row").alias("rep"), F.min("doc_id").alias("least"), first.alias("first")))
@@ -288,5 +292,6 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
         F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
         F.when(F.col("n") > 0, F.col("row") == F.col("keep_row")).otherwise(F.lit(True)).alias("kept"),
+        *names[2:],
         "row",
     )

@@ -10,6 +10,7 @@ from .exact_dedup import exact_dedup
 from .language_id import language_id
 from .mixing import mix
 from .near_dedup import near_dedup
+from .ngram_lm import lm_scores
 from .packing import best_fit_packing
 from .quality_classifier import quality_classifier
 from .quality_rules import quality_rules
@@ -27,6 +28,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(documents(spark, sf_dir))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(documents(spark, sf_dir))
 
@@ -65,7 +70,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_quality_rules, op3_mix_sources, op4_token_counts, op5_best_fit_packing, op6_secret_scan, op7_near_dedup, op8_language_id, op9_exact_dedup, op10_quality_classifier)
+    f.__name__: f for f in (op1_ngram_lm, op2_quality_rules, op3_mix_sources, op4_token_counts, op5_best_fit_packing, op6_secret_scan, op7_near_dedup, op8_language_id, op9_exact_dedup, op10_quality_classifier)
 }
 
 #: DuckDB SQL for the queries that SQL can express.
