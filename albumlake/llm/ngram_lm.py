@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import as_bytes, runs, shared_dir, text_or_empty
 
-BLOCK = 64
+BLOCK = 32
 END = xxhash.xxh3_64_intdigest(b"\n")  # no word has a separator
 TOKENS = 2_000_000  # tokens that a worker holds at once, but for a longer single text
 
@@ -44,7 +44,7 @@ class EliasFano:
     def __init__(self, parts: dict, name: str):
         self.n, self.low_bits = (int(x) for x in parts[f"{name}.shape"])
         self.high, self.low, self.place, self.skip = (parts[f"{name}.{k}"] for k in ("high", "low", "place", "skip"))
-        self.words = np.ndarray((max(len(self.low) - 7, 0),), "<u8", self.low, strides=(1,))
+        self.words = np.ndarray((max(len(self.low) - 7, 0),), "<u8", self.low, strides=(1,))  # from any byte on
 
     @staticmethod
     def parts(values: np.ndarray, name: str) -> dict:
@@ -116,17 +116,17 @@ def relative(ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return ids + np.repeat(np.cumsum(last) - last, ends - starts)
 
 
-def child(level: EliasFano, pointers: EliasFano, parent: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """Index of child ``ids`` of each parent in its level, or -1 (also for parents of -1)."""
-    out = np.full(len(parent), -1, np.int64)
-    ok = np.flatnonzero(parent >= 0)
-    if len(ok):
-        a = pointers.access(parent[ok]).astype(np.int64)
-        b = pointers.access(parent[ok] + 1).astype(np.int64)
-        base = np.where(a > 0, level.access(np.maximum(a - 1, 0)), np.uint64(0))
-        at = level.find(base + ids[ok].astype(np.uint64) + np.uint64(1))
-        out[ok] = np.where((at >= a) & (at < b), at, -1)
-    return out
+def ranges(level: EliasFano, pointers: EliasFano, parent: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First and last + 1 index of the children of each parent, and the base of their numbers."""
+    a, b = pointers.access(np.concatenate([parent, parent + 1])).astype(np.int64).reshape(2, -1)
+    return a, b, np.where(a > 0, level.access(np.maximum(a - 1, 0)), np.uint64(0))
+
+
+def child(level: EliasFano, span: tuple, ids: np.ndarray) -> np.ndarray:
+    """Index in its level of the child ``ids`` within each of the ``ranges``, or -1."""
+    a, b, base = span
+    at = level.find(base + ids.astype(np.uint64) + np.uint64(1))
+    return np.where((at >= a) & (at < b), at, -1)
 
 
 def codes(x: np.ndarray, name: str, up: bool = False) -> dict:
@@ -195,16 +195,15 @@ class Words:
         self.counts = [p["count"] if p else None for p in parts]
         self.n = int(self.base[-1])
 
-    def numbers(self, h: np.ndarray) -> np.ndarray:
-        """The number of each hash; the number of all words for an unknown one."""
-        known, of = np.unique(h, return_inverse=True)
+    def numbers(self, known: np.ndarray) -> np.ndarray:
+        """The numbers of ascending hashes; the number of all words for an unknown one."""
         out = np.full(len(known), self.n, np.int64)
         cut = np.searchsorted(known >> self.shift, np.arange(len(self.hashes) + 1, dtype=np.uint64))
         for s, level in enumerate(self.hashes):
             if level is not None and cut[s] < cut[s + 1]:
                 at = level.find(known[cut[s] : cut[s + 1]] - (np.uint64(s) << self.shift))
                 out[cut[s] : cut[s + 1]] = np.where(at >= 0, at + self.base[s], self.n)
-        return out[of]
+        return out
 
     def count_of(self, number: np.ndarray) -> np.ndarray:
         """Training count of each number; 0 for the unknown."""
@@ -289,10 +288,9 @@ def _write_words(folder: str, shift: int):
     return run
 
 
-def contexts(number: np.ndarray, start: np.ndarray, n_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """The words one and two before each token; before a text stands the number n_words + 1."""
-    begin = n_words + 1
-    v = np.concatenate([[begin], number[:-1]])
+def contexts(word: np.ndarray, start: np.ndarray, begin: int) -> tuple[np.ndarray, np.ndarray]:
+    """The words one and two before each token; before a text stands ``begin``."""
+    v = np.concatenate([[begin], word[:-1]])
     v[start] = begin
     u = np.concatenate([[begin], v[:-1]])
     u[start] = begin
@@ -310,16 +308,21 @@ def _count_triples(model: dict):
         words = worker_kept(model["folder"], lambda: Words(model["folder"], model["shift"], model["sizes"]))
         for texts, _ in pools(batches, []):
             h, start = hashes(texts)
-            w = words.numbers(h)
-            v, u = contexts(w, start, words.n)
+            known, w = np.unique(h, return_inverse=True)
+            number = np.append(words.numbers(known), words.n + 1)  # ascending, as hashes are
+            v, u = contexts(w, start, len(known))
+            bits = len(known).bit_length()
+            if 3 * bits < 64:  # a triple of numbers within this pool as one
+                key, n = np.unique((w << 2 * bits) | (v << bits) | u, return_counts=True)
+                low = (1 << bits) - 1
+                w, v, u = key >> 2 * bits, (key >> bits) & low, key & low
+            else:
+                triple, n = np.unique(np.stack([w, v, u]), axis=1, return_counts=True)
+                w, v, u = triple
+            w, v, u = number[w], number[v], number[u]
             shard = shard_of(w, v, model["shards"])
-            order = np.lexsort((u, v, w, shard))
-            w, v, u, shard = w[order], v[order], u[order], shard[order]
-            new = np.ones(len(w), bool)
-            new[1:] = (w[1:] != w[:-1]) | (v[1:] != v[:-1]) | (u[1:] != u[:-1])
-            at = np.flatnonzero(new)
-            n = np.diff(np.append(at, len(w)))
-            w, v, u, shard = w[at], v[at], u[at], shard[at]
+            order = np.argsort(shard.astype(np.uint16) if model["shards"] <= 1 << 16 else shard, kind="stable")
+            w, v, u, n, shard = w[order], v[order], u[order], n[order], shard[order]
             begin = runs(shard)
             yield _blobs([(int(shard[a]), packed(np.diff(w[a:b], prepend=0), v[a:b], u[a:b], n[a:b])) for a, b in zip(begin, [*begin[1:], len(w)])])
 
@@ -373,27 +376,41 @@ class Tries:
         """Per text: number of tokens, of known ones, base score and model score."""
         model, words = self.model, self.words
         h, start = hashes(texts)
-        w = words.numbers(h)
-        v, u = contexts(w, start, words.n)
-        count = words.count_of(w)
-        log1 = np.log10((count + 1) / (model["tokens"] + words.n + 1))
-        before = np.concatenate([[0], count[:-1]])
-        before[start] = model["docs"]
-        log2 = np.log10(model["m2"]) + log1 - np.log10(before + model["m2"])
+        known, w = np.unique(h, return_inverse=True)
+        number = np.append(words.numbers(known), words.n + 1)
+        seen = words.count_of(number[:-1])
+        count = seen[w]
+        log1 = np.log10((seen + 1) / (model["tokens"] + words.n + 1))[w]
+        v, u = contexts(w, start, len(known))
+        log2 = np.log10(model["m2"]) + log1 - np.log10(np.append(seen, model["docs"]) + model["m2"])[v]
         mass = np.full(len(w), np.nan)  # of (v, w) as a context
         log3 = np.full(len(w), np.nan)
-        shard = shard_of(w, v, model["shards"])
-        order = np.lexsort((v, w, shard))
-        cut = np.searchsorted(shard[order], np.arange(model["shards"] + 1))
+        bits = np.uint64(len(known).bit_length())
+        shard = shard_of(number[w], number[v], model["shards"])
+        key = (shard.astype(np.uint64) << 2 * bits) | (w.astype(np.uint64) << bits) | v.astype(np.uint64)
+        order = np.argsort(key)
+        key = key[order]
+        cut = np.searchsorted(key >> 2 * bits, np.arange(model["shards"] + 1, dtype=np.uint64))
         for s, it in enumerate(self.shards):
             if it is None or cut[s] == cut[s + 1]:
                 continue
             part, level1, to2, level2, to3, level3 = it
-            of = order[cut[s] : cut[s + 1]]
-            at2 = child(level2, to2, level1.find(w[of].astype(np.uint64)), v[of])
-            of, at2 = of[at2 >= 0], at2[at2 >= 0]
-            log2[of], mass[of] = decoded(part, "p2", at2), decoded(part, "mass", at2)
-            at3 = child(level3, to3, at2, u[of])
+            of, own = order[cut[s] : cut[s + 1]], key[cut[s] : cut[s + 1]]
+            pair = runs(own)  # where the tokens of each distinct (w, v) begin
+            word = runs(own[pair] >> bits)  # and, among these, those of each w
+            at1 = level1.find(number[w[of[pair[word]]]].astype(np.uint64))
+            ok1 = np.repeat(at1 >= 0, np.diff(np.append(word, len(pair))))
+            size, n2 = np.diff(np.append(pair, len(own))), np.diff(np.append(word, len(pair)))[at1 >= 0]
+            span = ranges(level2, to2, at1[at1 >= 0]) if ok1.any() else ()
+            at2 = np.full(len(pair), -1, np.int64)
+            if ok1.any():
+                at2[ok1] = child(level2, tuple(np.repeat(x, n2) for x in span), number[v[of[pair[ok1]]]])
+            ok2 = at2 >= 0
+            if not ok2.any():
+                continue
+            of, at2, n3 = of[np.repeat(ok2, size)], at2[ok2], size[ok2]
+            log2[of], mass[of] = np.repeat(decoded(part, "p2", at2), n3), np.repeat(decoded(part, "mass", at2), n3)
+            at3 = child(level3, tuple(np.repeat(x, n3) for x in ranges(level3, to3, at2)), number[u[of]])
             log3[of[at3 >= 0]] = decoded(part, "p3", at3[at3 >= 0])
         context = np.concatenate([[0], mass[:-1]])
         context[start] = np.log10(model["docs"] + model["m3"])
