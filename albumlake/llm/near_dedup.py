@@ -3,9 +3,12 @@
 A document is the set of its shingles and carries their minwise signature. Documents with equal
 sets are one class. In each of several independent trees, documents branch by the values at a few
 signature positions that the node chooses, about 1 / similarity of them; nodes that are still large
-branch again. Small nodes are compared exhaustively. What stays large at the last level is made of
-documents alike: there a few pivots are compared with all others, and more of them while a node
-holds documents of different components that haven't met. Links are confirmed on the full sets.
+branch again. Small nodes are compared exhaustively. Every few levels a pivot of each large node is
+compared with its other documents, and a node whose documents are one component by then is done; so
+a large group of copies doesn't branch on for ever. Rows whose shingles are too rare for any link in
+their node, by an exact bound, leave it before. Nodes that are large and mixed even at the last
+level are compared by pivots until all documents of different components have met. Links are
+confirmed on the full sets.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import as_bytes, bitmap, bitmap_bits, drop_materialized, in_bitmap, materialize, runs, slices
 
 WIDTH = 32  # signature positions
-LEVELS = 6
+STRIDE, LEVELS = 3, 6  # levels between two looks at large nodes, and in all
 _MULTIPLIERS = np.random.default_rng(7).integers(1, 2**63, WIDTH, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -150,24 +153,36 @@ def branch(at: DataFrame, trees: int | None = None) -> DataFrame:
     return at.select(F.xxhash64("node", "p", F.get("sig", F.col("p"))).alias("node"), "row")
 
 
-def grow(reps: DataFrame, trees: int, small: int) -> tuple[DataFrame, DataFrame | None]:
-    """(node, row) of all small nodes with company, and of the nodes that stay large to the end."""
-    rows, done, clumps = branch(reps, trees), [], None
-    for level in range(1, LEVELS + 1):
+def grow(rows: DataFrame, reps: DataFrame, small: int, levels: int) -> tuple[DataFrame, DataFrame | None]:
+    """(node, row) of all small nodes with company within some levels, and of the nodes that are
+    large after them."""
+    done: list[DataFrame] = []
+    for level in range(levels):
         counts = materialize(rows.groupBy("node").agg(F.count("*").alias("size")).filter("size > 1"))
         done.append(materialize(rows.join(counts.filter(F.col("size") <= small).select("node"), "node", "left_semi")))
         large = counts.filter(F.col("size") > small).select("node")
-        if large.isEmpty():
+        stay = None if large.isEmpty() else materialize(rows.join(large, "node", "left_semi").select("node", "row"))
+        if stay is None:
             break
-        stay = materialize(rows.join(large, "node", "left_semi").select("node", "row"))
-        if level == LEVELS:
-            clumps = stay
-        else:
-            rows = branch(stay.join(reps.select("row", "sig"), "row"))
-    small_nodes = done[0]
+        rows = branch(stay.join(reps.select("row", "sig"), "row"))
+    out = done[0]
     for d in done[1:]:
-        small_nodes = small_nodes.unionByName(d)
-    return small_nodes, clumps
+        out = out.unionByName(d)
+    return out, stay
+
+
+def candidates(small_nodes: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs (a, b) that meet in a small node and may be similar."""
+    tasks = int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    gathered = small_nodes.join(reps.select("row", "n", "sig"), "row").repartition(tasks, "node").sortWithinPartitions("node")
+    return materialize(gathered.mapInArrow(_pairs_in_nodes(percent / 100), "a long, b long").distinct())
+
+
+def apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs whose ends aren't in one component yet."""
+    for end in ("a", "b"):
+        pairs = pairs.join(labels.select(F.col("row").alias(end), F.col("label").alias(f"l{end}")), end, "left")
+    return pairs.filter(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -200,45 +215,105 @@ def components(edges: DataFrame) -> DataFrame:
     return labels
 
 
-def _meet(clumps: DataFrame, reps: DataFrame, sets: DataFrame, edges: DataFrame, percent: int) -> DataFrame:
-    """Edges within large nodes: pivots against all, until all pairs of different components have met.
+def mixed(nodes: DataFrame, labels: DataFrame) -> DataFrame:
+    """(node, row, label, main) of the nodes that hold more than one component; main is the largest."""
+    at = nodes.join(labels, "row", "left").select("node", "row", F.coalesce("label", "row").alias("label"))
+    parts = at.groupBy("node", "label").agg(F.count("*").alias("size"))
+    largest = parts.groupBy("node").agg(F.max(F.struct("size", "label")).alias("m"), F.count("*").alias("parts")).filter("parts > 1")
+    return materialize(at.join(largest.select("node", F.col("m.label").alias("main")), "node"))
+
 
-    In a node, the rows outside its largest component become pivots, 8 in the first round and four
-    times as many in each further one; rows of the pivot's own component needn't be compared.
+def cores(nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """(row, n, core) of the nodes' rows: core is how many of a set's n shingles any other row has.
+
+    Two rows share at most the smaller core, so their similarity is at most
+    core / (n + n' - core): an exact bound from two numbers each.
     """
-    met, share, n_pivots = None, percent / 100, 8
+    own = sets.join(nodes.select("row").distinct(), "row", "left_semi")
+    alone = own.select("row", F.explode("members").alias("s")).groupBy("s").agg(F.count("*").alias("df"), F.min("row").alias("row")).filter("df = 1")
+    single = alone.groupBy("row").agg(F.count("*").alias("alone"))
+    n = F.size("members").cast("long")
+    return materialize(own.select("row", n.alias("n")).join(single, "row", "left").select("row", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("core")))
+
+
+def linkable(nodes: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """Rows of the nodes that may be similar to some other row there, by the bound of ``cores``."""
+    at = nodes.join(known, "row").filter(100 * F.col("core") >= percent * F.col("n"))
+    least = at.groupBy("node").agg(F.min("n").alias("least"))
+    return materialize(at.join(least, "node").filter(100 * F.col("core") >= percent * (F.col("least") + F.col("n") - F.col("core"))).select("node", "row"))
+
+
+def _screened(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs that signatures leave similar."""
+    part = lambda e: reps.select(F.col("row").alias(e), F.col("sig").alias(f"s{e}"))
+    same = F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda x: x))
+    return pairs.distinct().join(part("a"), "a").join(part("b"), "b").filter(same >= (percent / 100 - 0.3) * WIDTH).select("a", "b")
+
+
+def against(open_rows: DataFrame, pivots: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """Pairs of each node's pivots (node, pivot, own) with its rows of other components that the
+    bound of ``cores`` leaves. Pivots travel as one array per node and meet a row once, however many
+    nodes they share."""
+    p = pivots.join(known.withColumnRenamed("row", "pivot"), "pivot")
+    per_node = p.groupBy("node").agg(F.collect_list(F.struct("pivot", "own", "n", "core")).alias("ps"))
+    met = open_rows.join(per_node, "node").groupBy("row", "label").agg(F.array_distinct(F.flatten(F.collect_list("ps"))).alias("ps")).join(known, "row")
+
+    def possible(x):
+        shared = F.least(x["core"], F.col("core"), x["n"], F.col("n"))
+        return (x["own"] != F.col("label")) & (100 * shared >= percent * (x["n"] + F.col("n") - shared))
+
+    left = met.select("row", F.explode(F.transform(F.filter("ps", possible), lambda x: x["pivot"])).alias("pivot"))
+    return left.select(F.least("row", "pivot").alias("a"), F.greatest("row", "pivot").alias("b"))
+
+
+def _chosen(rows: DataFrame, seed: int, n: int) -> DataFrame:
+    """The same rows in all nodes that hold them, as far as possible: those with the smallest hashes."""
+    rank = F.row_number().over(Window.partitionBy("node").orderBy(F.xxhash64("row", F.lit(seed)), "row"))
+    return rows.withColumn("r", rank).filter(F.col("r") <= n).select("node", F.col("row").alias("pivot"), F.col("label").alias("own"))
+
+
+def _meet(nodes: DataFrame, reps: DataFrame, sets: DataFrame, known: DataFrame, edges: DataFrame, percent: int) -> DataFrame:
+    """Edges within large mixed nodes: pivots against all, until all pairs of different components
+    have met. Rows outside the largest component are pivots, 8 a node and then four times as many in
+    each round; rows of the pivot's own component needn't be compared."""
+    met, n_pivots = None, 8
     while True:
-        labels = components(edges)
-        at = clumps.join(labels, "row", "left").select("node", "row", F.coalesce("label", "row").alias("label"))
-        parts = at.groupBy("node", "label").agg(F.count("*").alias("size"))
-        largest = parts.groupBy("node").agg(F.max(F.struct("size", "label")).alias("m"), F.count("*").alias("parts")).filter("parts > 1")
-        open_rows = materialize(at.join(largest.select("node", F.col("m.label").alias("main")), "node"))
+        open_rows = mixed(nodes, components(edges))
         fresh = open_rows.filter(F.col("label") != F.col("main"))
         if met is not None:
             fresh = fresh.join(met, ["node", "row"], "left_anti")
-        rank = F.row_number().over(Window.partitionBy("node").orderBy(F.xxhash64("row", F.lit(n_pivots)), "row"))
-        pivots = materialize(fresh.withColumn("r", rank).filter(F.col("r") <= n_pivots).select("node", F.col("row").alias("pivot"), F.col("label").alias("own")))
+        pivots = materialize(_chosen(fresh, n_pivots, n_pivots))
         if pivots.isEmpty():
             return edges
-        facts = reps.select("row", "n", "sig")
-        pairs = (
-            open_rows.join(pivots, "node")
-            .filter(F.col("label") != F.col("own"))
-            .select(F.least("row", "pivot").alias("a"), F.greatest("row", "pivot").alias("b"))
-            .distinct()
-            .join(facts.select(F.col("row").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa")), "a")
-            .join(facts.select(F.col("row").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb")), "b")
-            .filter(F.least("na", "nb") >= share * F.greatest("na", "nb"))
-            .filter(F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda x: x)) >= (share - 0.3) * WIDTH)
-            .select("a", "b")
-        )
-        found = confirm(pairs, sets, percent)
+        found = confirm(_screened(against(open_rows, pivots, known, percent), reps, percent), sets, percent)
         edges = materialize(edges.unionByName(found).distinct())
         now = pivots.select("node", F.col("pivot").alias("row"))
         met = materialize(now if met is None else met.unionByName(now))
         n_pivots *= 4
 
 
+def link(pairs: DataFrame, nodes: DataFrame | None, reps: DataFrame, sets: DataFrame, small: int, percent: int) -> DataFrame:
+    """All links: of the pairs from small nodes, and of what large nodes still hide."""
+    edges, level = confirm(pairs, sets, percent), STRIDE
+    if nodes is not None:
+        known = cores(nodes, sets)
+        nodes = linkable(nodes, known, percent)
+    while nodes is not None:
+        open_rows = mixed(nodes, components(edges))
+        pivots = _chosen(open_rows.filter(F.col("label") == F.col("main")), level, 1)
+        edges = materialize(edges.unionByName(confirm(_screened(against(open_rows, pivots, known, percent), reps, percent), sets, percent)).distinct())
+        open_rows = mixed(nodes, components(edges)).select("node", "row")
+        if open_rows.isEmpty():
+            break
+        if level >= LEVELS:
+            return _meet(open_rows, reps, sets, known, edges, percent)
+        few, nodes = grow(branch(open_rows.join(reps.select("row", "sig"), "row")), reps, small, STRIDE)
+        new = apart(candidates(few, reps, percent), components(edges))
+        edges = materialize(edges.unionByName(confirm(new, sets, percent)).distinct())
+        level += STRIDE
+    return edges
+
+
 def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, trees: int = 12, small: int = 48, max_bits: int = 1 << 27, mark: bool = False) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept, row.
 
@@ -264,23 +339,18 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     classes = materialize(full.groupBy("f1", "f2").agg(F.min("row").alias("rep"), F.min("doc_id").alias("least"), first.alias("first")))
     reps = materialize(full.join(classes.select(F.col("rep").alias("row")), "row", "left_semi").select("row", "n", "f1", "f2", "sig"))
 
-    small_nodes, clumps = grow(reps, trees, small)
-    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    gathered = small_nodes.join(reps.select("row", "n", "sig"), "row").repartition(tasks, "node").sortWithinPartitions("node")
-    pairs = materialize(gathered.mapInArrow(_pairs_in_nodes(percent / 100), "a long, b long").distinct())
-
+    small_nodes, nodes = grow(branch(reps, trees), reps, small, STRIDE)
+    pairs = candidates(small_nodes, reps, percent)
     used = pairs.select(F.col("a").alias("row")).union(pairs.select("b"))
-    if clumps is not None:
-        used = used.union(clumps.select("row"))
+    if nodes is not None:
+        used = used.union(nodes.select("row"))
     wanted = materialize(reps.select("row", "f1", "f2").join(used.distinct(), "row", "left_semi"))
     bits = bitmap_bits(wanted.count(), max_bits)
     marked = bitmap(wanted, F.col("f1").bitwiseAND(F.lit(bits - 1)), bits)
     found = src.select("text").mapInArrow(_wanted_sets(marked, bits, k), "f1 long, f2 long, members array<long>")
     sets = materialize(found.join(wanted, ["f1", "f2"]).groupBy("row").agg(F.first("members").alias("members")))
 
-    edges = confirm(pairs, sets, percent)
-    if clumps is not None:
-        edges = _meet(clumps, reps, sets, edges, percent)
+    edges = link(pairs, nodes, reps, sets, small, percent)
     drop_materialized(sets)
     labels = components(edges)
     by_class = classes.join(labels.withColumnRenamed("row", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
