@@ -45,7 +45,7 @@ class WordIds(dict):
     "\\n", which is no word, is the end of a document.
     """
 
-    def __init__(self, content: str, end_id: int, limit: int = 700_000):
+    def __init__(self, content: str, end_id: int, limit: int = 300_000):
         from tokenizers import Tokenizer
 
         super().__init__()
@@ -79,7 +79,7 @@ class WordIds(dict):
 
     def texts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each with its end, in one array; number of ids per text."""
-        if len(self) > self.limit:
+        if len(self) + len(self.parts) > self.limit:
             self.renew()
         words, sizes = [], np.zeros(len(texts), np.int64)
         for i, t in enumerate(texts):
