@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from .common import as_bytes, runs, shared_dir, text_or_empty
 
 BLOCK = 32
+WINDOW = np.uint64((1 << 56) - 1)
 END = xxhash.xxh3_64_intdigest(b"\n")  # no word has a separator
 TOKENS = 2_000_000  # tokens that a worker holds at once, but for a longer single text
 
@@ -45,6 +46,8 @@ class EliasFano:
         self.n, self.low_bits = (int(x) for x in parts[f"{name}.shape"])
         self.high, self.low, self.place, self.skip = (parts[f"{name}.{k}"] for k in ("high", "low", "place", "skip"))
         self.words = np.ndarray((max(len(self.low) - 7, 0),), "<u8", self.low, strides=(1,))  # from any byte on
+        self.bits = np.ndarray((len(self.high) - 7,), "<u8", self.high, strides=(1,))
+        self.n_bits = int(self.place[-1])
 
     @staticmethod
     def parts(values: np.ndarray, name: str) -> dict:
@@ -63,47 +66,75 @@ class EliasFano:
             low.append(np.packbits(each.astype(bool).ravel(), bitorder="little"))
         return {
             f"{name}.shape": np.array([n, low_bits], np.int64),
-            f"{name}.high": np.packbits(bits, bitorder="little"),
+            f"{name}.high": np.concatenate([np.packbits(bits, bitorder="little"), np.zeros(8, np.uint8)]),
             f"{name}.low": np.concatenate([*low, np.zeros(8, np.uint8)]),
             f"{name}.place": np.append(high[::BLOCK], len(bits)).astype(np.int64),
             f"{name}.skip": values[::BLOCK],
         }
 
-    def blocks(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(index, value) of all numbers in the given distinct, ascending blocks."""
-        start, end = self.place[which], self.place[which + 1]
-        first, n_bytes = start >> 3, ((end + 7) >> 3) - (start >> 3)
-        total = np.cumsum(n_bytes)
-        byte = np.repeat(first - (total - n_bytes), n_bytes) + np.arange(total[-1])
-        ones = np.flatnonzero(np.unpackbits(self.high[byte], bitorder="little"))
-        place = (byte[ones >> 3] << 3) + (ones & 7)
-        of = np.repeat(np.arange(len(which)), n_bytes)[ones >> 3]
-        place = place[(place >= start[of]) & (place < end[of])]
-        size = np.minimum(self.n - which * BLOCK, BLOCK)
-        ends = np.cumsum(size)
-        index = np.repeat(which * BLOCK - (ends - size), size) + np.arange(ends[-1])
-        value = (place - index).astype(np.uint64) << np.uint64(self.low_bits)
-        if self.low_bits:
-            at = index * self.low_bits
-            value |= (self.words[at >> 3] >> (at & 7).astype(np.uint64)) & np.uint64((1 << self.low_bits) - 1)
-        return index, value
+    def _nth(self, start: np.ndarray, r: np.ndarray, zeros: bool) -> np.ndarray:
+        """Place of the r-th (from 0) one, or zero, at or after bit ``start`` of the high bits."""
+        out, todo = np.empty(len(start), np.int64), np.arange(len(start))
+        while len(todo):
+            w = (self.bits[start >> 3] >> (start & 7).astype(np.uint64)) & WINDOW
+            if zeros:
+                w ^= WINDOW
+            n = np.bitwise_count(w).astype(np.int64)
+            here = r < n
+            x, k, place = w[here], r[here], start[here].copy()
+            for width in (32, 16, 8, 4, 2, 1):
+                low = np.bitwise_count(x & np.uint64((1 << width) - 1))
+                up = k >= low
+                k -= np.where(up, low, 0)
+                x >>= up.astype(np.uint64) * np.uint64(width)
+                place += up * width
+            out[todo[here]] = place
+            start, r, todo = start[~here] + 56, (r - n)[~here], todo[~here]
+        return out
+
+    def _low(self, index: np.ndarray) -> np.ndarray:
+        at = index * self.low_bits
+        return (self.words[at >> 3] >> (at & 7).astype(np.uint64)) & np.uint64((1 << self.low_bits) - 1)
+
+    def _value(self, index: np.ndarray, place: np.ndarray) -> np.ndarray:
+        return ((place - index).astype(np.uint64) << np.uint64(self.low_bits)) | self._low(index)
 
     def access(self, index: np.ndarray) -> np.ndarray:
-        which, of = np.unique(index // BLOCK, return_inverse=True)
-        value = self.blocks(which)[1]
-        return value[of * BLOCK + index % BLOCK]  # only the last block is shorter
+        return self._value(index, self._nth(self.place[index // BLOCK], index % BLOCK, False))
+
+    def pair(self, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each number and the next one, which is the next one bit."""
+        place = self._nth(self.place[index // BLOCK], index % BLOCK, False)
+        w = (self.bits[(place + 1) >> 3] >> ((place + 1) & 7).astype(np.uint64)) & WINDOW
+        after = place + 1 + np.bitwise_count(~w & (w - np.uint64(1)))
+        far = w == 0
+        after[far] = self._nth(place[far] + 1, np.zeros(int(far.sum()), np.int64), False)
+        return self._value(index, place), self._value(index + 1, after)
 
     def find(self, value: np.ndarray) -> np.ndarray:
-        """Index of each value, -1 where there is none."""
+        """Index of each value, -1 where there is none.
+
+        From the block before it, as many zeros are passed as its high part asks for; what follows
+        are the numbers with that high part, in order.
+        """
         out = np.full(len(value), -1, np.int64)
-        if not self.n or not len(value):
-            return out
         block = np.searchsorted(self.skip, value, "right") - 1
-        ok = np.flatnonzero(block >= 0)
-        if len(ok):
-            index, known = self.blocks(np.unique(block[ok]))
-            at = np.minimum(np.searchsorted(known, value[ok]), len(known) - 1)
-            out[ok] = np.where(known[at] == value[ok], index[at], -1)
+        high = (value >> np.uint64(self.low_bits)).astype(np.int64)
+        todo = np.flatnonzero((block >= 0) & (high <= self.n_bits - self.n))
+        start, high = self.place[block[todo]], high[todo]
+        zeros = high - (start - block[todo] * BLOCK)
+        place = start.copy()
+        some = zeros > 0
+        place[some] = self._nth(start[some], zeros[some] - 1, True) + 1
+        low = value[todo] & np.uint64((1 << self.low_bits) - 1)
+        while len(todo):
+            one = (place < self.n_bits) & ((self.high[place >> 3] >> (place & 7).astype(np.uint8)) & 1 > 0)
+            todo, place, high, low = todo[one], place[one], high[one], low[one]
+            known = self._low(place - high)
+            same = known == low
+            out[todo[same]] = (place - high)[same]
+            on = known < low
+            todo, place, high, low = todo[on], place[on] + 1, high[on], low[on]
         return out
 
 
@@ -118,7 +149,7 @@ def relative(ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 def ranges(level: EliasFano, pointers: EliasFano, parent: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First and last + 1 index of the children of each parent, and the base of their numbers."""
-    a, b = pointers.access(np.concatenate([parent, parent + 1])).astype(np.int64).reshape(2, -1)
+    a, b = (x.astype(np.int64) for x in pointers.pair(parent))
     return a, b, np.where(a > 0, level.access(np.maximum(a - 1, 0)), np.uint64(0))
 
 

@@ -168,6 +168,8 @@ def test_elias_fano(values):
     ef = G.EliasFano(G.EliasFano.parts(np.array(values, np.uint64), "x"), "x")
     at = np.arange(len(values))
     assert ef.access(at[::-1].copy()).tolist() == values[::-1]
+    if len(values) > 1:
+        assert [x.tolist() for x in ef.pair(at[:-1])] == [values[:-1], values[1:]]
     asked = np.array(sorted({*values, 0, values[-1] + 1, values[0] + 1}), np.uint64)
     for v, i in zip(asked.tolist(), ef.find(asked)):
         assert (values[i] == v) if v in set(values) else i == -1
