@@ -1,17 +1,20 @@
 """Secret scans with a recursive decoding worklist.
 
 A text is the first layer. Every layer is scanned, then unwrapped: URL escapes and Unicode escapes
-give a rewritten layer; every run of base64 that decodes to text, or to compressed text, gives a
-layer of its own. Layers go on a worklist until none is new; a text that was a layer before is not
-taken again, which ends cycles. Each layer knows which characters of the original its own came from.
+give a rewritten layer; every run of base64 gives a layer of its own, or layers of what its compressed
+data unpacks to. Bytes that are no text stay in a layer as lone surrogates, which no pattern takes.
+A line break within base64 is read both as the run's end and as a wrap. Layers go on a worklist until
+none is new; a text that was a layer of the same place before is not taken again, which ends cycles.
+Each layer knows which characters of the original its own came from.
 """
 
 from __future__ import annotations
 
-import base64
 import binascii
+import hashlib
 import re
 import zlib
+from itertools import accumulate, chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,7 +31,15 @@ _HINTS = (b"passw", b"secret", b"token", b"apikey", b"api_key")
 
 _URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _UNICODE = re.compile(r"\\u[0-9A-Fa-f]{4}|\\u\{[0-9A-Fa-f]{1,6}\}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};")
-_BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+#: Runs of base64 over single line breaks; shorter ones than 16 characters are left out later.
+_BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]{16,}+|[A-Za-z0-9+/_-]++(?=[\r\n]))(?:(?:\r\n?|\n)[A-Za-z0-9+/_-]+)*={0,2}")
+_LINE = re.compile(r"[A-Za-z0-9+/_-]+")
+_STANDARD = bytes.maketrans(b"-_", b"+/")
+#: What every layer has that holds a secret or can be unwrapped further.
+_WORTH = re.compile(rb"[A-Za-z0-9+/_.=-]{8}|%[0-9A-Fa-f]{2}|\\[ux]|&#|[A-Za-z0-9+/_-][\r\n][\nA-Za-z0-9+/_-]")
+#: Ends of these are in no secret, escape or base64 of a text or of what its escapes stand for.
+_CUT = re.compile(rb"[\x00-\x09\x0b\x0c\x0e-\x1f!$()*,<>?@\[\]^`|~\x7f]|[\x80-\xff](?=[\x00-\x7f\xc0-\xff])|(?<=[a-z]{3})\x20(?=[A-Za-z0-9])")
+_PART = 1 << 16
 
 SCHEMA = "doc_id long, found array<struct<kind:string,start:int,end:int,base:boolean,via:string,value:string>>"
 
@@ -45,12 +56,15 @@ def scan(text: str) -> list[tuple[str, int, int]]:
 
 
 class Layer:
-    """A text whose character i comes from characters spans[i] of the original (None: itself)."""
+    """A text whose character i comes from characters spans[i] of the original (None: itself; a
+    tuple: every character from that one span)."""
 
-    def __init__(self, text: str, spans: list[tuple[int, int]] | None, via: str):
+    def __init__(self, text: str, spans: list[tuple[int, int]] | tuple[int, int] | None, via: str):
         self.text, self.spans, self.via = text, spans, via
 
     def origin(self, start: int, end: int) -> tuple[int, int]:
+        if isinstance(self.spans, tuple):
+            return self.spans
         if self.spans is None or start >= end:
             return start, end
         return min(s for s, _ in self.spans[start:end]), max(e for _, e in self.spans[start:end])
@@ -73,17 +87,13 @@ def _rewritten(layer: Layer, pattern: re.Pattern, decode, via: str) -> Layer | N
         return None
     text.append(layer.text[at:])
     spans += [layer.origin(i, i + 1) for i in range(at, len(layer.text))]
-    return Layer("".join(text), spans, f"{layer.via}>{via}" if layer.via else via)
+    return Layer("".join(text), layer.spans if isinstance(layer.spans, tuple) else spans, f"{layer.via}>{via}" if layer.via else via)
 
 
 def _url(run: str):
-    try:
-        chars = bytes.fromhex(run.replace("%", "")).decode("utf-8")
-    except UnicodeDecodeError:
-        return None
     out, at = [], 0
-    for c in chars:
-        n = 3 * len(c.encode("utf-8"))
+    for c in bytes.fromhex(run.replace("%", "")).decode("utf-8", "surrogateescape"):
+        n = 3 * len(c.encode("utf-8", "surrogateescape"))
         out.append((c, at, at + n))
         at += n
     return out
@@ -95,71 +105,172 @@ def _unicode(run: str):
     return None if code > 0x10FFFF or 0xD800 <= code < 0xE000 else [(chr(code), 0, len(run))]
 
 
-def _readable(data: bytes) -> str | None:
-    try:
-        text = data.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    return text if text and text.translate({9: None, 10: None, 13: None}).isprintable() else None
-
-
-def _inflated(data: bytes, limit: int) -> bytes | None:
-    """Whatever gzip or zlib data unpacks to, at most ``limit`` bytes of it."""
+def _packed(data: bytes) -> bool:
+    """Whether gzip or zlib data begins here, as far as its first part shows."""
     if data[:2] != b"\x1f\x8b" and not (data[:1] == b"\x78" and len(data) > 2 and int.from_bytes(data[:2], "big") % 31 == 0):
-        return None
+        return False
     try:
-        return zlib.decompressobj(47).decompress(data, limit)
+        zlib.decompressobj(47).decompress(data[:_PART], _PART)
     except zlib.error:
-        return None
+        return False
+    return True
 
 
-def _unpacked(layer: Layer, limit: int):
-    """A layer for each base64 run that holds text, packed or not."""
+def _parts(data: bytes):
+    return (data[i : i + _PART] for i in range(0, len(data), _PART))
+
+
+def _inflated(parts, size: list[int] | None = None):
+    """What all gzip or zlib members unpack to, in small parts, then what lies behind them.
+
+    A fault ends it. ``size`` gets the number of bytes that the members take.
+    """
+    held, unpack, read = b"", None, 0
+    parts = iter(parts)
+    for part in parts:
+        held, read = held + part, read + len(part)
+        while held:
+            if unpack is None:
+                if not _packed(held):
+                    yield b"\0" + held
+                    yield from parts
+                    return
+                unpack = zlib.decompressobj(47)
+            try:
+                out = unpack.decompress(held, _PART)
+            except zlib.error:
+                return
+            if out:
+                yield out
+            held = unpack.unused_data if unpack.eof else unpack.unconsumed_tail
+            if size is not None:
+                size[:] = [read - len(held)]
+            if unpack.eof:
+                unpack = None
+    if unpack is not None:
+        yield unpack.flush()
+
+
+def _stream(data: bytes):
+    """(parts of what packed data unpacks to, how many times it was packed)."""
+    parts, depth, heads = _parts(data), 0, set()
+    head = next(parts, b"")
+    while _packed(head) and head not in heads:
+        heads.add(head)
+        parts = _inflated(chain([head], parts))
+        head, depth = next(parts, b""), depth + 1
+    return chain([head], parts), depth
+
+
+def _pieces(parts, room: int):
+    """The parts joined to pieces of about ``room`` bytes, cut only where nothing is cut in two."""
+    held, size = [], 0
+    for part in parts:
+        held.append(part)
+        size += len(part)
+        if size >= room and (cuts := [m.end() for m in _CUT.finditer(part)]):
+            yield b"".join(held[:-1]) + part[: cuts[-1]]
+            held = [part[cuts[-1] :]]
+            size = len(held[0])
+    yield b"".join(held)
+
+
+def _bytes(layer: Layer, lines: list[tuple[int, int]]) -> bytes:
+    """What lines of base64 hold; a last character that completes no byte is left out."""
+    run = "".join(layer.text[a:b] for a, b in lines).encode().translate(_STANDARD)
+    run = run[: len(run) - (len(run) % 4 == 1)]
+    return binascii.a2b_base64(run + b"=" * (-len(run) % 4))
+
+
+def _plain(layer: Layer, lines: list[tuple[int, int]], data: bytes, via: str):
+    """A layer of the data, whose byte b lies in the characters of its six-bit groups."""
+    if _WORTH.search(data):
+        at, spans, b = [i for line in lines for i in range(*line)], [], 0
+        text = data.decode("utf-8", "surrogateescape")
+        for c in text:
+            n = len(c.encode("utf-8", "surrogateescape"))
+            spans.append(layer.origin(at[b * 8 // 6], at[((b + n) * 8 - 1) // 6] + 1))
+            b += n
+        yield Layer(text, layer.spans if isinstance(layer.spans, tuple) else spans, via)
+
+
+def _streamed(layer: Layer, data: bytes, span: tuple[int, int], via: str, room: int):
+    """Layers of what packed data unpacks to, all of whose characters come from its run."""
+    parts, depth = _stream(data)
+    whole = layer.origin(*span)
+    for piece in _pieces(parts, room):
+        if _WORTH.search(piece):
+            yield Layer(piece.decode("utf-8", "surrogateescape"), whole, via + ">inflate" * depth)
+
+
+def _unpacked(layer: Layer, room: int):
+    """Layers of each base64 run: of its lines joined, from each place where that gives other bytes,
+    and of each line alone."""
+    via = f"{layer.via}>base64" if layer.via else "base64"
     for m in _BASE64.finditer(layer.text):
-        run = m[0].rstrip("=")
-        if len(run) % 4 == 1:
+        lines = [x.span() for x in _LINE.finditer(layer.text, *m.span())]
+        starts = list(accumulate((b - a for a, b in lines), initial=0))
+        if starts[-1] < 16:
             continue
-        try:
-            data = base64.b64decode((run + "=" * (-len(run) % 4)).replace("-", "+").replace("_", "/"), validate=True)
-        except binascii.Error:
-            continue
-        via = f"{layer.via}>base64" if layer.via else "base64"
-        whole, packed = layer.origin(*m.span()), False
-        while (more := _inflated(data, limit)) is not None:
-            data, packed, via = more, True, f"{via}>inflate"
-        text = _readable(data)
-        if text is None:
-            continue
-        if packed:
-            spans = [whole] * len(text)
-        else:  # byte b of the data lies in the characters of its six-bit groups
-            spans, b = [], 0
-            for c in text:
-                n = len(c.encode("utf-8"))
-                spans.append(layer.origin(m.start() + b * 8 // 6, min(m.end(), m.start() + ((b + n) * 8 - 1) // 6 + 1)))
-                b += n
-        yield Layer(text, spans, via)
+        joined, phases = {}, set()  # phase: line -> bytes from there on
+        for i, (a, b) in enumerate(lines):
+            alone = len(lines) == 1
+            if (phase := starts[i] % 4) not in phases and starts[-1] - starts[i] >= 16:
+                phases.add(phase)
+                joined[phase] = starts[i], _bytes(layer, lines[i:])
+                if not alone:
+                    yield from _plain(layer, lines[i:], joined[phase][1], via)
+            taken = False
+            if phase in joined and layer.text[a] in "He":  # how packed data begins
+                since, data = joined[phase]
+                at = (starts[i] - since) // 4 * 3
+                if taken := _packed(data[at : at + _PART]):
+                    data = data[at:]
+                    last = len(lines) - 1
+                    if not alone:  # the run ends with the line where the members end
+                        size = [0]
+                        for _ in _inflated(_parts(data), size):
+                            pass
+                        last = next(j for j in range(i, len(lines)) if (starts[j + 1] - starts[i]) * 6 // 8 >= size[0])
+                    end = m.end() if last == len(lines) - 1 else lines[last][1]
+                    yield from _streamed(layer, data[: (starts[last + 1] - starts[i]) * 6 // 8], (a, end), via, room)
+            if not taken and b - a >= 16:
+                data = _bytes(layer, [(a, b)])
+                if _packed(data):
+                    yield from _streamed(layer, data, (a, m.end() if i == len(lines) - 1 else b), via, room)
+                else:
+                    yield from _plain(layer, [(a, b)], data, via)
+
+
+def _inner(layer: Layer, room: int):
+    """The layers directly within a layer, made one at a time."""
+    if "\\" in layer.text or "&#" in layer.text:
+        if (x := _rewritten(layer, _UNICODE, _unicode, "unicode")) is not None:
+            yield x
+    if "%" in layer.text:
+        if (x := _rewritten(layer, _URL, _url, "url")) is not None:
+            yield x
+    yield from _unpacked(layer, room)
 
 
 def find_secrets(text: str, limit: int = 1 << 26) -> list[tuple[str, int, int, bool, str, str]]:
     """(kind, start, end, in the text itself, decodings, value), spans in the original, ordered."""
     base = scan(text)
     found = {(k, a, b): (True, "", text[a:b]) for k, a, b in base}
-    work, seen = [Layer(text, None, "")], {text}
+    work, seen = [iter([Layer(text, None, "")])], set()
     while work:
-        layer = work.pop()
+        layer = next(work[-1], None)
+        if layer is None:
+            work.pop()
+            continue
+        mark = hashlib.blake2b(layer.text.encode("utf-8", "surrogatepass"), digest_size=16).digest(), layer.origin(0, len(layer.text))
+        if mark in seen:
+            continue
+        seen.add(mark)
         if layer.via:
             for kind, a, b in scan(layer.text):
                 found.setdefault((kind, *layer.origin(a, b)), (False, layer.via, layer.text[a:b]))
-        new = list(_unpacked(layer, limit))
-        if "%" in layer.text:
-            new.append(_rewritten(layer, _URL, _url, "url"))
-        if "\\" in layer.text or "&#" in layer.text:
-            new.append(_rewritten(layer, _UNICODE, _unicode, "unicode"))
-        for x in new:
-            if x is not None and x.text not in seen:
-                seen.add(x.text)
-                work.append(x)
+        work.append(_inner(layer, limit))
     order = sorted(found, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
     return [(*s, *found[s]) for s in order]
 
@@ -182,8 +293,8 @@ def secret_scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     Positions are code points of the original text, end exclusive; ``base`` tells spans of the plain
     patterns from those that only a decoded layer shows, ``via`` names the decodings. A null or
     empty text has none; null or repeated ids are ordinary rows; extra columns are ignored; an empty
-    table gives an empty result. ``limit`` is how many bytes one compressed run may unpack to, a
-    guard against archive bombs; texts themselves are scanned whole. One pass without a shuffle.
+    table gives an empty result. Compressed runs are unpacked to their end, ``limit`` bytes in
+    memory at a time, more only where one unbroken token is longer. One pass without a shuffle.
     """
     src = df.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     return src.mapInArrow(_scan_batches(limit), SCHEMA)
