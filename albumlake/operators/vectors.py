@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,23 +32,82 @@ def normalized(v) -> Column:
     return F.when(fine, F.transform(v, lambda x: x.cast("double") / size))
 
 
-def _few(queries: DataFrame, most: int) -> DataFrame:
-    """Queries to be broadcast, after a check that there are few."""
-    n = queries.limit(most + 1).count()
-    if n > most:
-        raise ValueError(f"more than {most} queries: use match_many")
-    return F.broadcast(queries)
+def _matrix(column) -> np.ndarray:
+    """The vectors of an Arrow column, which must be of one length, as rows of a matrix."""
+    return np.array(column.to_pylist(), np.float64)
 
 
-def knn(units: DataFrame, queries: DataFrame, k: int, most: int = 32) -> DataFrame:
-    """(query_id, unit_id, asset_id, score, rank) of the k nearest units of each query, exactly.
+def _exact(v: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Dot products row by row, added in the order of ``dot``."""
+    total = np.zeros(len(v))
+    for d in range(v.shape[1]):
+        total += v[:, d] * q[:, d]
+    return total
+
+
+def _nearest(k: int):
+    """The k best units of a block for each of a block's queries; ties go to the smaller unit."""
+
+    def run(asked: pa.Table, units: pa.Table) -> pa.Table:
+        query, unit, scores = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)]
+        if asked.num_rows and units.num_rows:
+            q, v = _matrix(asked.column("vector")), _matrix(units.column("vector"))
+            order = np.asarray(pc.rank(units.column("unit_id"), tiebreaker="first")).astype(np.int64)
+            most = min(k, len(v))
+            for at in range(0, len(q), 256):
+                score = q[at : at + 256] @ v.T
+                least = np.partition(score, len(v) - most, axis=1)[:, len(v) - most] - 1e-9
+                for i, row in enumerate(score):
+                    near = np.flatnonzero(row >= least[i])
+                    fine = _exact(v[near], np.broadcast_to(q[at + i], (len(near), q.shape[1])))
+                    best = np.lexsort((order[near], -fine))[:k]
+                    query.append(np.full(len(best), at + i))
+                    unit.append(near[best])
+                    scores.append(fine[best])
+        asked, units = asked.select(["query_id"]).take(np.concatenate(query)), units.select(["unit_id", "asset_id"]).take(np.concatenate(unit))
+        return pa.table([*asked.columns, *units.columns, pa.array(np.concatenate(scores))], names=["query_id", "unit_id", "asset_id", "score"])
+
+    return run
+
 
-    Filter ``units`` first: ranking then sees only what is allowed. A few queries (checked) are
-    broadcast; each task keeps its k best before the shuffle.
+def _meet(units: DataFrame, queries: DataFrame, run, out: tuple[str, ...], block: int, rows: int = 8192) -> DataFrame:
+    """(query_id, columns ``out`` of the units, score) of ``run`` over every block of queries and every block of units of the same cell, on executors.
+
+    Rows with a cell are dealt evenly to blocks of about ``block`` queries and ``rows`` units; each
+    travels once for every block of the other side.
     """
-    scored = units.join(_few(queries.select("query_id", F.col("vector").alias("q")), most), how="cross").withColumn("score", dot("vector", "q"))
+    units, queries = units.filter("vector is not null"), queries.filter("vector is not null")
+
+    def counted(df: DataFrame, size: int, name: str) -> DataFrame:
+        return df.groupBy("cell").agg(F.ceil(F.count("*") / size).cast("int").alias(name))
+
+    def dealt(df: DataFrame, own: str, others: str, i: str, j: str) -> DataFrame:
+        numbered = df.withColumn("_n", F.monotonically_increasing_id()).join(F.broadcast(sizes), "cell")
+        numbered = numbered.withColumn(i, (F.col("_n") % F.col(own)).cast("int")).withColumn(j, F.explode(F.sequence(F.lit(0), F.col(others) - 1)))
+        return numbered.select(*[F.col(c).alias(c) for c in (*df.columns, "_i", "_j")])  # new attributes: both sides may be one table
+
+    sizes = counted(queries, block, "_q").join(counted(units, rows, "_u"), "cell")
+    left, right = dealt(queries, "_q", "_u", "_i", "_j"), dealt(units, "_u", "_q", "_j", "_i")
+    key, kind = ["cell", "_i", "_j"], dict(units.dtypes) | dict(queries.dtypes)
+    schema = ", ".join(f"{n} {kind[n]}" for n in ("query_id", *out)) + ", score double"
+    return left.groupBy(key).cogroup(right.groupBy(key)).applyInArrow(run, schema)
+
+
+def _ranked(hits: DataFrame, k: int) -> DataFrame:
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "unit_id")
-    return scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "unit_id", "asset_id", "score", "rank")
+    return hits.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "unit_id", "asset_id", "score", "rank")
+
+
+def knn(units: DataFrame, queries: DataFrame, k: int, block: int = 8192) -> DataFrame:
+    """(query_id, unit_id, asset_id, score, rank) of the k nearest units of each query, exactly.
+
+    Filter ``units`` first: ranking then sees only what is allowed. Any number of queries: blocks
+    of them meet blocks of units as matrices, and each pair of blocks keeps its k best of a query
+    before the shuffle.
+    """
+    whole = F.lit(0).alias("cell")
+    hits = _meet(units.select(whole, "unit_id", "asset_id", "vector"), queries.select(whole, "query_id", "vector"), _nearest(k), ("unit_id", "asset_id"), block)
+    return _ranked(hits, k)
 
 
 def similar(units: DataFrame, asset_id: int, k: int, unit_id: int | None = None) -> DataFrame:
@@ -142,18 +202,24 @@ def ann_index(units: DataFrame, cells: int, sample: int = 10_000, rounds: int =
     return part.mapInArrow(run, schema), centres
 
 
-def ann_knn(index: DataFrame, centres: np.ndarray, queries: DataFrame, k: int, probes: int = 8, most: int = 32) -> DataFrame:
-    """Approximate k nearest: only the cells nearest to each query are ranked, exactly."""
-    rows = queries.select("query_id", "vector").limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"more than {most} queries")
-    pairs = [(r["query_id"], int(c)) for r in rows for c in np.argsort(-(centres @ np.array(r["vector"], np.float64)))[:probes]]
-    spark = index.sparkSession
-    near = spark.createDataFrame(pairs, "query_id long, cell int")
-    asked = near.join(queries.select("query_id", F.col("vector").alias("q")), "query_id")
-    scored = index.join(F.broadcast(asked), "cell").withColumn("score", dot("vector", "q"))
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "unit_id")
-    return scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "unit_id", "asset_id", "score", "rank")
+def ann_knn(index: DataFrame, centres: np.ndarray, queries: DataFrame, k: int, probes: int = 8, block: int = 8192) -> DataFrame:
+    """Approximate k nearest: only the cells nearest to each query are ranked, exactly.
+
+    Any number of queries; blocks of those that ask for a cell meet blocks of its units.
+    """
+    known = index.sparkSession.sparkContext.broadcast(centres)
+
+    def run(batches):
+        for b in batches:
+            if b.num_rows:
+                near = np.argsort(-(_matrix(b.column("vector")) @ known.value.T), axis=1)[:, :probes]
+                cells = pa.ListArray.from_arrays(np.arange(0, near.size + 1, near.shape[1], dtype=np.int32), pa.array(near.ravel(), pa.int32()))
+                yield pa.RecordBatch.from_arrays([*b.columns, cells], names=[*b.schema.names, "cells"])
+
+    part = queries.filter("vector is not null").select("query_id", "vector")
+    schema = ", ".join(f"{n} {t}" for n, t in part.dtypes) + ", cells array<int>"
+    asked = part.mapInArrow(run, schema).select(F.explode("cells").alias("cell"), "query_id", "vector")
+    return _ranked(_meet(index.select("cell", "unit_id", "asset_id", "vector"), asked, _nearest(k), ("unit_id", "asset_id"), block), k)
 
 
 def ann_recall(approximate: DataFrame, exact: DataFrame, k: int) -> DataFrame:

@@ -14,10 +14,19 @@ from .registry import query
 KNN = """SELECT query_id, unit_id, asset_id, score, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, unit_id))::INTEGER AS rank FROM (
   SELECT q.unit_id AS query_id, u.unit_id, u.asset_id, round(list_dot_product(u.vector, q.vector), 9) AS score FROM vec_units u, (SELECT * FROM vec_units WHERE unit_id % 50 = 0 ORDER BY unit_id LIMIT 8) q WHERE {0})
   QUALIFY rank <= {1}"""
+KNN_ALL = """SELECT query_id, unit_id, asset_id, score, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, unit_id))::INTEGER AS rank FROM (
+  SELECT q.unit_id AS query_id, u.unit_id, u.asset_id, round(list_dot_product(u.vector, q.vector), 9) AS score FROM vec_units u, vec_units q WHERE q.unit_id % 50 = 0 AND {0})
+  QUALIFY rank <= {1}"""
+NEAR = "u.asset_id IN (SELECT id FROM media WHERE coalesce(user_latitude, latitude) BETWEEN 55 AND 55.5)"
 
 
 def asked(spark, d):
-    return vec_units(spark, d).filter("unit_id % 50 = 0").orderBy("unit_id").limit(8).select(F.col("unit_id").alias("query_id"), "vector")
+    return vec_units(spark, d).filter("unit_id % 50 = 0").select(F.col("unit_id").alias("query_id"), "vector")
+
+
+def first_asked(spark, d):
+    """The eight queries to which the SQL of vector_knn and vector_knn_prefiltered is bound."""
+    return asked(spark, d).orderBy("query_id").limit(8)
 
 
 def rounded(df, *cols, n: int = 6):
@@ -40,6 +49,12 @@ def search_similar_filtered(spark, d):
 
 @query(f"SELECT query_id, unit_id, asset_id, round(score, 6) AS score, rank FROM ({KNN.format('true', 10)})", "vec_units")
 def vector_knn(spark, d):
+    return rounded(vectors.knn(vec_units(spark, d), first_asked(spark, d), 10), "score")
+
+
+@query(f"SELECT query_id, unit_id, asset_id, round(score, 6) AS score, rank FROM ({KNN_ALL.format('true', 10)})", "vec_units")
+def vector_knn_all(spark, d):
+    """Neighbours of every unit whose id is divisible by 50."""
     return rounded(vectors.knn(vec_units(spark, d), asked(spark, d), 10), "score")
 
 
@@ -47,7 +62,14 @@ def vector_knn(spark, d):
 def vector_knn_prefiltered(spark, d):
     m = media(spark, d)
     near = filters.has_gps() & filters.effective_latitude().between(55, 55.5)
-    return rounded(vectors.knn(filters.prefilter(vec_units(spark, d), m, near), asked(spark, d), 3), "score")
+    return rounded(vectors.knn(filters.prefilter(vec_units(spark, d), m, near), first_asked(spark, d), 3), "score")
+
+
+@query(f"SELECT query_id, unit_id, asset_id, round(score, 6) AS score, rank FROM ({KNN_ALL.format(NEAR, 3)})", "vec_units", "media")
+def vector_knn_prefiltered_all(spark, d):
+    """Neighbours within a place of every unit whose id is divisible by 50."""
+    near = filters.has_gps() & filters.effective_latitude().between(55, 55.5)
+    return rounded(vectors.knn(filters.prefilter(vec_units(spark, d), media(spark, d), near), asked(spark, d), 3), "score")
 
 
 @query("""SELECT 21::BIGINT AS query_id, unit_id, asset_id, round(score, 6) AS score, (row_number() OVER (ORDER BY score DESC, unit_id))::INTEGER AS rank FROM (
@@ -93,6 +115,12 @@ def vector_recall_of_exact(spark, d):
     return vectors.ann_recall(top, exact, 20)
 
 
+@query()
+def vector_ann_recall(spark, d):
+    """Recall of vector_ann_knn against the exact neighbours of the same queries."""
+    return vectors.ann_recall(vector_ann_knn(spark, d), vectors.knn(vec_units(spark, d), asked(spark, d), 20), 20)
+
+
 # ---- people ----
 @query("SELECT person, face_id, asset_id, round(score, 6) AS score FROM scores WHERE score >= 0.363", "scores")
 def face_match(spark, d):

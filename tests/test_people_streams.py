@@ -78,6 +78,30 @@ def test_ann_recall(spark):
     assert vectors.ann_recall(approx, exact, 20).first()["recall"] >= 0.9
 
 
+def test_knn_of_many_queries(spark):
+    """More than 32 queries, several blocks of both sides, ties at the k-th place, a missing vector."""
+    rng = np.random.default_rng(2)
+    v = rng.integers(-1, 2, (300, 6)) / 2
+    rows = [(i, i // 3, x.tolist()) for i, x in enumerate(v)] + [(300, 100, None)]
+    units = spark.createDataFrame(rows, "unit_id long, asset_id long, vector array<double>").repartition(5)
+    queries = units.filter("unit_id % 5 = 0").select(F.col("unit_id").alias("query_id"), "vector")
+    got = {}
+    for r in vectors.knn(units, queries, 7, block=9).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["unit_id"], r["asset_id"]))
+    want = {q: [(n + 1, i, i // 3) for n, i in enumerate(sorted(range(300), key=lambda i: (-(v[i] @ v[q]), i))[:7])] for q in range(0, 300, 5)}
+    assert {q: sorted(x) for q, x in got.items()} == want
+    index, centres = vectors.ann_index(units.filter("vector is not null"), cells=6)
+    every = vectors.ann_knn(index, centres, queries, 7, probes=6, block=9)  # all cells: exact
+    assert sorted(every.select("query_id", "rank", "unit_id").collect()) == sorted((q, n, i) for q, x in want.items() for n, i, _ in x)
+
+
+def test_all_queries_are_asked(spark):
+    n = queries_search.vec_units(spark, DATA).filter("unit_id % 50 = 0").count()
+    assert queries_search.vector_knn_all(spark, DATA).select("query_id").distinct().count() == n > 8
+    assert queries_search.vector_ann_knn(spark, DATA).select("query_id").distinct().count() == n
+    assert queries_search.vector_ann_recall(spark, DATA).first()["recall"] >= 0.9
+
+
 def test_commit_counts_on_stream(spark):
     base = shared_dir(spark)
     rows = [("local", "faces", 1, "done", "2024-01-01 00:00:01"), ("local", "faces", 1, "done", "2024-01-01 00:00:02"), ("local", "faces", 2, "error", "2024-01-01 00:00:03")]
