@@ -34,7 +34,12 @@ def normalized(v) -> Column:
 
 def _matrix(column) -> np.ndarray:
     """The vectors of an Arrow column, which must be of one length, as rows of a matrix."""
-    return np.array(column.to_pylist(), np.float64)
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    span = pc.min_max(pc.list_value_length(column)).as_py()
+    if column.null_count or span["min"] != span["max"]:
+        raise ValueError("vectors of different lengths")
+    return np.asarray(column.flatten(), np.float64).reshape(len(column), -1)
 
 
 def _exact(v: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -131,41 +136,31 @@ def face_match(faces: DataFrame, examples: DataFrame, threshold: float = 0.363,
     return scored.filter(F.col("score") >= threshold).select("person", "face_id", "asset_id", "score")
 
 
+def _reaching(threshold: float):
+    """All pairs of two blocks whose score reaches the threshold."""
+
+    def run(asked: pa.Table, units: pa.Table) -> pa.Table:
+        i = j = np.empty(0, np.int64)
+        score = np.empty(0)
+        if asked.num_rows and units.num_rows:
+            every = _matrix(asked.column("vector")) @ _matrix(units.column("vector")).T
+            i, j = np.nonzero(every >= threshold)
+            score = every[i, j]
+        columns = [asked.column("query_id").take(pa.array(i)), units.column("unit_id").take(pa.array(j)), pa.array(score)]
+        return pa.table(columns, names=["query_id", "unit_id", "score"])
+
+    return run
+
+
 def match_many(units: DataFrame, queries: DataFrame, threshold: float, block: int = 512) -> DataFrame:
     """(query_id, unit_id, score) of all pairs at or above the threshold, for many queries.
 
-    Queries go out in blocks of ``block`` rows; each block is a broadcast matrix that tasks multiply
-    with their batches.
+    Blocks of about ``block`` queries meet blocks of units as matrices on executors; nothing goes
+    through the driver, and the plan doesn't grow with the queries.
     """
-    spark, out = units.sparkSession, None
-    rows = queries.select("query_id", "vector").orderBy("query_id").toLocalIterator()
-    held: list = []
-
-    def flush(part: list) -> DataFrame:
-        ids = np.array([r["query_id"] for r in part], np.int64)
-        known = spark.sparkContext.broadcast((ids, np.array([r["vector"] for r in part], np.float64)))
-
-        def run(batches):
-            ids, matrix = known.value
-            for b in batches:
-                if not b.num_rows:
-                    continue
-                v = np.array(b.column("vector").to_pylist(), np.float64)
-                score = v @ matrix.T
-                i, j = np.nonzero(score >= threshold)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[j]), pa.array(b.column("unit_id").to_numpy(False)[i]), pa.array(score[i, j])], names=["query_id", "unit_id", "score"])
-
-        return units.select("unit_id", "vector").mapInArrow(run, "query_id long, unit_id long, score double")
-
-    for r in rows:
-        held.append(r)
-        if len(held) == block:
-            part = flush(held)
-            out, held = part if out is None else out.unionByName(part), []
-    if held or out is None:
-        part = flush(held) if held else units.limit(0).select(F.lit(0).cast("long").alias("query_id"), F.col("unit_id").cast("long").alias("unit_id"), F.lit(0.0).alias("score"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    whole = F.lit(0).alias("cell")
+    asked = queries.select(whole, "query_id", "vector")
+    return _meet(units.select(whole, "unit_id", "vector"), asked, _reaching(threshold), ("unit_id",), block, 4096)
 
 
 def best_per_asset(matches: DataFrame, key: str = "asset_id") -> DataFrame:

@@ -95,6 +95,18 @@ def test_knn_of_many_queries(spark):
     assert sorted(every.select("query_id", "rank", "unit_id").collect()) == sorted((q, n, i) for q, x in want.items() for n, i, _ in x)
 
 
+def test_match_many_stays_on_executors(spark):
+    rng = np.random.default_rng(4)
+    v = rng.integers(-2, 3, (200, 5)) / 4
+    units = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "unit_id long, vector array<double>").repartition(3)
+    queries = units.select(F.col("unit_id").alias("query_id"), "vector")
+    got = vectors.match_many(units, queries, 0.25, block=7)
+    assert sorted((r["query_id"], r["unit_id"], r["score"]) for r in got.collect()) == [(a, b, v[a] @ v[b]) for a in range(200) for b in range(200) if v[a] @ v[b] >= 0.25]
+    plans = [vectors.match_many(units, queries, 0.25, block=n)._jdf.queryExecution().analyzed().toString() for n in (7, 100)]
+    assert len({p.count("\n") for p in plans}) == 1 and "Union" not in plans[0]  # one plan however many blocks
+    assert vectors.match_many(units, queries.limit(0), 0.25).count() == 0
+
+
 def test_all_queries_are_asked(spark):
     n = queries_search.vec_units(spark, DATA).filter("unit_id % 50 = 0").count()
     assert queries_search.vector_knn_all(spark, DATA).select("query_id").distinct().count() == n > 8
