@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import re
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .scratch import materialize, shared_dir  # noqa: F401  part of this module's interface
+
 #: Extensions by group.
 RAW = ".3fr .arw .cr2 .cr3 .crw .dng .erf .kdc .mos .mrw .nef .nrw .orf .pef .raf .raw .rw2 .srw .x3f".split()
 JPEG = ".jpg .jpeg".split()
@@ -31,23 +32,6 @@ CITIES = "id long, name string, aliases string, country string, latitude double,
 DEFAULTS = {"version": 1, "present": True, "metadata_ready": False, "camera": "", "orientation": "", "description": "", "media_kind": "photo", "duration_ms": 0, "geo_text": "", "user_place": ""}
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which all executors share; local tests get their own."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/tables-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    path = shared_dir(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def format_key(path: Column) -> Column:
     """Lower-cased extension of a path with its dot, or ''."""
     return F.lower(F.regexp_extract(path, r"(\.[^./]+)$", 1))
