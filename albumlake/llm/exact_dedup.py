@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, bitmap, bitmap_bits, drop_materialized, in_bitmap, materialize, slices, text_or_empty
+from .common import Scratch, as_bytes, bitmap, bitmap_bits, in_bitmap, slices, text_or_empty
 
 PRIMES = (2147483647, 2147483629)
 BASES = (1000003, 998244353)
@@ -92,23 +92,24 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     shuffle; a full bitmap lets more rows through and never changes the result.
     """
     src = df.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    fps = materialize(
+    out, work = Scratch(df.sparkSession), Scratch(df.sparkSession)
+    fps = out.keep(
         src.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.sha2("text", 256).alias("sha"), "text").mapInArrow(
             _fingerprints, "row long, doc_id long, sha string, n_bytes long, h1 long, h2 long"
         )
     )
     leader = F.max(F.struct("doc_id", "row"))
-    shared = materialize(fps.groupBy(*KEY).agg(F.count("*").alias("n"), leader.alias("leader")).filter("n > 1"))
+    shared = work.keep(fps.groupBy(*KEY).agg(F.count("*").alias("n"), leader.alias("leader")).filter("n > 1"))
     bits = bitmap_bits(shared.count(), max_bits)
     marked = bitmap(shared, _mask(F.col("h1"), F.col("h2"), bits), bits)
 
-    chunks = materialize(src.mapInArrow(_candidate_chunks(marked, bits), "doc_id long, n_bytes long, h1 long, h2 long, seq long, chunk binary"))
+    chunks = work.keep(src.mapInArrow(_candidate_chunks(marked, bits), "doc_id long, n_bytes long, h1 long, h2 long, seq long, chunk binary"))
     same_id = F.col("c.doc_id").eqNullSafe(F.col("g.leader.doc_id"))
     on_group = [F.col(f"c.{k}") == F.col(f"g.{k}") for k in KEY]
     heads = chunks.alias("c").join(shared.alias("g"), [*on_group, same_id], "left_semi").dropDuplicates([*KEY, "seq"]).withColumnRenamed("chunk", "head")
     broken = chunks.join(heads.drop("doc_id"), [*KEY, "seq"]).filter(F.col("chunk") != F.col("head")).select(*KEY).distinct()
-    broken = materialize(broken)
-    drop_materialized(chunks)
+    broken = out.keep(broken)
+    work.clear()
     if broken.isEmpty():
         split = fps.withColumn("part", F.lit(""))
     else:  # different texts of one fingerprint: the full digest tells them apart

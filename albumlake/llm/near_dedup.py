@@ -2,27 +2,31 @@
 
 A document is the set of its shingles and carries their minwise signature. Documents with equal
 sets are one class. In each of several independent trees, documents branch by the values at a few
-signature positions that the node chooses, about 1 / similarity of them; nodes that are still large
-branch again. Small nodes are compared exhaustively. Every few levels a pivot of each large node is
-compared with its other documents, and a node whose documents are one component by then is done; so
-a large group of copies doesn't branch on for ever. Rows whose shingles are too rare for any link in
-their node, by an exact bound, leave it before. Nodes that are large and mixed even at the last
-level are compared by pivots until all documents of different components have met. Links are
-confirmed on the full sets.
+signature positions that the node chooses, about 1 / similarity of them, and nodes that are still
+large branch again. A small node is compared exhaustively, by signatures first: where few pairs are
+possible they are confirmed one by one, and in a denser node the full sets of the documents in
+question come to one task, which counts all their intersections and returns a spanning forest of
+the links. So neither pairs nor links of a group ever become rows by the square of its size. Every
+few levels a pivot of each large node is compared with its other documents, and a node whose
+documents are one component by then is done; nodes that are large even at the last level are
+compared in pairs of blocks, each a small node. Links are always decided on the full sets.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, bitmap, bitmap_bits, drop_materialized, in_bitmap, materialize, runs, slices
+from .common import Scratch, as_bytes, bitmap, bitmap_bits, in_bitmap, runs, slices
 
 WIDTH = 32  # signature positions
-STRIDE, LEVELS = 3, 6  # levels between two looks at large nodes, and in all
+STRIDE, LEVELS = 3, 12  # levels between two looks at large nodes, and in all
+FEW, WEIGHT = 16, 1 << 21  # nodes of more documents than this hold at most so many shingles
 _MULTIPLIERS = np.random.default_rng(7).integers(1, 2**63, WIDTH, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -102,42 +106,114 @@ def _alike(na, nb, same, similarity: float):
     return (np.minimum(na, nb) >= similarity * np.maximum(na, nb)) & (same >= (similarity - 0.3) * WIDTH)
 
 
-def _pairs_in_nodes(similarity: float):
-    """All pairs of each small node that may be similar. Rows come sorted by node."""
+def _possible(percent: int, each: int = 4):
+    """What may be similar in small nodes, by signatures. Rows come sorted by node.
+
+    A node with at most ``each`` possible pairs a row gives them as (null, a, b), a denser one its
+    rows with any such pair as (node, row, null): about as much goes out as came in.
+    """
 
-    def pairs(node, row, n, sig):
-        a, b = [], []
+    def alike(node, row, n, sig, label, start, size):
+        step = max(1, (1 << 21) // (size * size))
+        upper = np.triu(np.ones((size, size), bool), 1)
+        for i in range(0, len(start), step):
+            at = start[i : i + step, None] + np.arange(size)
+            same = np.zeros((len(at), size, size), np.uint8)
+            for p in range(WIDTH):
+                x = sig[:, p][at]
+                same += x[:, :, None] == x[:, None, :]
+            m, of = n[at], label[at]
+            maybe = upper & _alike(m[:, :, None], m[:, None, :], same, percent / 100) & (of[:, :, None] != of[:, None, :])
+            few = maybe.sum((1, 2)) <= each * size
+            g, a, b = np.nonzero(maybe & few[:, None, None])
+            a, b = row[at[g, a]], row[at[g, b]]
+            yield np.full(len(a), -1), np.minimum(a, b), np.maximum(a, b)
+            g, r = np.nonzero((maybe.any(1) | maybe.any(2)) & ~few[:, None])
+            yield node[at[g, 0]], row[at[g, r]], np.full(len(g), -1)
+
+    def of(node, row, n, sig, label):
         start = runs(node)
-        for s, e in zip(start, [*start[1:], len(node)]):
-            if e - s > 1:
-                same = (sig[s:e, None, :] == sig[None, s:e, :]).sum(2)
-                i, j = np.nonzero(np.triu(_alike(n[s:e, None], n[None, s:e], same, similarity), 1))
-                a.append(np.minimum(row[s + i], row[s + j]))
-                b.append(np.maximum(row[s + i], row[s + j]))
-        empty = np.empty(0, np.int64)
-        both = np.unique(np.stack([np.concatenate([empty, *a]), np.concatenate([empty, *b])]), axis=1)
-        return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["a", "b"])
+        size = np.diff(np.append(start, len(node)))
+        out = [(np.empty(0, np.int64),) * 3]
+        for s in np.unique(size[size > 1]):  # nodes of one size at once
+            out += alike(node, row, n, sig, label, start[size == s], int(s))
+        node, a, b = (np.concatenate(c) for c in zip(*out))
+        return pa.RecordBatch.from_arrays([pa.array(node, mask=b >= 0), pa.array(a), pa.array(b, mask=b < 0)], names=["node", "a", "b"])
 
     def run(batches):
         rest = None
         for batch in batches:
             sig = batch.column("sig").flatten().to_numpy().reshape(-1, WIDTH)
-            cols = [batch.column("node").to_numpy(), batch.column("row").to_numpy(), batch.column("n").to_numpy(), sig]
+            node, row, n, label = (batch.column(c).to_numpy() for c in ("node", "row", "n", "label"))
+            cols = [node, row, n, sig, label]
             if rest is not None:
                 cols = [np.concatenate(c) for c in zip(rest, cols)]
             if not len(cols[0]):
                 continue
             last = runs(cols[0])[-1]  # the last node may go on in the next batch
             rest = [c[last:].copy() for c in cols]
-            yield pairs(*(c[:last] for c in cols))
+            yield of(*(c[:last] for c in cols))
         if rest is not None:
-            yield pairs(*rest)
+            yield of(*rest)
+
+    return run
+
+
+def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all sets with each other, as a square matrix."""
+    m = len(sets)
+    _, item, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    of = np.repeat(np.arange(m), [len(s) for s in sets])
+    more = df[item] > 1
+    of = of[more][np.argsort(item[more], kind="stable")]  # sets by item
+    df = df[df > 1]
+    first, out = np.cumsum(df) - df, np.zeros((m, m), np.float32)
+    for d in np.unique(df[df <= 32]):  # items of few sets: all their pairs
+        at = first[df == d]
+        for i in range(0, len(at), 1 << 12):
+            x = of[at[i : i + (1 << 12), None] + np.arange(d)]
+            out += np.bincount((x[:, :, None] * m + x[:, None, :]).ravel(), minlength=m * m).reshape(m, m)
+    common, size = first[df > 32], df[df > 32]
+    for i in range(0, len(common), 2048):  # others: a product of incidence matrices
+        f, n = common[i : i + 2048], size[i : i + 2048]
+        x = np.zeros((len(f), m), np.float32)
+        x[np.repeat(np.arange(len(f)), n), of[np.repeat(f - (np.cumsum(n) - n), n) + np.arange(n.sum())]] = 1
+        out += x.T @ x
+    return out
+
+
+def forest(linked: np.ndarray) -> list[tuple[int, int]]:
+    """A spanning forest of a graph given as a matrix."""
+    unseen, out = np.ones(len(linked), bool), []
+    for root in range(len(linked)):
+        todo = [root] if unseen[root] else []
+        unseen[root] = False
+        while todo:
+            x = todo.pop()
+            new = np.flatnonzero(linked[x] & unseen)
+            unseen[new] = False
+            out += [(x, int(y)) for y in new]
+            todo += new.tolist()
+    return out
+
+
+def _links(percent: int):
+    """Links of a dense node, decided on its full sets."""
+
+    def run(table: pa.Table) -> pa.Table:
+        row = table.column("row").to_numpy()
+        sets = [x.values.to_numpy() for x in table.column("members")]
+        size = np.array([len(s) for s in sets])
+        shared = shared_counts(sets)
+        ends = forest(100 * shared >= percent * (size[:, None] + size[None, :] - shared))
+        a, b = ([int(row[e[i]]) for e in ends] for i in (0, 1))
+        return pa.table({"a": pa.array(map(min, a, b), pa.int64()), "b": pa.array(map(max, a, b), pa.int64())})
 
     return run
 
 
 def branch(at: DataFrame, trees: int | None = None) -> DataFrame:
-    """(row, sig[, node]) -> (node, row): the children that the root of each tree, or a node, chooses.
+    """(row, n, sig[, node]) -> (node, row, n): the children that the root of each tree, or a node, chooses.
 
     One position, and a second for every fourth tree or node: 1.25 on average, which is 1 / 0.8.
     """
@@ -145,217 +221,173 @@ def branch(at: DataFrame, trees: int | None = None) -> DataFrame:
         rng = np.random.default_rng(trees)
         chosen = [(t, int(p)) for t in range(trees) for p in rng.choice(WIDTH, 1 + (t % 4 == 3), replace=False)]
         where = F.explode(F.array(*[F.struct(F.lit(t).cast("long").alias("node"), F.lit(p).alias("p")) for t, p in chosen]))
-        at = at.select("row", "sig", where.alias("w")).select("row", "sig", "w.node", "w.p")
+        at = at.select("row", "n", "sig", where.alias("w")).select("row", "n", "sig", "w.node", "w.p")
     else:
         pick = lambda i: F.pmod(F.xxhash64("node", F.lit(i)), F.lit(WIDTH)).cast("int")
         where = F.when(F.pmod(F.xxhash64("node"), F.lit(4)) == 0, F.array_distinct(F.array(pick(1), pick(2)))).otherwise(F.array(pick(1)))
-        at = at.select("row", "sig", "node", F.explode(where).alias("p"))
-    return at.select(F.xxhash64("node", "p", F.get("sig", F.col("p"))).alias("node"), "row")
-
-
-def grow(rows: DataFrame, reps: DataFrame, small: int, levels: int) -> tuple[DataFrame, DataFrame | None]:
-    """(node, row) of all small nodes with company within some levels, and of the nodes that are
-    large after them."""
-    done: list[DataFrame] = []
-    for level in range(levels):
-        counts = materialize(rows.groupBy("node").agg(F.count("*").alias("size")).filter("size > 1"))
-        done.append(materialize(rows.join(counts.filter(F.col("size") <= small).select("node"), "node", "left_semi")))
-        large = counts.filter(F.col("size") > small).select("node")
-        stay = None if large.isEmpty() else materialize(rows.join(large, "node", "left_semi").select("node", "row"))
-        if stay is None:
-            break
-        rows = branch(stay.join(reps.select("row", "sig"), "row"))
-    out = done[0]
-    for d in done[1:]:
-        out = out.unionByName(d)
-    return out, stay
-
-
-def candidates(small_nodes: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs (a, b) that meet in a small node and may be similar."""
-    tasks = int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    gathered = small_nodes.join(reps.select("row", "n", "sig"), "row").repartition(tasks, "node").sortWithinPartitions("node")
-    return materialize(gathered.mapInArrow(_pairs_in_nodes(percent / 100), "a long, b long").distinct())
-
-
-def apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs whose ends aren't in one component yet."""
-    for end in ("a", "b"):
-        pairs = pairs.join(labels.select(F.col("row").alias(end), F.col("label").alias(f"l{end}")), end, "left")
-    return pairs.filter(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
-
-
-def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
-    both = pairs.join(sets.select(F.col("row").alias("a"), F.col("members").alias("x")), "a").join(sets.select(F.col("row").alias("b"), F.col("members").alias("y")), "b")
-    shared = F.size(F.array_intersect("x", "y")).cast("long")
-    union = F.size("x") + F.size("y") - shared
-    return materialize(both.filter(100 * shared >= percent * union).select("a", "b"))
-
-
-def components(edges: DataFrame) -> DataFrame:
+        at = at.select("row", "n", "sig", "node", F.explode(where).alias("p"))
+    return at.select(F.xxhash64("node", "p", F.get("sig", F.col("p"))).alias("node"), "row", "n")
+
+
+def components(edges: DataFrame, work: Scratch) -> DataFrame:
     """(row, label) for all ends of the edges (a, b); the label is the smallest row of the component.
 
     Edges are contracted to labels round by round: every label moves to the smallest one next to it,
     and moves are followed twice. Only whether edges are left is asked by the driver.
     """
+    own = Scratch(edges.sparkSession)
     ends = edges.select(F.col("a").alias("row")).union(edges.select("b")).distinct()
-    labels = materialize(ends.withColumn("label", F.col("row")))
-    left = materialize(edges.distinct())
+    labels = own.keep(ends.withColumn("label", F.col("row")))
+    left = own.keep(edges.distinct())
     while not left.isEmpty():
         ways = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        step = materialize(ways.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("to")))
+        step = own.keep(ways.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("to")))
         jump = step.alias("s").join(step.select(F.col("a").alias("to"), F.col("to").alias("next")), "to").select("a", F.col("next").alias("to"))
-        jump = materialize(jump)
-        labels = materialize(labels.join(jump.withColumnRenamed("a", "label"), "label", "left").select("row", F.coalesce("to", "label").alias("label")))
+        jump = own.keep(jump)
+        labels = own.keep(labels.join(jump.withColumnRenamed("a", "label"), "label", "left").select("row", F.coalesce("to", "label").alias("label")))
         moved = left
         for end in ("a", "b"):
             moved = moved.join(jump.select(F.col("a").alias(end), F.col("to").alias(f"to_{end}")), end)
-        left = materialize(moved.select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b")).filter("a < b").distinct())
+        left = own.keep(moved.select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b")).filter("a < b").distinct())
+    labels = work.keep(labels)
+    own.clear()
     return labels
 
 
 def mixed(nodes: DataFrame, labels: DataFrame) -> DataFrame:
-    """(node, row, label, main) of the nodes that hold more than one component; main is the largest."""
-    at = nodes.join(labels, "row", "left").select("node", "row", F.coalesce("label", "row").alias("label"))
-    parts = at.groupBy("node", "label").agg(F.count("*").alias("size"))
-    largest = parts.groupBy("node").agg(F.max(F.struct("size", "label")).alias("m"), F.count("*").alias("parts")).filter("parts > 1")
-    return materialize(at.join(largest.select("node", F.col("m.label").alias("main")), "node"))
-
-
-def cores(nodes: DataFrame, sets: DataFrame) -> DataFrame:
-    """(row, n, core) of the nodes' rows: core is how many of a set's n shingles any other row has.
-
-    Two rows share at most the smaller core, so their similarity is at most
-    core / (n + n' - core): an exact bound from two numbers each.
-    """
-    own = sets.join(nodes.select("row").distinct(), "row", "left_semi")
-    alone = own.select("row", F.explode("members").alias("s")).groupBy("s").agg(F.count("*").alias("df"), F.min("row").alias("row")).filter("df = 1")
-    single = alone.groupBy("row").agg(F.count("*").alias("alone"))
-    n = F.size("members").cast("long")
-    return materialize(own.select("row", n.alias("n")).join(single, "row", "left").select("row", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("core")))
-
-
-def linkable(nodes: DataFrame, known: DataFrame, percent: int) -> DataFrame:
-    """Rows of the nodes that may be similar to some other row there, by the bound of ``cores``."""
-    at = nodes.join(known, "row").filter(100 * F.col("core") >= percent * F.col("n"))
-    least = at.groupBy("node").agg(F.min("n").alias("least"))
-    return materialize(at.join(least, "node").filter(100 * F.col("core") >= percent * (F.col("least") + F.col("n") - F.col("core"))).select("node", "row"))
-
-
-def _screened(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs that signatures leave similar."""
-    part = lambda e: reps.select(F.col("row").alias(e), F.col("sig").alias(f"s{e}"))
-    same = F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda x: x))
-    return pairs.distinct().join(part("a"), "a").join(part("b"), "b").filter(same >= (percent / 100 - 0.3) * WIDTH).select("a", "b")
-
-
-def against(open_rows: DataFrame, pivots: DataFrame, known: DataFrame, percent: int) -> DataFrame:
-    """Pairs of each node's pivots (node, pivot, own) with its rows of other components that the
-    bound of ``cores`` leaves. Pivots travel as one array per node and meet a row once, however many
-    nodes they share."""
-    p = pivots.join(known.withColumnRenamed("row", "pivot"), "pivot")
-    per_node = p.groupBy("node").agg(F.collect_list(F.struct("pivot", "own", "n", "core")).alias("ps"))
-    met = open_rows.join(per_node, "node").groupBy("row", "label").agg(F.array_distinct(F.flatten(F.collect_list("ps"))).alias("ps")).join(known, "row")
-
-    def possible(x):
-        shared = F.least(x["core"], F.col("core"), x["n"], F.col("n"))
-        return (x["own"] != F.col("label")) & (100 * shared >= percent * (x["n"] + F.col("n") - shared))
-
-    left = met.select("row", F.explode(F.transform(F.filter("ps", possible), lambda x: x["pivot"])).alias("pivot"))
-    return left.select(F.least("row", "pivot").alias("a"), F.greatest("row", "pivot").alias("b"))
-
-
-def _chosen(rows: DataFrame, seed: int, n: int) -> DataFrame:
-    """The same rows in all nodes that hold them, as far as possible: those with the smallest hashes."""
-    rank = F.row_number().over(Window.partitionBy("node").orderBy(F.xxhash64("row", F.lit(seed)), "row"))
-    return rows.withColumn("r", rank).filter(F.col("r") <= n).select("node", F.col("row").alias("pivot"), F.col("label").alias("own"))
-
-
-def _meet(nodes: DataFrame, reps: DataFrame, sets: DataFrame, known: DataFrame, edges: DataFrame, percent: int) -> DataFrame:
-    """Edges within large mixed nodes: pivots against all, until all pairs of different components
-    have met. Rows outside the largest component are pivots, 8 a node and then four times as many in
-    each round; rows of the pivot's own component needn't be compared."""
-    met, n_pivots = None, 8
-    while True:
-        open_rows = mixed(nodes, components(edges))
-        fresh = open_rows.filter(F.col("label") != F.col("main"))
-        if met is not None:
-            fresh = fresh.join(met, ["node", "row"], "left_anti")
-        pivots = materialize(_chosen(fresh, n_pivots, n_pivots))
-        if pivots.isEmpty():
-            return edges
-        found = confirm(_screened(against(open_rows, pivots, known, percent), reps, percent), sets, percent)
-        edges = materialize(edges.unionByName(found).distinct())
-        now = pivots.select("node", F.col("pivot").alias("row"))
-        met = materialize(now if met is None else met.unionByName(now))
-        n_pivots *= 4
-
-
-def link(pairs: DataFrame, nodes: DataFrame | None, reps: DataFrame, sets: DataFrame, small: int, percent: int) -> DataFrame:
-    """All links: of the pairs from small nodes, and of what large nodes still hide."""
-    edges, level = confirm(pairs, sets, percent), STRIDE
-    if nodes is not None:
-        known = cores(nodes, sets)
-        nodes = linkable(nodes, known, percent)
-    while nodes is not None:
-        open_rows = mixed(nodes, components(edges))
-        pivots = _chosen(open_rows.filter(F.col("label") == F.col("main")), level, 1)
-        edges = materialize(edges.unionByName(confirm(_screened(against(open_rows, pivots, known, percent), reps, percent), sets, percent)).distinct())
-        open_rows = mixed(nodes, components(edges)).select("node", "row")
-        if open_rows.isEmpty():
-            break
-        if level >= LEVELS:
-            return _meet(open_rows, reps, sets, known, edges, percent)
-        few, nodes = grow(branch(open_rows.join(reps.select("row", "sig"), "row")), reps, small, STRIDE)
-        new = apart(candidates(few, reps, percent), components(edges))
-        edges = materialize(edges.unionByName(confirm(new, sets, percent)).distinct())
-        level += STRIDE
-    return edges
-
-
-def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, trees: int = 12, small: int = 48, max_bits: int = 1 << 27, mark: bool = False) -> DataFrame:
+    """The rows of the nodes that hold more than one component."""
+    at = nodes.join(labels, "row", "left").withColumn("label", F.coalesce("label", "row"))
+    several = at.groupBy("node").agg(F.min("label").alias("least"), F.max("label").alias("most")).filter("least < most")
+    return nodes.join(several.select("node"), "node", "left_semi")
+
+
+def in_blocks(nodes: DataFrame, counts: DataFrame, small: int) -> DataFrame:
+    """Large nodes as small ones that hold all their pairs: one for every two of a node's blocks."""
+    parts = F.ceil(F.greatest(2 * F.col("size") / small, 2 * F.col("weight") / WEIGHT)).cast("long")
+    at = nodes.join(counts.select("node", parts.alias("parts")), "node").withColumn("own", F.pmod(F.xxhash64("row", F.lit(3)), F.col("parts")))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
+    at = at.select("node", "row", "n", "own", other.alias("other"))
+    return at.select(F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other")).alias("node"), "row", "n")
+
+
+class _Join:
+    """The tables of one similarity join: ``src`` has the texts, ``reps`` a row for each class."""
+
+    def __init__(self, src: DataFrame, reps: DataFrame, k: int, percent: int, small: int, max_bits: int, work: Scratch):
+        self.src, self.reps, self.k, self.percent, self.small, self.max_bits, self.work = src, reps, k, percent, small, max_bits, work
+        none = reps.sparkSession.createDataFrame([], "a long, b long")
+        self.known: DataFrame | None = None
+        self.edges, self.sets = none, none.select(F.col("a").alias("row"), F.array("b").alias("members"))
+
+    def fetch(self, rows: DataFrame) -> None:
+        """Read the full sets of these rows, but for those that are there."""
+        wanted = self.reps.select("row", "f1", "f2").join(rows.distinct(), "row", "left_semi").join(self.sets, "row", "left_anti")
+        wanted = self.work.keep(wanted)
+        bits = bitmap_bits(wanted.count(), self.max_bits)
+        marked = bitmap(wanted, F.col("f1").bitwiseAND(F.lit(bits - 1)), bits)
+        found = self.src.select("text").mapInArrow(_wanted_sets(marked, bits, self.k), "f1 long, f2 long, members array<long>")
+        new = found.join(wanted, ["f1", "f2"]).groupBy("row").agg(F.first("members").alias("members"))
+        self.sets = self.sets.unionByName(self.work.keep(new))
+
+    def add(self, edges: DataFrame) -> None:
+        self.edges, self.known = self.edges.unionByName(self.work.keep(edges)), None
+
+    def confirm(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
+        side = lambda e, as_: self.sets.select(F.col("row").alias(e), F.col("members").alias(as_))
+        both = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b")
+        shared = F.size(F.array_intersect("x", "y")).cast("long")
+        return both.filter(100 * shared >= self.percent * (F.size("x") + F.size("y") - shared)).select("a", "b")
+
+    def labels(self) -> DataFrame:
+        """(row, label) of the edges found so far."""
+        if self.known is None:
+            self.known = components(self.edges, self.work)
+        return self.known
+
+    def stars(self, nodes: DataFrame, seed: int) -> None:
+        """Link each large node's rows to a pivot: the row with the smallest hash, so that nodes with
+        much the same rows have one pivot and a row meets it once. Those of its component needn't."""
+        at = nodes.join(self.labels(), "row", "left").select("node", "row", F.coalesce("label", "row").alias("label"))
+        pivot = at.groupBy("node").agg(F.min_by(F.struct("row", "label"), F.xxhash64("row", F.lit(seed))).alias("p"))
+        pairs = at.join(pivot, "node").filter("label != p.label").select(F.least("row", "p.row").alias("a"), F.greatest("row", "p.row").alias("b")).distinct()
+        part = lambda e: self.reps.select(F.col("row").alias(e), F.col("sig").alias(f"s{e}"))
+        same = F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda x: x))
+        pairs = self.work.keep(pairs.join(part("a"), "a").join(part("b"), "b").filter(same >= (self.percent / 100 - 0.3) * WIDTH).select("a", "b"))
+        if not pairs.isEmpty():
+            self.fetch(pairs.select(F.col("a").alias("row")).union(pairs.select("b")))
+            self.add(self.confirm(pairs))
+
+    def grow(self, trees: int) -> DataFrame:
+        """(node, row) of all small nodes with company; large ones branch until they are small."""
+        rows, done = branch(self.reps, trees), []
+        for level in range(LEVELS + 1):
+            counts = self.work.keep(rows.groupBy("node").agg(F.count("*").alias("size"), F.sum("n").alias("weight")).filter("size > 1"))
+            fits = (F.col("size") <= min(FEW, self.small)) | ((F.col("size") <= self.small) & (F.col("weight") <= WEIGHT))
+            done.append(rows.join(counts.filter(fits).select("node"), "node", "left_semi").select("node", "row"))
+            large = counts.filter(~fits)
+            if large.isEmpty():
+                break
+            stay = rows.join(large.select("node"), "node", "left_semi").select("node", "row", "n")
+            if level and level % STRIDE == 0:
+                self.stars(stay, level)
+                stay = mixed(stay, self.labels())
+            if level == LEVELS:
+                done.append(in_blocks(stay, large, self.small).select("node", "row"))
+            else:
+                rows = self.work.keep(branch(stay.select("node", "row").join(self.reps.select("row", "n", "sig"), "row")))
+        return reduce(DataFrame.unionByName, done)
+
+    def run(self, trees: int) -> DataFrame:
+        """(row, label) of all rows with a link; the label is the smallest row of the component."""
+        nodes = self.grow(trees)
+        tasks = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        at = nodes.join(self.reps.select("row", "n", "sig"), "row").join(self.labels(), "row", "left").withColumn("label", F.coalesce("label", "row"))
+        at = at.repartition(tasks, "node").sortWithinPartitions("node")
+        met = self.work.keep(at.mapInArrow(_possible(self.percent), "node long, a long, b long"))
+        pairs, dense = met.filter("b IS NOT NULL").select("a", "b").distinct(), met.filter("b IS NULL").select("node", F.col("a").alias("row"))
+        self.fetch(met.select(F.col("a").alias("row")).union(pairs.select("b")))
+        self.add(self.confirm(pairs))
+        if dense.isEmpty():
+            return self.labels()
+        full = mixed(dense, self.labels()).join(self.sets, "row")
+        self.add(full.groupBy("node").applyInArrow(_links(self.percent), "a long, b long"))
+        return self.labels()
+
+
+def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, trees: int = 12, small: int = 2048, max_bits: int = 1 << 27, mark: bool = False) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept, row.
 
     Documents are linked when 100 * intersection >= percent * union of their shingle sets;
     ``component_id`` is the smallest doc_id that links reach (nulls last) and ``kept`` marks that
-    row, exactly one of each component even if ids repeat or are null. A text of fewer than ``k``
-    words is one shingle; a null or empty one has none and is a component of its own. Extra columns
-    are ignored; an empty table gives an empty result.
+    row: doc_id = component_id, but exactly one row of each component even if ids repeat or are
+    null. A text of fewer than ``k`` words is one shingle; a null or empty one has none and is a
+    component of its own. Extra columns are ignored; an empty table gives an empty result.
 
     A pair at the threshold shares a child with probability .8 at each of 15 chosen positions of
     the first level, so with 12 trees nearly none are lost there; pairs that a node of more than
     ``small`` documents holds together branch on and meet in at least one tree with high
-    probability. ``mark`` adds text_sha256. Neither partners nor candidates are capped.
+    probability. ``mark`` adds text_sha256. Neither partners nor candidates are capped. A task that
+    compares a node holds the sets of at most ``small`` documents with ``WEIGHT`` shingles, or of
+    ``FEW`` documents of any length.
     """
     src = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     marks = [F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256")] if mark else []
     named = src.select(F.monotonically_increasing_id().alias("row"), "doc_id", *marks, "text")
     names = named.columns[:-1]
     schema = "row long, doc_id long" + ", text_sha256 string" * mark + ", n long, f1 long, f2 long, sig array<int>"
-    signed = materialize(named.mapInArrow(_signed(k, names), schema))
+    out, work = Scratch(df.sparkSession), Scratch(df.sparkSession)
+    signed = out.keep(named.mapInArrow(_signed(k, names), schema))
     full = signed.filter("n > 0")
     first = F.min_by("row", F.struct(F.col("doc_id").isNull(), "doc_id", "row"))
-    classes = materialize(full.groupBy("f1", "f2").agg(F.min("row").alias("rep"), F.min("doc_id").alias("least"), first.alias("first")))
-    reps = materialize(full.join(classes.select(F.col("rep").alias("row")), "row", "left_semi").select("row", "n", "f1", "f2", "sig"))
-
-    small_nodes, nodes = grow(branch(reps, trees), reps, small, STRIDE)
-    pairs = candidates(small_nodes, reps, percent)
-    used = pairs.select(F.col("a").alias("row")).union(pairs.select("b"))
-    if nodes is not None:
-        used = used.union(nodes.select("row"))
-    wanted = materialize(reps.select("row", "f1", "f2").join(used.distinct(), "row", "left_semi"))
-    bits = bitmap_bits(wanted.count(), max_bits)
-    marked = bitmap(wanted, F.col("f1").bitwiseAND(F.lit(bits - 1)), bits)
-    found = src.select("text").mapInArrow(_wanted_sets(marked, bits, k), "f1 long, f2 long, members array<long>")
-    sets = materialize(found.join(wanted, ["f1", "f2"]).groupBy("row").agg(F.first("members").alias("members")))
-
-    edges = link(pairs, nodes, reps, sets, small, percent)
-    drop_materialized(sets)
-    labels = components(edges)
+    classes = work.keep(full.groupBy("f1", "f2").agg(F.min("row").alias("rep"), F.min("doc_id").alias("least"), first.alias("first")))
+    reps = work.keep(full.join(classes.select(F.col("rep").alias("row")), "row", "left_semi").select("row", "n", "f1", "f2", "sig"))
+
+    labels = _Join(src, reps, k, percent, small, max_bits, work).run(trees)
     by_class = classes.join(labels.withColumnRenamed("row", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
     whole = by_class.groupBy("label").agg(F.min("least").alias("component_id"), F.min_by("first", F.struct(F.col("least").isNull(), "least", "first")).alias("keep_row"))
-    known = materialize(by_class.select("f1", "f2", "label").join(whole, "label").select("f1", "f2", "component_id", "keep_row"))
+    known = out.keep(by_class.select("f1", "f2", "label").join(whole, "label").select("f1", "f2", "component_id", "keep_row"))
+    work.clear()
     joined = signed.drop("sig").join(known, ["f1", "f2"], "left")
     return joined.select(
         "doc_id",
