@@ -1,9 +1,10 @@
 """Mixing sources to target weights by Sainte-Lague apportionment, with DataFrame functions only.
 
 The mix is made of blocks of equally many words. Blocks go to sources by highest quotients
-target / (2k + 1), then a source's blocks go to its shards in the same way by the shards' sizes. In
-a shard the documents lie in seeded order; a quota of whole passes and a rest takes that many blocks
-from the start of the order.
+target / (2k + 1), then a source's blocks go to its shards in the same way by the shards' sizes; what
+a full shard can't take goes to the others. In a shard the documents lie in seeded order. Its quota
+is so many whole passes and, for the rest, the blocks from a seeded one on, round the end: blocks
+next to each other, because these cut few documents.
 """
 
 from __future__ import annotations
@@ -44,26 +45,29 @@ def targets(sizes: DataFrame, share: float = 1.5, limit: float = 2.0, weights: t
     )
 
 
-def sainte_lague(df: DataFrame, group: list, weight: str, seats: str, tie: list, out: str) -> DataFrame:
-    """Integer seats per row by highest quotients weight / (2k + 1) within each group.
+def sainte_lague(df: DataFrame, group: list, weight: str, seats: str, tie: list, out: str, most: str | None = None) -> DataFrame:
+    """Integer seats per row by highest quotients weight / (2k + 1) within each group; ``most``
+    is a column with the most seats that a row can have.
 
     Rounding weight * seats / total misses the answer by at most a few seats per row, so only the
     seats around it are listed and ranked: 2 * reach rows for each input row, however many seats
     there are. Ties go to the row that comes first by ``tie``. A group without weight gets none.
     """
+    limit = F.lit((1 << 62)) if most is None else F.col(most)
     w = Window.partitionBy(*group)
     share = F.col(weight) / F.sum(weight).over(w)
     spread = (
         df.withColumn("_share", F.coalesce(F.when(F.sum(weight).over(w) > 0, share), F.lit(0.0)))
         .withColumn("_reach", (F.ceil(F.col("_share") * F.count("*").over(w)) + 2).cast("long"))
-        .withColumn("_low", F.greatest(F.lit(0), F.round(F.col("_share") * F.col(seats)).cast("long") - F.col("_reach")))
+        .withColumn("_low", F.least(limit, F.greatest(F.lit(0), F.round(F.col("_share") * F.col(seats)).cast("long") - F.col("_reach"))))
         .withColumn("_rest", F.col(seats) - F.sum("_low").over(w))
     )
     seat = F.explode(F.sequence(F.col("_low"), F.col("_low") + 2 * F.col("_reach")))
     best = Window.partitionBy(*group).orderBy(F.desc("_q"), *tie)
+    open_ = (F.col("_k") < limit) & (F.col("_share") > 0)
     won = (
         spread.withColumn("_k", seat)
-        .withColumn("_q", F.col("_share") / (2 * F.col("_k") + 1))
+        .withColumn("_q", F.when(open_, F.col("_share") / (2 * F.col("_k") + 1)).otherwise(0.0))
         .withColumn("_rank", F.row_number().over(best))
         .groupBy(*df.columns)
         .agg((F.first("_low") + F.sum(F.when((F.col("_rank") <= F.col("_rest")) & (F.col("_q") > 0), 1).otherwise(0))).cast("long").alias(out))
@@ -71,63 +75,54 @@ def sainte_lague(df: DataFrame, group: list, weight: str, seats: str, tie: list,
     return won
 
 
-def _part_of(quota: Column, size: Column, start: Column, length: Column, limit: int) -> Column:
-    """Words of the document at [start, start + length) that a quota over ``size`` words takes."""
-    passes = F.least(F.floor(quota / size), F.lit(limit))
-    rest = F.when(passes >= limit, 0).otherwise(quota - passes * size)
-    return (passes * length + F.greatest(F.lit(0), F.least(length, rest - start))).cast("long")
+def _taken(quota: Column, size: Column, offset: Column, start: Column, length: Column) -> Column:
+    """Words of a document at [start, start + length) of a shard of ``size`` words that a quota takes:
+    whole passes, and the rest as a run of words from ``offset`` on that goes round the end."""
+    rest = quota % size
+    inside = lambda a: F.greatest(F.lit(0), F.least(start + length, a + rest) - F.greatest(start, a))
+    return F.floor(quota / size) * length + inside(offset) + inside(offset - size)
 
 
-def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", share: float = 1.5, limit: int = 2, block: int = 16, shards: int = 4096, seed: int = 17, mark: bool = False) -> DataFrame:
-    """One row per input row: doc_id, size, source_size, target, taken, source, row.
+def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", share: float = 1.5, limit: int = 2, block: int = 16, shards: int = 4096, shard_words: int = 1 << 16, seed: int = 17, mark: bool = False) -> DataFrame:
+    """One row per input row: doc_id, size, source_size, target, taken, source[, text_sha256].
 
     ``taken`` is the number of words that the mix takes of a document, repeats counted: passes over
-    the whole document and, for a document on the edge, its first words. A null text has size 0 and
-    is never taken; null is a source like others, ordered last; a null or repeated doc_id is an
-    ordinary row. Extra columns are ignored. An empty table gives an empty result.
-
-    Sources are split over about ``shards`` shards by a hash of the row, in proportion to their
-    documents (``mark`` adds text_sha256), so that a source with a third of all rows has a third of the shards.
+    the whole document and, for a document on an edge of the chosen blocks, a part of its words. A
+    null text has size 0 and is never taken; null is a source like others, ordered last; a null or
+    repeated doc_id is an ordinary row. Extra columns are ignored. An empty table gives an empty
+    result.
+
+    A source's shards have ``shard_words`` words or more on average, and there are ``shards`` in all
+    or fewer, so a source with a third of all words has a third of them. All choices hang on the
+    sources, ids and texts alone, not on how the input is split. Rows equal in all these are counted
+    first and shown again at the end, so they don't meet in one task.
     """
-    rows = materialize(
-        df.select(
-            F.monotonically_increasing_id().alias("row"),
-            F.col(id_col).cast("long").alias("doc_id"),
-            F.col(source_col).cast("string").alias("source"),
-            word_count(text_or_empty(text_col)).alias("size"),
-            *([F.sha2(text_or_empty(text_col), 256).alias("text_sha256")] if mark else []),
-        )
-    )
-    sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
-    goal = targets(sizes, share, limit)
-    all_rows = Window.partitionBy()
-    goal = goal.withColumn("seats", F.round(F.sum("target").over(all_rows) / block).cast("long")).withColumn(
-        "n_shards", F.ceil(F.lit(shards) * F.col("n_docs") / F.sum("n_docs").over(all_rows)).cast("long")
+    text = text_or_empty(text_col)
+    digest = [F.sha2(text, 256).alias("text_sha256")] if mark else []
+    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(text).alias("size"), F.xxhash64(text).alias("key"), *digest)
+    rows = materialize(rows.groupBy(*rows.columns).agg(F.count("*").alias("copies")))
+    everything = Window.partitionBy()
+    goal = targets(rows.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("source_size")), share, limit)
+    total = F.sum("source_size").over(everything)
+    goal = goal.withColumn("seats", F.round(F.sum(F.round("target", 3)).over(everything) / block).cast("long")).select(
+        "*",
+        F.round(F.col("target") * 1024).cast("long").alias("parts"),  # exact sums in any order
+        F.ceil(limit * F.col("source_size") / block).cast("long").alias("most"),
+        F.greatest(F.lit(1), F.ceil(F.col("source_size") / F.greatest(F.lit(shard_words), total / shards))).cast("long").alias("n_shards"),
     )
-    by_source = materialize(sainte_lague(goal, [], "target", "seats", [F.col("source").asc_nulls_last()], "quota"))
+    by_source = materialize(sainte_lague(goal, [], "parts", "seats", [F.col("source").asc_nulls_last()], "quota", "most"))
 
-    seeded = F.xxhash64(F.lit(seed), "doc_id", "row")
+    seeded = lambda i: F.xxhash64(F.lit(seed + i), "doc_id", "key", "size")
     known = F.broadcast(by_source) if by_source.count() <= 100_000 else by_source
-    dealt = (
-        rows.alias("r")
-        .join(known.alias("s"), F.col("r.source").eqNullSafe(F.col("s.source")))
-        .select("r.*", "source_size", "target", "quota", F.pmod(seeded, F.col("n_shards")).alias("shard"), F.xxhash64(F.lit(seed + 1), "doc_id", "row").alias("place"))
-    )
-    cells = dealt.groupBy("source", "quota", "shard").agg(F.sum("size").alias("shard_size"))
-    cells = sainte_lague(cells, ["source"], "shard_size", "quota", ["shard"], "shard_quota").select("source", "shard", "shard_size", "shard_quota")
-    lie = Window.partitionBy("source", "shard").orderBy("place", "row")
-    laid = dealt.withColumn("start", F.sum("size").over(lie) - F.col("size"))
-    return (
-        laid.alias("d")
-        .join(cells.alias("c"), F.col("d.source").eqNullSafe(F.col("c.source")) & (F.col("d.shard") == F.col("c.shard")))
-        .select(
-            "doc_id",
-            "size",
-            "source_size",
-            "target",
-            F.when(F.col("size") == 0, F.lit(0)).otherwise(_part_of(F.col("shard_quota") * block, F.col("shard_size"), F.col("start"), F.col("size"), limit)).cast("long").alias("taken"),
-            F.col("d.source").alias("source"),
-            *rows.columns[4:],
-            "row",
-        )
-    )
+    dealt = rows.alias("r").join(known.alias("s"), F.col("r.source").eqNullSafe(F.col("s.source")))
+    dealt = dealt.select("r.*", "source_size", "target", "quota", F.pmod(seeded(0), F.col("n_shards")).alias("shard"), seeded(1).alias("place"))
+    cells = dealt.groupBy("source", "quota", "shard").agg(F.sum(F.col("size") * F.col("copies")).alias("shard_size")).withColumn("most", F.ceil(limit * F.col("shard_size") / block).cast("long"))
+    cells = sainte_lague(cells, ["source"], "shard_size", "quota", ["shard"], "blocks", "most").select("source", "shard", "shard_size", "blocks")
+    lie = Window.partitionBy("source", "shard").orderBy("place", "doc_id", "key", "size")
+    laid = dealt.withColumn("start", F.sum(F.col("size") * F.col("copies")).over(lie) - F.col("size") * F.col("copies"))
+    here = laid.alias("d").join(cells.alias("c"), F.col("d.source").eqNullSafe(F.col("c.source")) & (F.col("d.shard") == F.col("c.shard")))
+    here = here.select("d.*", "c.shard_size", "c.blocks", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("copy"))
+    first = F.pmod(F.xxhash64(F.lit(seed + 2), "source", "shard"), F.greatest(F.lit(1), F.floor(F.col("shard_size") / block))) * block
+    quota = F.least(F.col("blocks") * block, limit * F.col("shard_size"))
+    taken = _taken(quota, F.col("shard_size"), first, F.col("start") + F.col("copy") * F.col("size"), F.col("size"))
+    return here.select("doc_id", "size", "source_size", "target", F.when(F.col("size") == 0, F.lit(0)).otherwise(taken).cast("long").alias("taken"), "source", *(["text_sha256"] if mark else []))

@@ -98,6 +98,21 @@ def test_mix(which, request):
     assert again == Counter((r["doc_id"], r["taken"]) for r in rows)
 
 
+def test_mix_of_short_texts(spark):
+    rng = random.Random(9)
+    rows = [(i, " ".join(["w"] * rng.randint(1, 3)) + str(i % 40), rng.choice("aaabbc")) for i in range(6000)] + [(None, "no id", "a")] * 300
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    results = []
+    for split in (df, df.repartition(5, "doc_id"), df.repartition(13).sortWithinPartitions("text")):
+        got = M.mix(split, shard_words=512).collect()
+        results.append(Counter(tuple(r) for r in got))
+        for s in "abc":
+            own = [r for r in got if r["source"] == s]
+            assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= max(16, 0.01 * own[0]["target"])
+        assert all(0 <= r["taken"] <= 2 * r["size"] for r in got)
+    assert results[0] == results[1] == results[2] and sum(results[0].values()) == len(rows)
+
+
 def test_mix_empty(none):
     assert M.mix(none).count() == 0
 

@@ -285,3 +285,27 @@ def test_lm_scores(which, request):
 
 def test_lm_empty(none):
     assert G.lm_scores(none).count() == 0
+
+
+def test_lm_beats_its_base_on_held_out_texts(documents):
+    x = G.lm_scores(documents).filter("held_out").groupBy().sum("score", "base_score").first()
+    assert x["sum(score)"] > x["sum(base_score)"]
+
+
+@pytest.mark.parametrize("density", [0.02, 0.5, 0.95])
+def test_select_in_words(density):
+    rng = np.random.default_rng(3)
+    bits = rng.random((500, 64)) < density
+    words = np.packbits(bits, axis=1, bitorder="little").view("<u8").ravel()
+    sums = G.byte_sums(words)
+    assert (sums >> np.uint64(56) == bits.sum(1)).all()
+    for k in range(8):
+        some = bits.sum(1) > k
+        got = G.select(words, np.full(500, k), sums)[some]
+        assert got.tolist() == [int(np.flatnonzero(b)[k]) for b in bits[some]]
+
+
+def test_lm_shards_follow_the_text(documents):
+    few = G.build(documents.select(F.coalesce("text", F.lit("")).alias("text")), 1000.0, 20.0)
+    many = G.build(documents.select(F.coalesce("text", F.lit("")).alias("text")), 1000.0, 20.0, shard=1 << 14)
+    assert few["shards"] < many["shards"] and few["tokens"] == many["tokens"]
