@@ -18,9 +18,8 @@ from __future__ import annotations
 
 import json
 import mmap
-import os
+import re
 import sys
-import tempfile
 import uuid
 from types import SimpleNamespace
 
@@ -36,9 +35,33 @@ from .common import as_bytes, runs, shared_dir, text_or_empty
 BLOCK = 32
 WINDOW = np.uint64((1 << 56) - 1)
 END = xxhash.xxh3_64_intdigest(b"\n")  # no word has a separator
+SHARD = 16 << 20  # bytes of training text to a shard, on average
 TOKENS = 2_000_000  # tokens that a worker holds at once, but for a longer single text
 
 
+#: For select in a word: bytes of ones and of high bits, and the place of the k-th one of each byte.
+ONES, HIGH = np.uint64(0x0101010101010101), np.uint64(0x8080808080808080)
+_IN_BYTE = np.array([[([i for i in range(8) if x >> i & 1] + [0] * 8)[k] for x in range(256)] for k in range(8)], np.int64).ravel()
+
+
+def byte_sums(x: np.ndarray) -> np.ndarray:
+    """Byte i of each result: how many ones bytes 0 to i of the word have."""
+    s = x - ((x >> np.uint64(1)) & np.uint64(0x5555555555555555))
+    s = (s & np.uint64(0x3333333333333333)) + ((s >> np.uint64(2)) & np.uint64(0x3333333333333333))
+    s += s >> np.uint64(4)
+    s &= np.uint64(0x0F0F0F0F0F0F0F0F)
+    s *= ONES
+    return s
+
+
+def select(x: np.ndarray, k: np.ndarray, sums: np.ndarray) -> np.ndarray:
+    """Place of the k-th (from 0) one of each word; anything where it has fewer."""
+    k = np.minimum(k, 63).astype(np.uint64)
+    shift = np.minimum(np.bitwise_count(((k * ONES | HIGH) - sums) & HIGH), 7).astype(np.uint64) << np.uint64(3)
+    k -= (sums << np.uint64(8)) >> shift & np.uint64(255)
+    return shift.astype(np.int64) + _IN_BYTE[((k & np.uint64(7)) << np.uint64(8)) | (x >> shift & np.uint64(255))]
+
+
 class EliasFano:
     """A non-decreasing sequence of unsigned numbers in about 2 + log2(universe / n) bits each."""
 
@@ -74,22 +97,21 @@ class EliasFano:
 
     def _nth(self, start: np.ndarray, r: np.ndarray, zeros: bool) -> np.ndarray:
         """Place of the r-th (from 0) one, or zero, at or after bit ``start`` of the high bits."""
-        out, todo = np.empty(len(start), np.int64), np.arange(len(start))
-        while len(todo):
+        out, todo = None, None
+        while out is None or len(todo):
             w = (self.bits[start >> 3] >> (start & 7).astype(np.uint64)) & WINDOW
             if zeros:
                 w ^= WINDOW
-            n = np.bitwise_count(w).astype(np.int64)
-            here = r < n
-            x, k, place = w[here], r[here], start[here].copy()
-            for width in (32, 16, 8, 4, 2, 1):
-                low = np.bitwise_count(x & np.uint64((1 << width) - 1))
-                up = k >= low
-                k -= np.where(up, low, 0)
-                x >>= up.astype(np.uint64) * np.uint64(width)
-                place += up * width
-            out[todo[here]] = place
-            start, r, todo = start[~here] + 56, (r - n)[~here], todo[~here]
+            sums = byte_sums(w)
+            n = (sums >> np.uint64(56)).astype(np.int64)
+            place = start + select(w, r, sums)
+            on = np.flatnonzero(r >= n)
+            if out is None:
+                out, todo = place, on
+            else:
+                out[todo] = place
+                todo = todo[on]
+            start, r = start[on] + 56, (r - n)[on]
         return out
 
     def _low(self, index: np.ndarray) -> np.ndarray:
@@ -183,25 +205,35 @@ def write_parts(folder: str, name: str, parts: dict) -> None:
         at += len(body[-1])
     top = json.dumps(head).encode()
     top += b" " * (-len(top) % 8)
-    store, path = fs.FileSystem.from_uri(folder)
+    store, path = _store(folder)
     store.create_dir(path, recursive=True)
     attempt = f"{path}/.{name}-{uuid.uuid4().hex}"
     with store.open_output_stream(attempt) as f:
         f.write(len(top).to_bytes(8, "little") + top + b"".join(body))
-    store.move(attempt, f"{path}/{name}")
+    there = lambda: store.get_file_info(f"{path}/{name}").type == fs.FileType.File
+    try:
+        if not there():
+            store.move(attempt, f"{path}/{name}")
+            return
+    except OSError:  # some stores don't move onto what another attempt has put there meanwhile
+        if not there():
+            raise
+    store.delete_file(attempt)
+
+
+def _store(folder: str) -> tuple[fs.FileSystem, str]:
+    return fs.FileSystem.from_uri(re.sub("^s3[an]://", "s3://", folder))
 
 
 def map_parts(folder: str, name: str) -> dict:
-    """The arrays of a file, mapped into memory. A file in a store without local paths is first
-    copied to the worker's own disk."""
-    store, path = fs.FileSystem.from_uri(folder)
-    path = f"{path}/{name}"
-    if not isinstance(store, fs.LocalFileSystem):
-        own = os.path.join(tempfile.gettempdir(), f"{uuid.uuid4().hex}-{name}")
-        fs.copy_files(path, own, source_filesystem=store, destination_filesystem=fs.LocalFileSystem())
-        path = own
-    with open(path, "rb") as f:
-        data = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
+    """The arrays of a file, mapped into memory; where the store has no local paths, read into it."""
+    store, path = _store(folder)
+    if isinstance(store, fs.LocalFileSystem):
+        with open(f"{path}/{name}", "rb") as f:
+            data = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
+    else:
+        with store.open_input_file(f"{path}/{name}") as f:
+            data = f.read()
     size = int.from_bytes(data[:8], "little")
     return {k: np.frombuffer(data, kind, n, 8 + size + at) for k, (kind, n, at) in json.loads(data[8 : 8 + size]).items()}
 
@@ -468,11 +500,12 @@ def held_out(id_col: str, of: int = 7, rest: int = 2) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % of == rest, F.lit(False))
 
 
-def build(train: DataFrame, docs: int, m2: float, m3: float) -> dict:
+def build(train: DataFrame, m2: float, m3: float, shard: int = SHARD) -> dict:
     """Count ``train`` (text) and write the model's files; what comes back is small and names them."""
     spark = train.sparkSession
-    bits = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length()
-    folder, shift = shared_dir(spark), 64 - bits
+    docs, size = train.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    bits = max(2, size // shard).bit_length()
+    folder, shift = shared_dir(spark, "model"), 64 - bits
     written = "shard int, n long, tokens long"
     found = train.mapInArrow(_count_words(shift), "shard int, blob binary").groupBy("shard").applyInArrow(_write_words(folder, shift), written).collect()
     sizes = [0] * (1 << bits)
@@ -495,11 +528,11 @@ def lm_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m2:
     ids are ordinary rows, each of which counts; extra columns are ignored; an empty table gives an
     empty result. Words are told apart by 64-bit hashes.
 
-    Shards follow spark.sql.shuffle.partitions and are dealt by a hash of the last two words of a
-    triple, so no common word makes one of them large. All triples are kept, without pruning.
+    There is a shard for every ``SHARD`` bytes of training text, so that one fits in a task whatever
+    the corpus; triples are dealt to them by a hash of their last two words, so no common word makes
+    one of them large. All triples are kept, without pruning.
     """
     src = df.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")).withColumn("held_out", held_out("doc_id"))
     train = src.filter(~F.col("held_out")).select("text")
-    docs = src.select("held_out").filter(~F.col("held_out")).count()
-    model = build(train, docs, m2, m3)
+    model = build(train, m2, m3)
     return src.mapInArrow(_score(model), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
