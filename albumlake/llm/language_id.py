@@ -107,30 +107,35 @@ def held_out(id_col: str, of: int = 3, rest: int = 1) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % of == rest, F.lit(False))
 
 
-def learn(df: DataFrame, id_col: str, text_col: str, lang_col: str, max_docs: int, max_bytes: int) -> ByteModel:
+def spread(text: Column, most: int, pieces: int = 8) -> Column:
+    """The text, or pieces from all over it with ``most`` characters together."""
+    n, each = F.char_length(text), most // pieces
+    part = lambda i: F.substring(text, (1 + F.floor(i * (n - each) / (pieces - 1))).cast("int"), F.lit(each))
+    return F.when(n <= most, F.array(text)).otherwise(F.transform(F.sequence(F.lit(0), F.lit(pieces - 1)), part))
+
+
+def learn(df: DataFrame, id_col: str, text_col: str, lang_col: str, max_docs: int, max_chars: int, max_langs: int) -> ByteModel:
     """Context trees from a bounded sample of the labelled documents that aren't held out.
 
-    The sample has, per language, the ``max_docs`` documents with the smallest hashes of their ids,
-    of those with at most ``max_bytes``.
+    The sample has, per language, the ``max_docs`` distinct (id, text) with the smallest hashes, and
+    of a text longer than ``max_chars`` that many characters from all over it; so a language that
+    has only long texts is learned too. More than ``max_langs`` languages are refused, because each
+    has tables of up to 67 MB.
     """
-    usable = F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & (F.octet_length(text_col) <= max_bytes)
-    labelled = df.filter(~held_out(id_col) & usable)
-    key = F.xxhash64(F.lit(5), F.col(id_col))
-    rank = F.row_number().over(Window.partitionBy("lang", "salt").orderBy("key", "doc_id"))
-    narrow = labelled.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), key.alias("key"), F.pmod(key, F.lit(64)).alias("salt"))
+    labelled = df.filter(~held_out(id_col) & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
+    labelled = labelled.select(F.col(lang_col).alias("lang"), F.xxhash64(F.lit(5), id_col, text_col).alias("key"), F.col(text_col).alias("text"))
+    distinct = labelled.groupBy("lang", "key").agg(F.lit(1).alias("one"))
     # first the smallest of each part of a language, then those of the language
-    few = narrow.withColumn("r", rank).filter(F.col("r") <= max_docs)
-    few = few.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("key", "doc_id"))).filter(F.col("r") <= max_docs)
-    ids = few.select("doc_id").distinct()
-    rows = (
-        labelled.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-        .join(F.broadcast(ids), "doc_id", "left_semi")
-        .select("lang", "text")
-        .collect()
-    )
+    few = distinct.withColumn("r", F.row_number().over(Window.partitionBy("lang", F.pmod("key", F.lit(8))).orderBy("key"))).filter(F.col("r") <= max_docs)
+    few = few.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("key"))).filter(F.col("r") <= max_docs)
+    chosen = few.select("lang", "key").limit(max_docs * max_langs + 1).collect()
+    if len({r["lang"] for r in chosen}) > max_langs or len(chosen) > max_docs * max_langs:
+        raise ValueError(f"more languages than max_langs = {max_langs}")
+    keys = df.sparkSession.createDataFrame(chosen, "lang string, key long")
+    rows = labelled.join(F.broadcast(keys), ["lang", "key"]).groupBy("lang", "key").agg(F.first(spread(F.col("text"), max_chars)).alias("pieces")).collect()
     texts: dict[str, list[bytes]] = {}
     for r in sorted(rows):
-        texts.setdefault(r["lang"], []).append(r["text"].encode("utf-8"))
+        texts.setdefault(r["lang"], []).extend(x.encode("utf-8") for x in r["pieces"])
     return ByteModel(texts)
 
 
@@ -153,7 +158,7 @@ def _predict(model: ByteModel):
     return run
 
 
-def language_id(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_docs: int = 300, max_bytes: int = 20_000) -> DataFrame:
+def language_id(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_docs: int = 300, max_chars: int = 20_000, max_langs: int = 32) -> DataFrame:
     """One row per input row: doc_id, held_out, lang_pred, score (posterior of the language, 0 to 1).
 
     A null text, or one without a letter, is ``und`` with score 0; so is every text if there is
@@ -163,5 +168,5 @@ def language_id(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     predicted are read whole, in one pass without a shuffle.
     """
     src = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    model = learn(src, "doc_id", "text", "lang", max_docs, max_bytes)
+    model = learn(src, "doc_id", "text", "lang", max_docs, max_chars, max_langs)
     return src.select("doc_id", held_out("doc_id").alias("held_out"), "text").mapInArrow(_predict(model), "doc_id long, held_out boolean, lang_pred string, score double")

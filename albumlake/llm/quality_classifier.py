@@ -61,7 +61,7 @@ def _extract(batches):
     for batch in batches:
         for part in slices(batch, 500):
             rows = [features.of(t) for t in as_bytes(part.column("text"))]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("grade"), pa.array(rows, pa.list_(pa.int32()))], names=["doc_id", "grade", "features"])
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", "grade", "key")), pa.array(rows, pa.list_(pa.int32()))], names=["doc_id", "grade", "key", "features"])
 
 
 class Ordinal:
@@ -144,15 +144,17 @@ def rating(labels: DataFrame) -> DataFrame:
 
 
 def train(df: DataFrame, ratings: DataFrame, max_rows: int = 12_000, max_bytes: int = 200_000) -> Ordinal | None:
-    """Fit on a bounded sample: the ``max_rows`` rated documents with the smallest hashes of their
-    ids, of those with at most ``max_bytes``. Features are extracted by the executors."""
-    ids = ratings.orderBy(F.xxhash64(F.lit(11), "doc_id"), "doc_id").limit(max_rows)
-    rated = df.filter(F.octet_length("text") <= max_bytes).join(F.broadcast(ids), "doc_id").select("doc_id", "grade", "text")
-    sample = rated.mapInArrow(_extract, "doc_id long, grade int, features array<int>").collect()
-    if not sample:
+    """Fit on a bounded sample: of the ``max_rows`` rated ids with the smallest hashes, the first
+    ``max_rows`` distinct texts by the same order, of those with at most ``max_bytes``. Features are
+    extracted by the executors, and only the sample's come to the driver."""
+    order = [F.xxhash64(F.lit(11), "doc_id"), F.col("doc_id")]
+    ids = ratings.orderBy(*order).limit(max_rows)
+    rated = df.filter(F.octet_length("text") <= max_bytes).join(F.broadcast(ids), "doc_id").select("doc_id", "grade", F.xxhash64("text").alias("key"), "text")
+    rows = rated.mapInArrow(_extract, "doc_id long, grade int, key long, features array<int>").groupBy("doc_id", "key").agg(F.first("grade").alias("grade"), F.first("features").alias("features"))
+    sample = rows.orderBy(*order, "key").limit(max_rows).select("grade", "features").toArrow().combine_chunks()
+    if not sample.num_rows:
         return None
-    sample.sort(key=lambda r: (r["doc_id"], r["grade"], r["features"]))
-    return Ordinal.fit([np.array(r["features"], np.int32) for r in sample], np.array([r["grade"] for r in sample]))
+    return Ordinal.fit([x.values.to_numpy() for x in sample.column("features")], sample.column("grade").to_numpy())
 
 
 def quality_classifier(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", at_least: int = 2, threshold: float = 0.5, carry: Column | None = None) -> DataFrame:

@@ -3,6 +3,7 @@
 import base64
 import gzip
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -309,3 +310,87 @@ def test_lm_shards_follow_the_text(documents):
     few = G.build(documents.select(F.coalesce("text", F.lit("")).alias("text")), 1000.0, 20.0)
     many = G.build(documents.select(F.coalesce("text", F.lit("")).alias("text")), 1000.0, 20.0, shard=1 << 14)
     assert few["shards"] < many["shards"] and few["tokens"] == many["tokens"]
+
+
+def test_language_with_long_texts_only(spark):
+    rng = random.Random(5)
+    text = lambda words, n: " ".join(rng.choices(words.split(), k=n))
+    en, fr = "the of and to in is that was for with his they this", "le la de et les des en un une que dans pour qui"
+    rows = [(i, text(en, 60), "en") for i in range(200)] + [(1000 + i, text(fr, 9000), "fr") for i in range(60)]
+    got = L.language_id(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    assert {(r["lang_pred"], r["doc_id"] >= 1000) for r in got} == {("en", False), ("fr", True)}
+    with pytest.raises(ValueError):
+        L.language_id(spark.createDataFrame(rows, "doc_id long, text string, lang string"), max_langs=1)
+
+
+def plain_bits(train, text, order=3, least=2):
+    """Code length by prediction by partial matching, written without tables: escapes by kinds,
+    exclusion of symbols already offered, contexts seen ``least`` times at least."""
+    counts = [Counter() for _ in range(order + 1)]
+    for t in train:
+        s = b"\n" * order + t
+        for i in range(order, len(s)):
+            for k in range(order + 1):
+                counts[k][s[i - k : i], s[i]] += 1
+    offered = [{} for _ in counts]
+    for k, own in enumerate(counts):
+        for (context, symbol), n in own.items():
+            offered[k].setdefault(context, {})[symbol] = n
+
+    def shares(context, k):
+        """All 256 probabilities: seen symbols by count, the rest by the shorter context."""
+        if k < 0:
+            return [1 / 256] * 256
+        here = offered[k].get(context[len(context) - k :], {})
+        lower = shares(context, k - 1)
+        n, d = sum(here.values()), len(here)
+        if n < least:
+            return lower
+        rest = sum(lower[x] for x in range(256) if x not in here)
+        return [here[x] / (n + d) if x in here else d / (n + d) * lower[x] / rest for x in range(256)]
+
+    s = b"\n" * order + text
+    return sum(-math.log2(shares(s[:i], order)[s[i]]) for i in range(order, len(s)))
+
+
+def test_code_lengths_match_plain_partial_matching():
+    train = {"x": [b"abracadabra abra", b"cabra"], "y": [b"hello hello", b"help the held"]}
+    model = L.ByteModel(train)
+    texts = [b"abra", b"hel\xff", b"zq a", b"cab held"]
+    got = model.code_lengths(texts)
+    for i, t in enumerate(texts):
+        for k, lang in enumerate(model.langs):
+            assert got[i, k] == pytest.approx(plain_bits(train[lang], t), rel=1e-4)
+
+
+def test_classifier_sample_is_bounded_for_a_repeated_id(spark, monkeypatch):
+    docs = spark.range(900).select(F.lit(7).cast("long").alias("doc_id"), F.concat(F.lit("text "), F.col("id")).alias("text"))
+    labels = spark.createDataFrame([(7, 1, 0)], "doc_id long, quality int, toxic int")
+    seen = []
+    monkeypatch.setattr(Q.Ordinal, "fit", classmethod(lambda cls, rows, rated, **kw: seen.append(len(rows))))
+    Q.train(docs.unionByName(docs), Q.rating(labels), max_rows=500)
+    assert seen == [500]
+
+
+def test_ordinal_fit_reaches_the_maximum(spark):
+    """At the fitted parameters the likelihood's numerical gradient by the thresholds is almost nothing."""
+    rng = np.random.default_rng(1)
+    rows = [np.unique(rng.integers(0, 60, 12)).astype(np.int32) for _ in range(600)]
+    y = np.array([int((r < 20).sum() + rng.normal() > 3) + int((r < 20).sum() + rng.normal() > 5) for r in rows])
+    model = Q.Ordinal.fit(rows, y, rounds=900)
+
+    def loss(th):
+        total = 0.0
+        for r, g in zip(rows, y):
+            w = model.weights[r]
+            score = float(np.nansum(w)) / math.sqrt(max(int((~np.isnan(w)).sum()), 1))
+            cdf = [0.0, *(1 / (1 + math.exp(score - t)) for t in th), 1.0]
+            total -= math.log(max(cdf[g + 1] - cdf[g], 1e-12))
+        return total / len(rows)
+
+    best = loss(model.thresholds)
+    for k in range(len(model.thresholds)):
+        for step in (-0.2, 0.2):
+            th = model.thresholds.copy()
+            th[k] += step
+            assert loss(th) > best
