@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import TERM, query_terms
+from ..sources.scratch import materialize
 from .ordering import with_ordinal
 
 K1, B = 1.2, 0.75  # BM25
@@ -14,19 +15,26 @@ K1, B = 1.2, 0.75  # BM25
 def bm25(texts: DataFrame, queries: DataFrame, limit: int | None = None) -> DataFrame:
     """(query_id, unit_id, score, rank) of the units that share a term with a query, best first.
 
-    Queries (query_id, q) are few and short; at most 32 terms each count, and only units' tokens
-    that some query asks for are shuffled. Ties go to the smaller unit.
+    At most 32 terms of a query (query_id, q) count. Every text is tokenised once: what is kept of it
+    is its length and, for up to 256 terms asked in all, only its tokens among them. Tables of terms
+    are broadcast up to 100,000 terms and joined by shuffle beyond. Ties go to the smaller unit.
     """
     terms = queries.select("query_id", F.explode(F.array_distinct(F.transform(query_terms(F.lower("q")), lambda t: t))).alias("term"))
+    wanted = terms.select("term").distinct()
+    n_terms = wanted.count()
+    small = (lambda x: F.broadcast(x)) if n_terms <= 100_000 else (lambda x: x)
     tokens = F.regexp_extract_all(F.lower(F.coalesce("search_text", F.lit(""))), F.lit(TERM), F.lit(0))
     docs = texts.select("unit_id", tokens.alias("tokens")).withColumn("length", F.size("tokens"))
+    if n_terms <= 256:
+        among = F.array(*[F.lit(r["term"]) for r in wanted.collect()]) if n_terms else F.array().cast("array<string>")
+        docs = docs.withColumn("tokens", F.filter("tokens", lambda t: F.array_contains(among, t)))
+    docs = materialize(docs)
     total = docs.agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
-    asked = F.broadcast(terms.select("term").distinct())
-    tf = docs.select("unit_id", "length", F.explode("tokens").alias("term")).join(asked, "term").groupBy("unit_id", "length", "term").agg(F.count("*").alias("tf"))
+    tf = docs.select("unit_id", "length", F.explode("tokens").alias("term")).join(small(wanted), "term").groupBy("unit_id", "length", "term").agg(F.count("*").alias("tf"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
-    hits = tf.join(F.broadcast(df), "term").crossJoin(F.broadcast(total)).join(F.broadcast(terms), "term")
+    hits = tf.join(small(df), "term").crossJoin(F.broadcast(total)).join(small(terms), "term")
     scored = hits.withColumn("part", part).groupBy("query_id", "unit_id").agg(F.round(F.sum("part"), 9).alias("score"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "unit_id")
     ranked = scored.withColumn("rank", F.row_number().over(best))
@@ -66,10 +74,17 @@ def moments(matches: DataFrame, most: int = 12) -> DataFrame:
     return shown.join(n, "asset_id")
 
 
-def hybrid_search(visual: DataFrame, places: DataFrame, text: DataFrame, names: DataFrame) -> DataFrame:
-    """Fusion of the four streams (asset_id, r): names weigh twice."""
+def hybrid_search(visual: DataFrame, places: DataFrame, text: DataFrame, names: DataFrame, allowed: DataFrame | None = None) -> DataFrame:
+    """Fusion of the four streams (asset_id, r): names weigh twice.
+
+    With ``allowed`` (asset_id), only those assets take part: each stream is cut down to them and
+    ranked anew before the fusion, as if it had been filtered before its ranking.
+    """
     out = None
     for label, df, weight in (("visual", visual, 1.0), ("place", places, 1.0), ("text", text, 1.0), ("name", names, 2.0)):
+        if allowed is not None:
+            kept = df.select("asset_id", "r").join(allowed.select("asset_id"), "asset_id", "left_semi")
+            df = with_ordinal(kept.withColumnRenamed("r", "before"), [F.col("before").asc(), F.col("asset_id").asc()], "r")
         part = df.select(F.lit(label).alias("stream"), F.lit(weight).alias("weight"), F.col("r").cast("long").alias("r"), "asset_id")
         out = part if out is None else out.unionByName(part)
     return fuse_rrf(out)

@@ -18,12 +18,12 @@ def source_format_digest(spark, d):
     return p.select("page_id", "path", tables.format_key(F.col("path")).alias("ext"), tables.classify_format(F.col("path")).alias("grp"), tables.content_digest("html").alias("digest"))
 
 
-@query("""SELECT doc_id // 3 AS unit_id, max(n_chars) AS revision FROM documents WHERE doc_id % 4 <> 0 GROUP BY 1
+@query("""SELECT doc_id // 3 AS unit_id, max(n_chars) AS revision FROM documents GROUP BY 1
   HAVING (doc_id // 3) % 5 <> 0 OR (doc_id // 3) % 10 = 0 ORDER BY 1""")
 def source_apply_changes(spark, d):
     docs = table(spark, d, "documents").withColumn("unit_id", F.expr("doc_id div 3"))
-    base = docs.filter("doc_id % 4 <> 0").groupBy("unit_id").agg((F.max("n_chars") - 1).alias("revision"))
-    ups = docs.filter("doc_id % 4 <> 0").groupBy("unit_id").agg(F.max("n_chars").alias("revision")).filter("unit_id % 5 <> 0 or unit_id % 10 = 0")
+    base = docs.groupBy("unit_id").agg((F.max("n_chars") - 1).alias("revision"))
+    ups = docs.groupBy("unit_id").agg(F.max("n_chars").alias("revision")).filter("unit_id % 5 <> 0 or unit_id % 10 = 0")
     gone = base.filter("unit_id % 5 = 0 and unit_id % 10 <> 0").select("unit_id")
     once = tables.apply_changes(base, ups, gone)
     return tables.apply_changes(once, ups, gone)
@@ -304,9 +304,9 @@ def report_transfer_rate(spark, d):
 @query("""SELECT id, city_id, city, round(2 * 6371 * asin(sqrt(least(1, pow(sin(radians(c_lat - lat) / 2), 2) + cos(radians(lat)) * cos(radians(c_lat)) * pow(sin(radians(c_lon - lon) / 2), 2)))), 3) AS km FROM (
   SELECT p.id, c.id AS city_id, c.name AS city, c.latitude AS c_lat, c.longitude AS c_lon, lat, lon, row_number() OVER (PARTITION BY p.id ORDER BY
     round(cos(radians(lat)) * cos(radians(lon)) * cos(radians(c.latitude)) * cos(radians(c.longitude)) + cos(radians(lat)) * sin(radians(lon)) * cos(radians(c.latitude)) * sin(radians(c.longitude)) + sin(radians(lat)) * sin(radians(c.latitude)), 12) DESC, c.id) AS r
-  FROM (SELECT event_id AS id, event_id * 13 % 170 - 85 + 0.25::DOUBLE AS lat, event_id * 29 % 350 - 175 + 0.25::DOUBLE AS lon FROM events WHERE event_id % 3 = 0) p, cities c) WHERE r = 1""", "cities")
+  FROM (SELECT event_id AS id, event_id * 13 % 170 - 85 + 0.25::DOUBLE AS lat, event_id * 29 % 350 - 175 + 0.25::DOUBLE AS lon FROM events) p, cities c) WHERE r = 1""", "cities")
 def geo_nearest_city(spark, d):
-    p = table(spark, d, "events").selectExpr("event_id as id", "case when event_id % 3 = 0 then cast(event_id * 13 % 170 - 85 + 0.25 as double) end as latitude", "cast(event_id * 29 % 350 - 175 + 0.25 as double) as longitude", "cast(null as double) as user_latitude", "cast(null as double) as user_longitude", "'' as geo_text")
+    p = table(spark, d, "events").selectExpr("event_id as id", "cast(event_id * 13 % 170 - 85 + 0.25 as double) as latitude", "cast(event_id * 29 % 350 - 175 + 0.25 as double) as longitude", "cast(null as double) as user_latitude", "cast(null as double) as user_longitude", "'' as geo_text")
     return geo.nearest_city(p, cities(spark, d))
 
 
@@ -329,11 +329,11 @@ def geo_places_of_result(spark, d):
 
 
 # ---- scalars ----
-@query("""SELECT page_id, lower(path) AS folded, regexp_replace(lower(split_part(path, '/', -1)), '(\\.[a-z0-9]{2,5})+$', '') AS bare, (page_id * 1234 // 60000) || ':' || lpad((page_id * 1234 // 1000 % 60)::VARCHAR, 2, '0') AS moment,
-  len(range(0, greatest(1, page_id * 1234), 10000))::INTEGER AS n_frames, lower(regexp_replace(folder, '/+$', '')) AS key FROM folders WHERE page_id * 1234 < 3600000""", "folders")
+@query("""SELECT page_id, lower(path) AS folded, regexp_replace(lower(split_part(path, '/', -1)), '(\\.[a-z0-9]{2,5})+$', '') AS bare, CASE WHEN ms >= 3600000 THEN (ms // 3600000) || ':' || lpad((ms // 60000 % 60)::VARCHAR, 2, '0') ELSE (ms // 60000)::VARCHAR END || ':' || lpad((ms // 1000 % 60)::VARCHAR, 2, '0') AS moment,
+  len(range(0, greatest(1, ms), 10000))::INTEGER AS n_frames, lower(regexp_replace(folder, '/+$', '')) AS key FROM (SELECT *, page_id * 123457 % 36000000 AS ms FROM folders)""", "folders")
 def scalar_names_times(spark, d):
-    f = folders(spark, d).filter("page_id * 1234 < 3600000")
-    ms = F.col("page_id") * 1234
+    f = folders(spark, d)
+    ms = F.col("page_id") * 123457 % 36000000
     return f.select("page_id", S.fold("path").alias("folded"), S.version_name(F.element_at(F.split("path", "/"), -1)).alias("bare"), S.timestamp_text(ms).alias("moment"), F.size(S.sample_times(ms)).alias("n_frames"), S.folder_key(F.concat(F.lit("/"), F.col("folder"), F.lit("/"))).alias("key"))
 
 

@@ -12,9 +12,6 @@ from .adapters import clips, examples, faces, media, table, vec_units
 from .registry import query
 
 KNN = """SELECT query_id, unit_id, asset_id, score, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, unit_id))::INTEGER AS rank FROM (
-  SELECT q.unit_id AS query_id, u.unit_id, u.asset_id, round(list_dot_product(u.vector, q.vector), 9) AS score FROM vec_units u, (SELECT * FROM vec_units WHERE unit_id % 50 = 0 ORDER BY unit_id LIMIT 8) q WHERE {0})
-  QUALIFY rank <= {1}"""
-KNN_ALL = """SELECT query_id, unit_id, asset_id, score, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, unit_id))::INTEGER AS rank FROM (
   SELECT q.unit_id AS query_id, u.unit_id, u.asset_id, round(list_dot_product(u.vector, q.vector), 9) AS score FROM vec_units u, vec_units q WHERE q.unit_id % 50 = 0 AND {0})
   QUALIFY rank <= {1}"""
 NEAR = "u.asset_id IN (SELECT id FROM media WHERE coalesce(user_latitude, latitude) BETWEEN 55 AND 55.5)"
@@ -24,11 +21,6 @@ def asked(spark, d):
     return vec_units(spark, d).filter("unit_id % 50 = 0").select(F.col("unit_id").alias("query_id"), "vector")
 
 
-def first_asked(spark, d):
-    """The eight queries to which the SQL of vector_knn and vector_knn_prefiltered is bound."""
-    return asked(spark, d).orderBy("query_id").limit(8)
-
-
 def rounded(df, *cols, n: int = 6):
     return df.withColumns({c: F.round(c, n) for c in cols})
 
@@ -49,23 +41,23 @@ def search_similar_filtered(spark, d):
 
 @query(f"SELECT query_id, unit_id, asset_id, round(score, 6) AS score, rank FROM ({KNN.format('true', 10)})", "vec_units")
 def vector_knn(spark, d):
-    return rounded(vectors.knn(vec_units(spark, d), first_asked(spark, d), 10), "score")
+    return rounded(vectors.knn(vec_units(spark, d), asked(spark, d), 10), "score")
 
 
-@query(f"SELECT query_id, unit_id, asset_id, round(score, 6) AS score, rank FROM ({KNN_ALL.format('true', 10)})", "vec_units")
+@query(f"SELECT query_id, unit_id, asset_id, round(score, 6) AS score, rank FROM ({KNN.format('true', 10)})", "vec_units")
 def vector_knn_all(spark, d):
     """Neighbours of every unit whose id is divisible by 50."""
     return rounded(vectors.knn(vec_units(spark, d), asked(spark, d), 10), "score")
 
 
-@query(f"SELECT query_id, unit_id, asset_id, round(score, 6) AS score, rank FROM ({KNN.format('u.asset_id IN (SELECT id FROM media WHERE coalesce(user_latitude, latitude) BETWEEN 55 AND 55.5)', 3)})", "vec_units", "media")
+@query(f"SELECT query_id, unit_id, asset_id, round(score, 6) AS score, rank FROM ({KNN.format(NEAR, 3)})", "vec_units", "media")
 def vector_knn_prefiltered(spark, d):
     m = media(spark, d)
     near = filters.has_gps() & filters.effective_latitude().between(55, 55.5)
-    return rounded(vectors.knn(filters.prefilter(vec_units(spark, d), m, near), first_asked(spark, d), 3), "score")
+    return rounded(vectors.knn(filters.prefilter(vec_units(spark, d), m, near), asked(spark, d), 3), "score")
 
 
-@query(f"SELECT query_id, unit_id, asset_id, round(score, 6) AS score, rank FROM ({KNN_ALL.format(NEAR, 3)})", "vec_units", "media")
+@query(f"SELECT query_id, unit_id, asset_id, round(score, 6) AS score, rank FROM ({KNN.format(NEAR, 3)})", "vec_units", "media")
 def vector_knn_prefiltered_all(spark, d):
     """Neighbours within a place of every unit whose id is divisible by 50."""
     near = filters.has_gps() & filters.effective_latitude().between(55, 55.5)
@@ -227,14 +219,14 @@ def text_bm25(spark, d):
 
 RRF = """SELECT asset_id, page, round(score, 9) AS score FROM (SELECT asset_id, page, sum(weight / (60 + r)) AS score, row_number() OVER (PARTITION BY asset_id ORDER BY page) AS k
   FROM (SELECT stream, asset_id, r // 200 AS page, min(r) AS r, any_value(weight) AS weight FROM ({0}) GROUP BY stream, asset_id, r // 200) GROUP BY asset_id, page) WHERE k = 1"""
-STREAMS = """SELECT 'v' AS stream, 1.0::DOUBLE AS weight, doc_id AS r, doc_id * 7 % 300 AS asset_id FROM documents UNION ALL SELECT 'n', 2.0, doc_id, doc_id * 3 % 500 FROM documents WHERE doc_id < 600"""
+STREAMS = """SELECT 'v' AS stream, 1.0::DOUBLE AS weight, doc_id AS r, doc_id // 2 AS asset_id FROM documents UNION ALL SELECT 'n', 2.0, doc_id, doc_id // 3 FROM documents"""
 
 
 @query(f"SELECT asset_id, page, score, (row_number() OVER (ORDER BY page, score DESC, asset_id) - 1)::BIGINT AS ordinal FROM ({RRF.format(STREAMS)})")
 def search_fuse_rrf(spark, d):
     docs = table(spark, d, "documents")
-    a = docs.selectExpr("'v' as stream", "1.0d as weight", "doc_id as r", "doc_id * 7 % 300 as asset_id")
-    b = docs.filter("doc_id < 600").selectExpr("'n' as stream", "2.0d as weight", "doc_id as r", "doc_id * 3 % 500 as asset_id")
+    a = docs.selectExpr("'v' as stream", "1.0d as weight", "doc_id as r", "doc_id div 2 as asset_id")
+    b = docs.selectExpr("'n' as stream", "2.0d as weight", "doc_id as r", "doc_id div 3 as asset_id")
     return search.fuse_rrf(a.unionByName(b)).select("asset_id", "page", "score", "ordinal")
 
 
@@ -250,26 +242,37 @@ def search_moments(spark, d):
     return search.moments(clips(spark, d).select("asset_id", "unit_id", "timestamp_ms"))
 
 
-@query("""SELECT unit_id, asset_id, round(score, 6) AS score, (row_number() OVER (ORDER BY score DESC, unit_id))::INTEGER AS rank FROM (SELECT u.unit_id, u.asset_id, round(list_dot_product(u.vector, q.vector), 9) AS score FROM vec_units u, (SELECT vector FROM vec_units WHERE unit_id = 50) q) QUALIFY rank <= 400""", "vec_units")
+@query("""SELECT unit_id, asset_id, round(score, 6) AS score, (row_number() OVER (ORDER BY score DESC, unit_id))::INTEGER AS rank FROM (SELECT u.unit_id, u.asset_id, round(list_dot_product(u.vector, q.vector), 9) AS score FROM vec_units u, (SELECT vector FROM vec_units WHERE unit_id = 50) q)""", "vec_units")
 def search_place_stream(spark, d):
-    q = vec_units(spark, d).filter("unit_id = 50").select(F.col("unit_id").alias("query_id"), "vector")
-    return rounded(vectors.knn(vec_units(spark, d), q, 400), "score").select("unit_id", "asset_id", "score", "rank")
+    return rounded(ranked_by_vector(vec_units(spark, d), spark, d), "score").select("unit_id", "asset_id", "score", (F.col("r") + 1).cast("int").alias("rank"))
+
 
+def ranked_by_vector(units, spark, d, of: int = 50):
+    """All units ranked by their likeness to one, with positions r from 0."""
+    own = vec_units(spark, d).filter(F.col("unit_id") == of).limit(1).select(F.col("vector").alias("q"))
+    scored = units.join(F.broadcast(own), how="cross").withColumn("score", F.round(vectors.dot("vector", "q"), 9)).drop("vector", "q")
+    return ordering.with_ordinal(scored, [F.col("score").desc(), F.col("unit_id").asc()], "r")
 
-HYBRID = f"""SELECT 'visual' AS stream, 1.0::DOUBLE AS weight, (row_number() OVER (ORDER BY score DESC, unit_id) - 1)::BIGINT AS r, unit_id AS asset_id FROM (
-    SELECT u.unit_id, round(list_dot_product(u.vector, q.vector), 9) AS score FROM vec_units u, (SELECT vector FROM vec_units WHERE unit_id = 50) q) QUALIFY r < 400
-  UNION ALL SELECT 'text', 1.0, (row_number() OVER (ORDER BY score DESC, unit_id) - 1)::BIGINT, unit_id FROM {BM25} WHERE query_id = 0
-  UNION ALL SELECT 'name', 2.0, (row_number() OVER (ORDER BY id) - 1)::BIGINT, id FROM media WHERE contains(filename, 'IMG_12') OR contains(relative_path, 'IMG_12')"""
 
+VISUAL = """SELECT '{0}' AS stream, 1.0::DOUBLE AS weight, (row_number() OVER (ORDER BY score DESC, unit_id) - 1)::BIGINT AS r, unit_id AS asset_id FROM (
+    SELECT u.unit_id, round(list_dot_product(u.vector, q.vector), 9) AS score FROM vec_units u, (SELECT vector FROM vec_units WHERE unit_id = 50) q) WHERE unit_id IN (SELECT id FROM {1})"""
+HYBRID = f"""{VISUAL.format("visual", "ready")} UNION ALL {VISUAL.format("place", "ready WHERE geo_text <> ''")}
+  UNION ALL SELECT 'text', 1.0, (row_number() OVER (ORDER BY score DESC, unit_id) - 1)::BIGINT, unit_id FROM {BM25} WHERE query_id = 0 AND unit_id IN (SELECT id FROM ready)
+  UNION ALL SELECT 'name', 2.0, (row_number() OVER (ORDER BY id) - 1)::BIGINT, id FROM ready WHERE contains(filename, 'IMG_12') OR contains(relative_path, 'IMG_12')"""
 
-@query(f"SELECT asset_id, page, score, (row_number() OVER (ORDER BY page, score DESC, asset_id) - 1)::BIGINT AS ordinal FROM ({RRF.format(HYBRID)})", "vec_units", "media")
+
+@query(f"SELECT asset_id, page, score, (row_number() OVER (ORDER BY page, score DESC, asset_id) - 1)::BIGINT AS ordinal FROM ({RRF.format(HYBRID)})", "vec_units", "media", "ready")
 def search_hybrid(spark, d):
-    q = vec_units(spark, d).filter("unit_id = 50").select(F.col("unit_id").alias("query_id"), "vector")
-    visual = vectors.knn(vec_units(spark, d).withColumn("asset_id", F.col("unit_id")), q, 400).select((F.col("rank") - 1).alias("r"), "asset_id")
+    """Whole visual, place, text and name streams of browsable assets, fused."""
+    m = media(spark, d)
+    units = vec_units(spark, d).withColumn("asset_id", F.col("unit_id"))
+    located = m.filter("geo_text <> ''").select(F.col("id").alias("asset_id"))
+    visual = ranked_by_vector(units, spark, d).select("r", "asset_id")
+    place = ranked_by_vector(units.join(located, "asset_id", "left_semi"), spark, d).select("r", "asset_id")
     text = search.bm25(searchable(spark, d), text_queries(spark, d).filter("query_id = 0")).select((F.col("rank") - 1).alias("r"), F.col("unit_id").alias("asset_id"))
-    hits = media(spark, d).filter(filters.literal_name("IMG_12")).select("id")
-    names = ordering.with_ordinal(hits, [F.col("id").asc()], "r").select("r", F.col("id").alias("asset_id"))
-    return search.hybrid_search(visual, visual.limit(0), text, names).select("asset_id", "page", "score", "ordinal")
+    names = m.filter(filters.literal_name("IMG_12")).select(F.col("id").alias("r"), F.col("id").alias("asset_id"))
+    allowed = m.filter(filters.Filters().condition()).select(F.col("id").alias("asset_id"))
+    return search.hybrid_search(visual, place, text, names, allowed).select("asset_id", "page", "score", "ordinal")
 
 
 @query("SELECT doc_id, concat_ws(' ', lang, source, lang || ' ' || source) AS search_text FROM documents")
