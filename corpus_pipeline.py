@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from albumlake.llm.common import WORD, materialize
+from albumlake.llm.common import WORD, Scratch
 from albumlake.llm.exact_dedup import exact_dedup
 from albumlake.llm.mixing import mix
 from albumlake.llm.near_dedup import near_dedup
@@ -82,9 +82,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir).select(*COLUMNS)
+    work, docs = Scratch(spark), documents(spark, sf_dir).select(*COLUMNS)
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs = materialize(docs)
+            docs = work.keep(docs)
+            work.clear(docs)  # its predecessor has done its work
     return docs
