@@ -4,6 +4,7 @@ import hashlib
 import random
 from collections import defaultdict
 
+import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -121,3 +122,40 @@ def test_near_edge_cases(odd, none):
     assert by[6][0]["component_id"] == by[7][0]["component_id"] == 6 and by[8][0]["n_shingles"] == 1
     assert sum(r["kept"] for r in by[1] + by[2]) == 1 and sum(r["kept"] for r in by[None]) == 1
     assert N.near_dedup(none).count() == 0
+
+
+def test_recall_at_the_threshold(spark):
+    """Pairs just at the threshold within ever larger groups of texts that share a passage, with nodes
+    so small that the groups must branch: at least nine in ten pairs are found, none is false."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choices("abcdefghij", k=7))
+    rows, pairs, d = [], [], 0
+    for size in (10, 60, 240):
+        passage = [word() for _ in range(40)]
+        for _ in range(size):
+            base = passage + [word() for _ in range(140)]
+            other = list(base)
+            cut = rng.randrange(60, len(base) - 20)
+            other[cut : cut + 14] = [word() for _ in range(14)]  # 158 of 194 shingles of five words stay
+            rows += [(d, " ".join(base)), (d + 1, " ".join(other))]
+            pairs.append((size, d, d + 1))
+            d += 2
+    want = brute_near(rows, 5)
+    found = {r["doc_id"]: r["component_id"] for r in N.near_dedup(spark.createDataFrame(rows, "doc_id long, text string"), small=64).collect()}
+    assert all(want[a][1] == want[b][1] for _, a, b in pairs)
+    assert all(want[x][1] == want[c][1] for x, c in found.items())
+    for size in (10, 60, 240):
+        own = [found[a] == found[b] for s, a, b in pairs if s == size]
+        assert sum(own) >= 0.9 * len(own)
+
+
+def test_intersections_of_all_sets():
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 90, rng.integers(1, 60))) for _ in range(70)]
+    got = N.shared_counts(sets)
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets):
+            assert i == j or got[i, j] == len(np.intersect1d(a, b))
+    linked = got > 20
+    edges = N.forest(linked)
+    assert all(linked[a, b] for a, b in edges) and len(edges) < len(sets)
