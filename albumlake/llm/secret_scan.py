@@ -33,6 +33,8 @@ _URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _UNICODE = re.compile(r"\\u[0-9A-Fa-f]{4}|\\u\{[0-9A-Fa-f]{1,6}\}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};")
 #: Runs of base64 over single line breaks; shorter ones than 16 characters are left out later.
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]{16,}+|[A-Za-z0-9+/_-]++(?=[\r\n]))(?:(?:\r\n?|\n)[A-Za-z0-9+/_-]+)*={0,2}")
+#: How base64 of gzip and zlib data begins.
+_GLUED = re.compile(r"H4sI|e[AFJN]")
 _LINE = re.compile(r"[A-Za-z0-9+/_-]+")
 _STANDARD = bytes.maketrans(b"-_", b"+/")
 #: What every layer has that holds a secret or can be unwrapped further.
@@ -236,10 +238,18 @@ def _unpacked(layer: Layer, room: int):
                     yield from _streamed(layer, data[: (starts[last + 1] - starts[i]) * 6 // 8], (a, end), via, room)
             if not taken and b - a >= 16:
                 data = _bytes(layer, [(a, b)])
+                end = m.end() if i == len(lines) - 1 else b
                 if _packed(data):
-                    yield from _streamed(layer, data, (a, m.end() if i == len(lines) - 1 else b), via, room)
-                else:
-                    yield from _plain(layer, [(a, b)], data, via)
+                    yield from _streamed(layer, data, (a, end), via, room)
+                    continue
+                yield from _plain(layer, [(a, b)], data, via)
+                # the run may be glued to what stands before it: a path, a name, a word
+                for shift in (1, 2, 3):
+                    yield from _plain(layer, [(a + shift, b)], _bytes(layer, [(a + shift, b)]), via)
+                for head in _GLUED.finditer(layer.text, a + 1, b):
+                    at = head.start()
+                    if b - at >= 16 and _packed(_bytes(layer, [(at, min(b, at + 4096))])):
+                        yield from _streamed(layer, _bytes(layer, [(at, b)]), (at, end), via, room)
 
 
 def _inner(layer: Layer, room: int):

@@ -2,6 +2,7 @@
 
 import base64
 import gzip
+import hashlib
 import math
 import random
 import re
@@ -394,3 +395,36 @@ def test_ordinal_fit_reaches_the_maximum(spark):
             th = model.thresholds.copy()
             th[k] += step
             assert loss(th) > best
+
+
+@pytest.mark.parametrize("before", ["", "https://host/path/", "https://host/pa/", "word", "ab/", "x_", "a-b-"])
+@pytest.mark.parametrize("pack", [bytes, gzip.compress, zlib.compress, lambda s: gzip.compress(b"other") + gzip.compress(s)])
+def test_secrets_in_glued_base64(before, pack):
+    secret = "password = hunter2hunter2"
+    hidden = base64.b64encode(pack(secret.encode())).decode()
+    (kind, a, b, base, via, value), = S.find_secrets(f"see {before}{hidden} end")
+    assert (kind, value, base) == ("assign", secret, False) and 4 + len(before) <= a < b <= 4 + len(before) + len(hidden)
+
+
+def brute_base(text):
+    """The base patterns of the contract, straight from their description."""
+    out = []
+    for kind, pattern, least in (
+        ("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 8),
+        ("access", r"()(AKIA[A-Z0-9]+)", 16),
+        ("hex", r"()([0-9a-f]+)", 32),
+    ):
+        flags = re.ASCII if kind == "assign" else 0
+        out += [(m.start(), kind, m.end()) for m in re.finditer(pattern, text, flags) if len(m[2]) >= least]
+    return sorted(out, key=lambda x: (x[0], S.KINDS.index(x[1])))
+
+
+def test_base_secrets_of_all_documents(documents):
+    rows = documents.select("doc_id", "text").collect()
+    got = {r["doc_id"]: r for r in S.span_digest(S.secret_scan(documents)).collect()}
+    assert len(got) == len(rows)
+    for r in rows:
+        want = brute_base(r["text"] or "")
+        text = ",".join(f"{k}:{a}:{b}" for a, k, b in want)
+        assert got[r["doc_id"]]["base_sha256"] == hashlib.sha256(text.encode()).hexdigest()
+        assert [got[r["doc_id"]][f"n_{k}"] for k in S.KINDS] == [sum(x[1] == k for x in want) for k in S.KINDS]
