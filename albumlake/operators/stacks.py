@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import version_folder, version_name
+from ..sources.scratch import materialize
 from .filters import browsable, is_video
 from .ordering import with_ordinal
 
@@ -18,16 +19,28 @@ def stackable(media: DataFrame, exclusions: DataFrame | None = None) -> DataFram
 
 def burst_stacks(media: DataFrame, seconds: int = 2, versions: bool = True, exclusions: DataFrame | None = None) -> DataFrame:
     """(id, stack_key) of photos of one camera and folder that follow each other within ``seconds``
-    (0 to 60, equal gaps stay together); with ``versions``, folders of versions count as one."""
+    (0 to 60, equal gaps stay together); with ``versions``, folders of versions count as one.
+
+    The order is cut into ranges, so one large folder of one camera is no single task."""
     seconds = max(0, min(60, seconds))
     place = version_folder("folder") if versions else F.col("folder")
     stamp = F.unix_timestamp(F.try_to_timestamp("captured_at"))
     rows = stackable(media, exclusions).select("id", place.alias("place"), "camera", "captured_at", stamp.alias("at")).filter("at IS NOT NULL")
-    lie = Window.partitionBy("place", "camera").orderBy("captured_at", "id")
-    gap = F.col("at") - F.lag("at").over(lie)
-    first = F.when(gap.isNull() | (gap > seconds), F.col("id"))
-    marked = rows.withColumn("first", first)
-    return marked.select("id", F.concat(F.lit("b:"), F.last("first", ignorenulls=True).over(lie).cast("string")).alias("stack_key"))
+    parts = int(media.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = materialize(rows.repartitionByRange(parts, "place", "camera", "captured_at", "id").withColumn("part", F.spark_partition_id()))
+    # Within a range of the order every gap but the first is known.
+    lie = Window.partitionBy("part", "place", "camera").orderBy("captured_at", "id")
+    marked = rows.withColumn("first", F.when(F.col("at") - F.lag("at").over(lie) > seconds, F.col("id"))).withColumn("own", F.last("first", ignorenulls=True).over(lie))
+    # One row for each range and place says how it begins and ends; they pass the open stack on.
+    ends = marked.groupBy("part", "place", "camera").agg(F.min_by(F.struct("id", "at"), F.struct("captured_at", "id")).alias("head"), F.max_by(F.struct("own", "at"), F.struct("captured_at", "id")).alias("tail"))
+    along = Window.partitionBy("place", "camera").orderBy("part")
+    gap = F.col("head.at") - F.lag("tail.at").over(along)
+    ends = ends.withColumn("opened", F.when(gap.isNull() | (gap > seconds), F.col("head.id")))
+    before = F.last(F.coalesce("tail.own", "opened"), ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, -1))
+    ends = ends.select("part", "place", "camera", F.coalesce("opened", before).alias("carried"))
+    m, e = marked.alias("m"), ends.alias("e")
+    same = (F.col("m.part") == F.col("e.part")) & F.col("m.place").eqNullSafe(F.col("e.place")) & F.col("m.camera").eqNullSafe(F.col("e.camera"))
+    return m.join(e, same).select("m.id", F.concat(F.lit("b:"), F.coalesce("own", "carried").cast("string")).alias("stack_key"))
 
 
 def version_stacks(media: DataFrame, exclusions: DataFrame | None = None) -> DataFrame:

@@ -243,3 +243,27 @@ def test_cover_folders(spark):
     f = lambda *x: spark.createDataFrame([(i,) for i in x], "folder string")
     got = dict(shown(reconcile.cover_folders(f("a/b", "c"), f("A", "c/d", "e")), "folder", "state"))
     assert got == {"A": "added", "e": "added", "c/d": "skipped", "a/b": "absorbed", "c": "kept"}
+
+
+def test_bursts_of_one_folder_over_many_ranges(spark):
+    """One folder and camera; stacks go on over the borders of ranges, whatever their number."""
+    import random
+    from datetime import datetime, timedelta
+
+    rng, at, rows = random.Random(3), datetime(2020, 1, 1), []
+    for i in range(400):
+        at += timedelta(seconds=rng.choice([0, 1, 2, 2, 3, 5]) if i > 60 else 1)
+        rows.append((i, "f", None, at.isoformat(" "), True, True, ".jpg"))
+    df = spark.createDataFrame(rows, "id long, folder string, camera string, captured_at string, present boolean, metadata_ready boolean, extension string")
+    want, last, key = {}, None, None
+    for r in rows:
+        now = datetime.fromisoformat(r[3])
+        key = r[0] if last is None or (now - last).total_seconds() > 2 else key
+        want[r[0]], last = f"b:{key}", now
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for parts in ("1", "8", "90"):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            assert {r["id"]: r["stack_key"] for r in stacks.burst_stacks(df, 2).collect()} == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
