@@ -204,9 +204,9 @@ def best_fit_packing(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text
     with open(tokenizer, encoding="utf-8") as f:
         content = f.read()
     src = df.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    pieces = materialize(src.mapInArrow(_pieces(content, end_id, size), PIECE_SCHEMA))
-    salt = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts))
-    salted = pieces.withColumn("salt", salt)
+    # Salts are written with the pieces: rows that are equal in all columns get different ones too.
+    salt = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id()), F.lit(salts))
+    salted = materialize(src.mapInArrow(_pieces(content, end_id, size), PIECE_SCHEMA).withColumn("salt", salt))
     counts = materialize(salted.groupBy("length", "salt").agg(F.count("*").alias("n")))
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     steps = {k: np.array(v, np.int64) for k, v in plan(histogram, size).items()}
