@@ -56,21 +56,33 @@ class WordIds(dict):
 
     def renew(self) -> None:
         self.clear()
-        self.parts.clear()
+        self.before, self.parts = self.parts, {}
         self.ids, self.first, self.many = array("I", [self.end_id]), array("q", [0]), array("q", [1])
         self["\n"] = 0
 
     def encode(self, part: str) -> tuple:
         return tuple(self.tokenizer.encode(part, add_special_tokens=False).ids)
 
+    def part(self, part: str) -> tuple:
+        """Ids of a plain part, which is one word for the model; from the memo before, if that has it."""
+        ids = self.parts.get(part)
+        if ids is None:
+            ids = self.before.get(part)
+            if ids is None:
+                spelt = part if part.isascii() else part.translate(self.letters)
+                ids = tuple([t.id for t in self.model.tokenize(spelt)])
+            self.parts[part] = ids
+        return ids
+
     def __missing__(self, word: str) -> int:
-        plain, ids = _PLAIN.fullmatch(word), ()
-        for part in (plain[1].lower(), plain[2]) if plain else ():
-            if part not in self.parts:
-                # what the tokenizer's own steps leave of such a part is one word for its model
-                self.parts[part] = tuple(t.id for t in self.model.tokenize(part.translate(self.letters)))
-            ids += self.parts[part]
-        ids = ids if plain else self.encode(word)
+        plain = _PLAIN.fullmatch(word)
+        if plain is None:
+            ids = self.encode(word)
+        else:
+            letters, marks = plain.groups()
+            ids = self.part(letters.lower()) if letters else ()
+            if marks:
+                ids += self.part(marks)
         row = self[word] = len(self.first)
         self.first.append(len(self.ids))
         self.many.append(len(ids))
