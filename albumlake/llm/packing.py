@@ -8,7 +8,6 @@ rank within their length.
 
 from __future__ import annotations
 
-import re
 import sys
 import zlib
 from array import array
@@ -24,9 +23,9 @@ from .common import materialize, slices, text_or_empty
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-#: A word whose tokens can be told without the tokenizer's own splitting: letters that stay single
-#: when lower-cased, then marks. Such words are looked up by these two parts.
-_PLAIN = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]*)([!-&(-/:-;=?@\[-`{}~]*)")
+#: Marks that may end a word whose tokens can be told without the tokenizer's own splitting: letters
+#: that stay single when lower-cased, then marks. Such words are put together from these two parts.
+_MARKS = "!\"#$%&()*+,-./:;=?@[\\]^_`{}~"
 
 
 def _byte_letters() -> dict[int, str]:
@@ -41,57 +40,61 @@ def _byte_letters() -> dict[int, str]:
 class WordIds(dict):
     """Word -> row of its token ids in a flat array: a memo of bounded size that one worker keeps.
 
-    White space separates tokens of this vocabulary, so a text's ids are those of its words. Key
-    "\\n", which is no word, is the end of a document.
+    White space separates tokens of this vocabulary, so a text's ids are those of its words. Words
+    that differ by case share a row. Key "\\n", which is no word, is the end of a document.
     """
 
-    def __init__(self, content: str, end_id: int, limit: int = 300_000):
+    def __init__(self, content: str, end_id: int, limit: int = 500_000):
         from tokenizers import Tokenizer
 
         super().__init__()
         self.tokenizer, self.end_id, self.limit = Tokenizer.from_str(content), end_id, limit
         self.model, self.letters = self.tokenizer.model, _byte_letters()
-        self.parts: dict[str, tuple] = {}
         self.renew()
 
     def renew(self) -> None:
         self.clear()
-        self.before, self.parts = self.parts, {}
         self.ids, self.first, self.many = array("I", [self.end_id]), array("q", [0]), array("q", [1])
         self["\n"] = 0
 
-    def encode(self, part: str) -> tuple:
-        return tuple(self.tokenizer.encode(part, add_special_tokens=False).ids)
-
-    def part(self, part: str) -> tuple:
-        """Ids of a plain part, which is one word for the model; from the memo before, if that has it."""
-        ids = self.parts.get(part)
-        if ids is None:
-            ids = self.before.get(part)
-            if ids is None:
-                spelt = part if part.isascii() else part.translate(self.letters)
-                ids = tuple([t.id for t in self.model.tokenize(spelt)])
-            self.parts[part] = ids
-        return ids
-
-    def __missing__(self, word: str) -> int:
-        plain = _PLAIN.fullmatch(word)
-        if plain is None:
-            ids = self.encode(word)
-        else:
-            letters, marks = plain.groups()
-            ids = self.part(letters.lower()) if letters else ()
-            if marks:
-                ids += self.part(marks)
+    def add(self, word: str, ids) -> int:
         row = self[word] = len(self.first)
         self.first.append(len(self.ids))
         self.many.append(len(ids))
         self.ids.extend(ids)
         return row
 
+    def part(self, part: str) -> int:
+        """Row of a part that is one word for the model, in lower case."""
+        row = self.get(part)
+        if row is None:
+            spelt = part if part.isascii() else part.translate(self.letters)
+            row = self.add(part, [t.id for t in self.model.tokenize(spelt)])
+        return row
+
+    def of_row(self, row: int) -> array:
+        first = self.first[row]
+        return self.ids[first : first + self.many[row]]
+
+    def learn(self, words) -> None:
+        """Rows for words that the memo may not have."""
+        for word in words:
+            letters = word.rstrip(_MARKS)
+            if letters and not (letters.isalpha() and (letters.isascii() or max(letters) <= "\xff")):
+                self.add(word, self.tokenizer.encode(word, add_special_tokens=False).ids)
+                continue
+            n = len(letters)
+            if n == len(word):
+                self[word] = self.part(word.lower()) if n else self.add(word, ())
+            elif n:
+                ids = self.of_row(self.part(letters.lower()))
+                self.add(word, ids + self.of_row(self.part(word[n:])))
+            else:
+                self.part(word)
+
     def texts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each with its end, in one array; number of ids per text."""
-        if len(self) + len(self.parts) > self.limit:
+        if len(self) > self.limit:
             self.renew()
         words, sizes = [], np.zeros(len(texts), np.int64)
         for i, t in enumerate(texts):
@@ -100,6 +103,7 @@ class WordIds(dict):
             words += own
             words.append("\n")
             sizes[i] = len(own) + 1
+        self.learn(set(words).difference(self))
         rows = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
         first, many, ids = (np.array(x) for x in (self.first, self.many, self.ids))
         n = many[rows]
