@@ -314,6 +314,16 @@ def streamed(spark, df):
     return spark.readStream.schema(df.schema).parquet(path)
 
 
+def timed(df):
+    """Event times with a time zone, as watermarks need them."""
+    return df.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def totals(spark, stream):
+    base = shared_dir(spark)
+    return streams.run_to_totals(stream, f"{base}/out", f"{base}/ck")
+
+
 @query("SELECT path, CASE WHEN o.path IS NOT NULL AND o.size <> n.size THEN 2 ELSE 1 END::BIGINT AS version FROM scan_old o FULL JOIN scan_new n USING (path)", "scan_old", "scan_new")
 def stream_ingest(spark, d):
     base = shared_dir(spark)
@@ -345,29 +355,33 @@ def stream_drop_stale(spark, d):
 
 @query("SELECT source, stage, status, count(*) AS n FROM commits GROUP BY ALL", "commits")
 def stream_commit_counts(spark, d):
-    twice = commits(spark, d)
-    return streams.commit_counts(twice.unionByName(twice))
+    base, once = shared_dir(spark), timed(commits(spark, d))
+    for _ in range(2):  # what comes again isn't counted again
+        once.write.mode("append").parquet(f"{base}/in")
+        streams.run_to_table(streams.first_ends(spark.readStream.schema(once.schema).parquet(f"{base}/in")), f"{base}/out", f"{base}/ck")
+    return spark.read.parquet(f"{base}/out").groupBy("source", "stage", "status").agg(F.count("*").alias("n"))
 
 
 @query("""SELECT source, stage, epoch(e)::BIGINT AS "at", count(*) AS n FROM (SELECT source, stage, unnest(list_transform(range(1, 61), lambda i: date_trunc('second', ts) + to_seconds(i))) AS e FROM commits) GROUP BY ALL""", "commits")
 def stream_live_rate(spark, d):
-    return streams.live_rate(commits(spark, d)).select("source", "stage", F.unix_timestamp("at").alias("at"), "n")
+    return totals(spark, streams.live_rate(streamed(spark, timed(commits(spark, d))))).select("source", "stage", F.unix_timestamp("at").alias("at"), "n")
 
 
 @query("""SELECT direction, epoch(e)::BIGINT AS "at", round(sum(bytes) / 10, 6) AS rate FROM (SELECT CASE WHEN user_id % 2 = 0 THEN 'in' ELSE 'out' END AS direction, CAST(floor(value * 1000) AS BIGINT) AS bytes, unnest(list_transform(range(1, 11), lambda i: date_trunc('second', ts) + to_seconds(i))) AS e FROM events) GROUP BY ALL""")
 def stream_transfer(spark, d):
     t = table(spark, d, "events").selectExpr("ts", "case when user_id % 2 = 0 then 'in' else 'out' end as direction", "cast(floor(value * 1000) as bigint) as bytes")
-    return streams.live_transfer(t).select("direction", F.unix_timestamp("at").alias("at"), F.round("rate", 6).alias("rate"))
+    return totals(spark, streams.live_transfer(streamed(spark, timed(t)))).select("direction", F.unix_timestamp("at").alias("at"), F.round("rate", 6).alias("rate"))
 
 
 @query("""SELECT user_id AS job, arg_max(CASE event_type WHEN 'click' THEN 'running' WHEN 'view' THEN 'pending' WHEN 'purchase' THEN 'done' WHEN 'signup' THEN 'pending' ELSE 'error' END, event_id) AS status, max(event_id // 1000) AS version FROM events GROUP BY 1""")
 def stream_job_state(spark, d):
     e = table(spark, d, "events").selectExpr("user_id as job", "event_id as seq", "case event_type when 'click' then 'start' when 'view' then 'retry' when 'purchase' then 'done' when 'signup' then 'bump' else 'error' end as event", "event_id div 1000 as version")
-    return streams.job_state(e)
+    return totals(spark, streams.job_state(streamed(spark, e)))
 
 
 @query("""SELECT folder, camera, min(epoch(t))::BIGINT AS start, count(*) AS n, min(id) AS first_id FROM (SELECT *, sum(CASE WHEN gap IS NULL OR gap > 60 THEN 1 ELSE 0 END) OVER (PARTITION BY folder, camera ORDER BY t, id) AS k FROM (
   SELECT id, folder, camera, captured_at::TIMESTAMP AS t, epoch(captured_at::TIMESTAMP) - lag(epoch(captured_at::TIMESTAMP)) OVER (PARTITION BY folder, camera ORDER BY captured_at, id) AS gap FROM ready WHERE captured_at IS NOT NULL)) GROUP BY folder, camera, k""", "ready")
 def stream_bursts(spark, d):
     m = media(spark, d).filter("present and metadata_ready and captured_at is not null").withColumn("ts", F.col("captured_at").cast("timestamp"))
-    return streams.burst_stream(m, 60).select("folder", "camera", F.unix_timestamp("start").alias("start"), "n", "first_id")
+    feed = streamed(spark, m.select("id", "folder", "camera", "ts"))
+    return totals(spark, streams.burst_stream(feed, 60)).select("folder", "camera", F.unix_timestamp("start").alias("start"), "n", "first_id")

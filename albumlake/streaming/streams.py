@@ -14,7 +14,7 @@ def read_stream(spark: SparkSession, path: str, schema: str, files: int = 100) -
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
-def _snapshot(spark: SparkSession, folder: str, schema: str, before: int) -> DataFrame:
+def _snapshot(spark: SparkSession, folder: str, schema, before: int) -> DataFrame:
     """The newest snapshot of a batch before ``before``, or an empty table."""
     fs_path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     fs = fs_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -24,7 +24,7 @@ def _snapshot(spark: SparkSession, folder: str, schema: str, before: int) -> Dat
     return spark.read.schema(schema).parquet(f"{folder}/batch-{max(older)}") if older else spark.createDataFrame([], schema)
 
 
-def latest(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+def latest(spark: SparkSession, folder: str, schema) -> DataFrame:
     return _snapshot(spark, folder, schema, 1 << 62)
 
 
@@ -75,12 +75,15 @@ def drop_stale_results(results: DataFrame, assets: DataFrame, done: DataFrame) -
     return both.withColumn("receipt", F.when(F.col("_now") & F.col("_had").isNull(), "saved").otherwise("discarded")).drop("_now", "_had")
 
 
-def commit_counts(commits: DataFrame, late: str = "1 hour") -> DataFrame:
-    """First end of each (job, stage) counts once, by source, stage and status. On a stream, repeats
-    are remembered for ``late``."""
+def first_ends(commits: DataFrame, late: str = "1 hour") -> DataFrame:
+    """First end of each (job, stage). On a stream, repeats are remembered for ``late``."""
     ends = commits.filter(F.col("status").isin("done", "error"))
-    once = ends.withWatermark("ts", late).dropDuplicatesWithinWatermark(["job", "stage"]) if commits.isStreaming else ends.dropDuplicates(["job", "stage"])
-    return once.groupBy("source", "stage", "status").agg(F.count("*").alias("n"))
+    return ends.withWatermark("ts", late).dropDuplicatesWithinWatermark(["job", "stage"]) if commits.isStreaming else ends.dropDuplicates(["job", "stage"])
+
+
+def commit_counts(commits: DataFrame, late: str = "1 hour") -> DataFrame:
+    """First end of each (job, stage) counts once, by source, stage and status."""
+    return first_ends(commits, late).groupBy("source", "stage", "status").agg(F.count("*").alias("n"))
 
 
 def live_rate(commits: DataFrame, length: str = "60 seconds", step: str = "1 second", late: str = "10 minutes") -> DataFrame:
@@ -113,3 +116,13 @@ def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "app
     stream.writeStream.format("parquet").outputMode(mode).option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
+def run_to_totals(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """Drive a streaming aggregate over what is there; its groups as they stand at the end. Every
+    batch writes all groups to a folder of its own, so a replayed batch writes the same again."""
+    spark, schema = stream.sparkSession, stream.schema
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch-{batch_id}")
+
+    stream.writeStream.foreachBatch(write).outputMode("complete").option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return latest(spark, path, schema)
