@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,27 +15,40 @@ def _xyz(lat: Column, lon: Column) -> list[Column]:
     return [F.cos(a) * F.cos(b), F.cos(a) * F.sin(b), F.sin(a)]
 
 
-def nearest_city(points: DataFrame, cities: DataFrame, most: int = 250_000) -> DataFrame:
+def _dot(e: Column) -> Column:
+    return F.col("x") * e["cx"] + F.col("y") * e["cy"] + F.col("z") * e["cz"]
+
+
+def nearest_city(points: DataFrame, cities: DataFrame, most: int = 250_000, cell: float = 1.0) -> DataFrame:
     """Points with coordinates and without a place text, with their nearest city and its distance.
 
-    The gazetteer is broadcast after a check of its size, and each point keeps its best city by the
-    product of unit vectors; equal ones go to the smaller city id.
+    All cities (broadcast after a check of their number) meet only the occupied cells of a map, of
+    which there is a bounded number however many points there are. What lies farther from a cell's
+    middle than the nearest city by more than the cell's diagonal can't be nearest to any point in it;
+    each point then looks at the cities left to its cell. Best is the highest product of unit vectors;
+    equal ones go to the smaller city id.
     """
     if cities.count() > most:
         raise ValueError(f"more than {most} cities")
     c = cities.select(F.col("id").alias("city_id"), F.col("name").alias("city"), F.col("latitude").alias("c_lat"), F.col("longitude").alias("c_lon"))
     for n, x in zip("xyz", _xyz(F.col("c_lat"), F.col("c_lon"))):
         c = c.withColumn(f"c{n}", x)
+    book = c.agg(F.collect_list(F.struct("city_id", "city", "c_lat", "c_lon", "cx", "cy", "cz")).alias("book"))
     todo = points.filter(effective_latitude().isNotNull() & effective_longitude().isNotNull() & (F.coalesce("geo_text", F.lit("")) == ""))
     todo = todo.select("id", effective_latitude().alias("lat"), effective_longitude().alias("lon"))
-    # All cities as one array in one row, so that each point is scored where it is.
-    book = c.agg(F.collect_list(F.struct("city_id", "city", "c_lat", "c_lon", "cx", "cy", "cz")).alias("book"))
-    for n, x in zip("xyz", _xyz(F.col("lat"), F.col("lon"))):
-        todo = todo.withColumn(n, x)
-    score = lambda e: F.col("x") * e["cx"] + F.col("y") * e["cy"] + F.col("z") * e["cz"]
-    best = F.array_max(F.transform("book", lambda e: F.struct(F.round(score(e), 12).alias("s"), (-e["city_id"]).alias("k"), e["city"].alias("city"), e["c_lat"].alias("c_lat"), e["c_lon"].alias("c_lon"))))
-    near = todo.join(F.broadcast(book), how="cross").withColumn("b", best)
-    return near.select("id", (-F.col("b.k")).alias("city_id"), F.col("b.city").alias("city"), F.round(haversine_km("lat", "lon", "b.c_lat", "b.c_lon"), 3).alias("km"))
+    todo = todo.withColumns({"cell_y": F.floor((F.col("lat") + 90) / cell), "cell_x": F.floor((F.col("lon") + 180) / cell)})
+
+    cells = todo.select("cell_y", "cell_x").distinct()
+    middle = _xyz((F.col("cell_y") + 0.5) * cell - 90, (F.col("cell_x") + 0.5) * cell - 180)
+    cells = cells.withColumns(dict(zip("xyz", middle))).join(F.broadcast(book), how="cross")
+    angle = lambda e: F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), _dot(e))))
+    cells = cells.withColumn("nearest", F.array_min(F.transform("book", angle)))
+    slack = math.radians(cell) * math.sqrt(2) + 1e-5  # the diagonal, and room for rounding
+    cells = cells.select("cell_y", "cell_x", F.filter("book", lambda e: angle(e) <= F.col("nearest") + slack).alias("near"))
+
+    best = F.array_max(F.transform("near", lambda e: F.struct(F.round(_dot(e), 12).alias("s"), (-e["city_id"]).alias("k"), e["city"].alias("city"), e["c_lat"].alias("c_lat"), e["c_lon"].alias("c_lon"))))
+    found = todo.withColumns(dict(zip("xyz", _xyz(F.col("lat"), F.col("lon"))))).join(cells, ["cell_y", "cell_x"]).withColumn("b", best)
+    return found.select("id", (-F.col("b.k")).alias("city_id"), F.col("b.city").alias("city"), F.round(haversine_km("lat", "lon", "b.c_lat", "b.c_lon"), 3).alias("km"))
 
 
 def geo_grid(assets: DataFrame, step: float, west: float = -180, south: float = -90, east: float = 180, north: float = 90, most: int = 4096) -> DataFrame:

@@ -1,5 +1,8 @@
 """Scenarios with hand-computed answers."""
 
+import math
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -200,6 +203,25 @@ def test_retention_order(spark):
     assert [i for i, e in sorted(out.items()) if e] == [1, 3] and 2 not in out
 
 
+def test_nearest_city_everywhere(spark):
+    """Against all cities, over poles, the date line, edges of cells and equal places."""
+    dice = random.Random(5)
+    where = [(90.0, 0.0), (-90.0, 180.0), (10.0, 179.99), (10.0, -179.99), (0.0, 0.0), (45.0, 45.0)]
+    where += [(dice.uniform(-90, 90), dice.uniform(-180, 180)) for _ in range(300)] + [(48 + dice.random(), 2 + dice.random()) for _ in range(100)]
+    towns = [(n, f"c{n}", dice.uniform(-90, 90), dice.uniform(-180, 180)) for n in range(60)] + [(100 + n, f"d{n}", 48 + dice.random(), 2 + dice.random()) for n in range(60)]
+    towns += [(200, "again", *towns[-1][2:]), (-1, "before", *towns[0][2:])]
+    points = spark.createDataFrame([(n, a, b, None, None, "") for n, (a, b) in enumerate(where)], "id long, latitude double, longitude double, user_latitude double, user_longitude double, geo_text string")
+    cities = spark.createDataFrame(towns, "id long, name string, latitude double, longitude double")
+
+    def vector(lat, lon):
+        a, b = math.radians(lat), math.radians(lon)
+        return math.cos(a) * math.cos(b), math.cos(a) * math.sin(b), math.sin(a)
+
+    want = {n: min((-round(sum(x * y for x, y in zip(vector(*p), vector(c[2], c[3]))), 12), c[0]) for c in towns)[1] for n, p in enumerate(where)}
+    for cell in (1.0, 7.5):
+        assert {r["id"]: r["city_id"] for r in geo.nearest_city(points, cities, cell=cell).collect()} == want
+
+
 def test_nearest_city(spark):
     cities = spark.createDataFrame([(1, "west", 0.0, -179.0), (2, "east", 0.0, 170.0)], "id long, name string, latitude double, longitude double")
     points = spark.createDataFrame([(1, 0.0, 179.5, None, None, "")], "id long, latitude double, longitude double, user_latitude double, user_longitude double, geo_text string")
