@@ -6,24 +6,26 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import TERM, query_terms
+from ..functions.stemming import stems
 from ..sources.scratch import materialize
 from .ordering import with_ordinal
 
 K1, B = 1.2, 0.75  # BM25
 
 
-def bm25(texts: DataFrame, queries: DataFrame, limit: int | None = None) -> DataFrame:
+def bm25(texts: DataFrame, queries: DataFrame, limit: int | None = None, stem: bool = True) -> DataFrame:
     """(query_id, unit_id, score, rank) of the units that share a term with a query, best first.
 
-    At most 32 terms of a query (query_id, q) count. Every text is tokenised once: what is kept of it
+    With ``stem``, Russian words of texts and queries meet in their stems. At most 32 terms of a query (query_id, q) count. Every text is tokenised once: what is kept of it
     is its length and, for up to 256 terms asked in all, only its tokens among them. Tables of terms
     are broadcast up to 100,000 terms and joined by shuffle beyond. Ties go to the smaller unit.
     """
-    terms = queries.select("query_id", F.explode(F.array_distinct(F.transform(query_terms(F.lower("q")), lambda t: t))).alias("term"))
+    form = stems if stem else (lambda words: words)
+    terms = queries.select("query_id", F.explode(F.array_distinct(form(query_terms(F.lower("q"))))).alias("term"))
     wanted = terms.select("term").distinct()
     n_terms = wanted.count()
     small = (lambda x: F.broadcast(x)) if n_terms <= 100_000 else (lambda x: x)
-    tokens = F.regexp_extract_all(F.lower(F.coalesce("search_text", F.lit(""))), F.lit(TERM), F.lit(0))
+    tokens = form(F.regexp_extract_all(F.lower(F.coalesce("search_text", F.lit(""))), F.lit(TERM), F.lit(0)))
     docs = texts.select("unit_id", tokens.alias("tokens")).withColumn("length", F.size("tokens"))
     if n_terms <= 256:
         among = F.array(*[F.lit(r["term"]) for r in wanted.collect()]) if n_terms else F.array().cast("array<string>")

@@ -203,6 +203,29 @@ def test_retention_order(spark):
     assert [i for i, e in sorted(out.items()) if e] == [1, 3] and 2 not in out
 
 
+STEMS = """в:в вагон:вагон вагона:вагон вагоне:вагон вагонов:вагон вагоном:вагон вагоны:вагон важная:важн важнее:важн важнейшие:важн важнейшими:важн
+важничал:важнича важно:важн важного:важн важной:важн важность:важност падает:пада падай:пада падал:пада падали:пада паденье:паден пади:пад
+павильон:павильон ёлка:елк ёлки:елк собака:собак собаки:собак собаками:собак смеялся:смея прочитав:прочита прочитавши:прочита длинный:длин длинная:длин
+бодрость:бодрост активность:активн beach:beach x1:x1 стр:стр"""
+
+
+def test_stems(spark):
+    from albumlake.functions.stemming import stems
+
+    pairs = [p.split(":") for p in STEMS.split()]
+    df = spark.createDataFrame([([a for a, _ in pairs],), ([],), (None,), (["the", "boats"],)], "w array<string>")
+    got = [r["s"] for r in df.select(stems(F.col("w")).alias("s")).collect()]
+    assert dict(zip([a for a, _ in pairs], got[0])) == dict(pairs)
+    assert got[1:] == [[], None, ["the", "boats"]]
+
+
+def test_text_search_by_stem(spark):
+    texts = spark.createDataFrame([(1, "Собаки на пляже"), (2, "кошка"), (3, "dogs"), (4, None)], "unit_id long, search_text string")
+    ask = spark.createDataFrame([(0, "собака пляж")], "query_id int, q string")
+    assert [r["unit_id"] for r in search.bm25(texts, ask).collect()] == [1]
+    assert search.bm25(texts, ask, stem=False).collect() == []
+
+
 def test_nearest_city_everywhere(spark):
     """Against all cities, over poles, the date line, edges of cells and equal places."""
     dice = random.Random(5)
