@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -60,3 +61,16 @@ def in_bitmap(bits: np.ndarray, at: int) -> bool:
 def runs(values: np.ndarray) -> np.ndarray:
     """Start of every run of equal values in a sorted array."""
     return np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1]))) if len(values) else np.empty(0, np.int64)
+
+
+def pieces(batch: pa.RecordBatch, column: str = "text", size: int = 4 << 20, rows: int = 2000):
+    """The batch in pieces of at most ``rows`` rows and about ``size`` bytes of text; a longer text is alone in its piece."""
+    length = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
+    start = total = 0
+    for i, n in enumerate(length.tolist()):
+        if i > start and (total + n > size or i - start >= rows):
+            yield batch.slice(start, i - start)
+            start, total = i, 0
+        total += n
+    if batch.num_rows > start:
+        yield batch.slice(start)

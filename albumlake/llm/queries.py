@@ -5,13 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .common import WORD
 from .exact_dedup import exact_dedup
 from .language_id import language_id
 from .mixing import mix
 from .near_dedup import near_dedup
 from .ngram_lm import lm_scores
 from .packing import best_fit_packing
+from .periodic_runs import periodic_runs, run_digest
 from .quality_classifier import quality_classifier
 from .quality_rules import quality_rules
 from .secret_scan import secret_scan, span_digest
@@ -69,8 +72,23 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def planted_runs(docs: DataFrame) -> DataFrame:
+    """Of every tenth document or so, by the checksum of its id, the words from some place on repeat with some period."""
+    d = docs.select("doc_id", "text", F.crc32(F.col("doc_id").cast("string")).alias("h")).withColumn("g", F.expr("h div 10"))
+    words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(WORD), F.lit(0))
+    d = d.withColumn("w", F.when(F.col("h") % 10 == 0, words)).withColumn("n", F.size("w"))
+    d = d.withColumn("a", F.expr("cast(g % n as int)")).withColumn("p", F.expr("cast(1 + (n - a) div (3 + g % 8) as int)"))
+    again = F.expr("slice(flatten(array_repeat(slice(w, a + 1, p), cast(ceil((n - a) / p) as int))), 1, n - a)")
+    text = F.array_join(F.concat(F.expr("slice(w, 1, a)"), again), " ")
+    return d.select("doc_id", F.when((F.col("h") % 10 == 0) & (F.col("n") > 0), text).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_digest(periodic_runs(planted_runs(documents(spark, sf_dir))))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_ngram_lm, op2_quality_rules, op3_mix_sources, op4_token_counts, op5_best_fit_packing, op6_secret_scan, op7_near_dedup, op8_language_id, op9_exact_dedup, op10_quality_classifier)
+    f.__name__: f for f in (op1_ngram_lm, op2_quality_rules, op3_mix_sources, op4_token_counts, op5_best_fit_packing, op6_secret_scan, op7_near_dedup, op8_language_id, op9_exact_dedup, op10_quality_classifier, op11_periodic_runs)
 }
 
 #: DuckDB SQL for the queries that SQL can express.
