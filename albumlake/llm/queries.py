@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .common import WORD
 from .exact_dedup import exact_dedup
+from .hard_negatives import hard_negatives
 from .language_id import language_id
 from .mixing import mix
 from .near_dedup import near_dedup
@@ -88,13 +89,19 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_digest(periodic_runs(planted_runs(documents(spark, sf_dir))))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Anchors are the rows whose id is divisible by 100; every seventh row has the next label."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 100 == 0, label)
+
+
 def op13_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three-word shingles, as the query's contract has it; the operator's own default is five."""
     return simhash_dedup(documents(spark, sf_dir), k=3)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_ngram_lm, op2_quality_rules, op3_mix_sources, op4_token_counts, op5_best_fit_packing, op6_secret_scan, op7_near_dedup, op8_language_id, op9_exact_dedup, op10_quality_classifier, op11_periodic_runs, op13_simhash_dedup)
+    f.__name__: f for f in (op1_ngram_lm, op2_quality_rules, op3_mix_sources, op4_token_counts, op5_best_fit_packing, op6_secret_scan, op7_near_dedup, op8_language_id, op9_exact_dedup, op10_quality_classifier, op11_periodic_runs, op12_hard_negatives, op13_simhash_dedup)
 }
 
 #: DuckDB SQL for the queries that SQL can express.
@@ -103,6 +110,15 @@ ORACLES = {
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
                doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))""",
+    "op12_hard_negatives": """
+        WITH v AS (
+            SELECT vec_id, (CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END) AS label, list_transform(embedding::DOUBLE[], lambda x: floor(256 * x)) AS x
+            FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (SELECT a.vec_id AS anchor_id, o.vec_id, a.label = o.label AS same, list_dot_product(a.x, o.x)::BIGINT AS score FROM v a JOIN v o ON a.vec_id <> o.vec_id WHERE a.vec_id % 100 = 0),
+        p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+        SELECT anchor_id, positive_id, (row_number() OVER w)::INTEGER AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+        FROM p JOIN s USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score
+        WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) QUALIFY rank <= 5""",
     "op7_near_dedup": r"""
         WITH RECURSIVE split AS (
             SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
