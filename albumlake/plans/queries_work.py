@@ -331,7 +331,7 @@ def stream_ingest(spark, d):
     for which in ("old", "new"):
         scan(spark, d, which).select("path", "size", "mtime").write.mode("append").parquet(f"{base}/in")
         streams.ingest_stream(streams.read_stream(spark, f"{base}/in", schema), f"{base}/catalog", f"{base}/ck").awaitTermination()
-    return streams.latest(spark, f"{base}/catalog", streams.CATALOG).select("path", "version")
+    return streams.catalog_table(spark, f"{base}/catalog").read().select("path", "version")
 
 
 @query("SELECT unit_id, max(doc_id) AS revision FROM (SELECT doc_id // 3 AS unit_id, doc_id FROM documents) GROUP BY 1 HAVING max(doc_id) % 4 <> 0")
@@ -342,7 +342,7 @@ def stream_index_sync(spark, d):
         docs.filter(part).write.mode("append").parquet(f"{base}/in")
         s = streams.read_stream(spark, f"{base}/in", "unit_id long, revision long, action string, payload string")
         streams.index_sync_stream(s, f"{base}/index", f"{base}/ck").awaitTermination()
-    return streams.latest(spark, f"{base}/index", streams.INDEX).filter("not deleted").select("unit_id", "revision")
+    return streams.index_table(spark, f"{base}/index").read().filter("not deleted").select("unit_id", "revision")
 
 
 @query("SELECT asset_id, stage, CASE WHEN m.id IS NOT NULL AND status <> 'done' THEN 'saved' ELSE 'discarded' END AS receipt FROM jobs LEFT JOIN (SELECT * FROM media WHERE present) m ON m.id = asset_id AND m.version = file_version", "jobs", "media")

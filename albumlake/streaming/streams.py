@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.reconcile import reconcile
+from ..sources.states import KeyedTable, newest
 from ..sources.tables import apply_changes
 
 
@@ -31,18 +32,22 @@ def latest(spark: SparkSession, folder: str, schema) -> DataFrame:
 CATALOG = "path string, size long, mtime long, version long, present boolean"
 
 
-def ingest_stream(listings: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
+def catalog_table(spark: SparkSession, folder: str, buckets: int = 64) -> KeyedTable:
+    return KeyedTable(spark, folder, CATALOG, "path", buckets)
+
+
+def ingest_stream(listings: DataFrame, folder: str, checkpoint: str, buckets: int = 64) -> StreamingQuery:
     """Listings (path, size, mtime) become versioned catalogue rows, batch by batch.
 
-    Each batch reads the snapshot before it and writes its own, so a replayed batch writes the same
-    rows again; files that didn't change keep their version.
+    Each batch rewrites the buckets that its paths are in and publishes them; a replayed batch
+    changes nothing, and files that didn't change keep their version.
     """
 
+    def merge(known: DataFrame, seen: DataFrame) -> DataFrame:
+        return reconcile(known, newest(seen, "path", "mtime"), complete=False)
+
     def apply(batch: DataFrame, batch_id: int) -> None:
-        newest = batch.groupBy("path").agg(F.max_by(F.struct("size", "mtime"), "mtime").alias("f")).select("path", "f.*")
-        known = _snapshot(batch.sparkSession, folder, CATALOG, batch_id)
-        merged = reconcile(known, newest, complete=False).select("path", "size", "mtime", "version", "present")
-        merged.write.mode("overwrite").parquet(f"{folder}/batch-{batch_id}")
+        catalog_table(batch.sparkSession, folder, buckets).apply(batch, merge, batch_id)
 
     return listings.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -50,18 +55,24 @@ def ingest_stream(listings: DataFrame, folder: str, checkpoint: str) -> Streamin
 INDEX = "unit_id long, revision long, payload string, deleted boolean"
 
 
-def index_sync_stream(outbox: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
+def index_table(spark: SparkSession, folder: str, buckets: int = 64) -> KeyedTable:
+    return KeyedTable(spark, folder, INDEX, "unit_id", buckets)
+
+
+def index_sync_stream(outbox: DataFrame, folder: str, checkpoint: str, buckets: int = 64) -> StreamingQuery:
     """Changes (unit_id, revision, action, payload) applied to an index, at least once each but with
     the effect of once: a batch's newest revision per unit wins, and never over a newer one. Deleted
-    units stay as marks, so that an older change that comes late doesn't bring them back."""
+    units stay as marks, so that an older change that comes late doesn't bring them back. A batch
+    rewrites the buckets that its units are in."""
 
-    def apply(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        last = batch.groupBy("unit_id").agg(F.max_by(F.struct("revision", "action", "payload"), "revision").alias("c")).select("unit_id", "c.*")
-        known = _snapshot(spark, folder, INDEX, batch_id)
+    def merge(known: DataFrame, changes: DataFrame) -> DataFrame:
+        last = newest(changes, "unit_id", "revision")
         newer = last.join(known.select("unit_id", F.col("revision").alias("have")), "unit_id", "left").filter(F.col("have").isNull() | (F.col("revision") > F.col("have"))).drop("have")
         rows = newer.select("unit_id", "revision", F.when(F.col("action") == "upsert", F.col("payload")).alias("payload"), (F.col("action") == "delete").alias("deleted"))
-        apply_changes(known, rows, rows.limit(0)).write.mode("overwrite").parquet(f"{folder}/batch-{batch_id}")
+        return apply_changes(known, rows, rows.limit(0))
+
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        index_table(batch.sparkSession, folder, buckets).apply(batch, merge, batch_id)
 
     return outbox.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

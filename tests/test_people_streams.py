@@ -131,4 +131,4 @@ def test_replayed_batch_changes_nothing(spark):
     listing.write.parquet(f"{base}/in")
     for ck in ("one", "two"):  # a second checkpoint replays the same batch
         streams.ingest_stream(streams.read_stream(spark, f"{base}/in", "path string, size long, mtime long"), f"{base}/catalog", f"{base}/{ck}").awaitTermination()
-    assert sorted((r["path"], r["version"]) for r in streams.latest(spark, f"{base}/catalog", streams.CATALOG).collect()) == [("a", 1), ("b", 1)]
+    assert sorted((r["path"], r["version"]) for r in streams.catalog_table(spark, f"{base}/catalog").read().collect()) == [("a", 1), ("b", 1)]
