@@ -75,24 +75,25 @@ def _nearest(k: int):
     return run
 
 
-def _meet(units: DataFrame, queries: DataFrame, run, out: tuple[str, ...], block: int, rows: int = 8192) -> DataFrame:
+def _meet(units: DataFrame, queries: DataFrame, run, out: tuple[str, ...], block: int, rows: int = 8192, present: str = "vector") -> DataFrame:
     """(query_id, columns ``out`` of the units, score) of ``run`` over every block of queries and every block of units of the same cell, on executors.
 
-    Rows with a cell are dealt evenly to blocks of about ``block`` queries and ``rows`` units; each
-    travels once for every block of the other side.
+    Rows with a cell are dealt by the hash of their ids to blocks of about ``block`` queries and
+    ``rows`` units; each travels once for every block of the other side. The sizes of the cells, one
+    row each, are broadcast: there are as many as an index has centres, or one.
     """
-    units, queries = units.filter("vector is not null"), queries.filter("vector is not null")
+    units, queries = units.filter(F.col(present).isNotNull()), queries.filter("vector is not null")
 
     def counted(df: DataFrame, size: int, name: str) -> DataFrame:
         return df.groupBy("cell").agg(F.ceil(F.count("*") / size).cast("int").alias(name))
 
-    def dealt(df: DataFrame, own: str, others: str, i: str, j: str) -> DataFrame:
-        numbered = df.withColumn("_n", F.monotonically_increasing_id()).join(F.broadcast(sizes), "cell")
-        numbered = numbered.withColumn(i, (F.col("_n") % F.col(own)).cast("int")).withColumn(j, F.explode(F.sequence(F.lit(0), F.col(others) - 1)))
+    def dealt(df: DataFrame, id: str, own: str, others: str, i: str, j: str) -> DataFrame:
+        numbered = df.join(F.broadcast(sizes), "cell").withColumn(i, F.pmod(F.xxhash64(id, F.lit(17)), F.col(own)).cast("int"))
+        numbered = numbered.withColumn(j, F.explode(F.sequence(F.lit(0), F.col(others) - 1)))
         return numbered.select(*[F.col(c).alias(c) for c in (*df.columns, "_i", "_j")])  # new attributes: both sides may be one table
 
     sizes = counted(queries, block, "_q").join(counted(units, rows, "_u"), "cell")
-    left, right = dealt(queries, "_q", "_u", "_i", "_j"), dealt(units, "_u", "_q", "_j", "_i")
+    left, right = dealt(queries, "query_id", "_q", "_u", "_i", "_j"), dealt(units, "unit_id", "_u", "_q", "_j", "_i")
     key, kind = ["cell", "_i", "_j"], dict(units.dtypes) | dict(queries.dtypes)
     schema = ", ".join(f"{n} {kind[n]}" for n in ("query_id", *out)) + ", score double"
     return left.groupBy(key).cogroup(right.groupBy(key)).applyInArrow(run, schema)
@@ -169,54 +170,6 @@ def best_per_asset(matches: DataFrame, key: str = "asset_id") -> DataFrame:
     return matches.withColumn("_r", F.row_number().over(best)).filter("_r = 1").drop("_r")
 
 
-def ann_index(units: DataFrame, cells: int, sample: int = 10_000, rounds: int = 5, seed: int = 3) -> tuple[DataFrame, np.ndarray]:
-    """Every unit with its cell of an inverted file, and the cells' centres.
-
-    Centres come from at most ``sample`` units (those with the smallest hashes of their ids).
-    """
-    picked = units.select("vector").orderBy(F.xxhash64("unit_id")).limit(sample).collect()
-    x = np.array([r["vector"] for r in picked], np.float64)
-    rng = np.random.default_rng(seed)
-    centres = x[rng.permutation(len(x))[: min(cells, len(x))]]
-    for _ in range(rounds):
-        own = (x @ centres.T).argmax(1)
-        for c in range(len(centres)):
-            if (own == c).any():
-                m = x[own == c].mean(0)
-                centres[c] = m / max(np.linalg.norm(m), 1e-12)
-    known = units.sparkSession.sparkContext.broadcast(centres)
-
-    def run(batches):
-        for b in batches:
-            if b.num_rows:
-                cell = (np.array(b.column("vector").to_pylist(), np.float64) @ known.value.T).argmax(1)
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell, pa.int32())], names=[*b.schema.names, "cell"])
-
-    part = units.select("unit_id", "asset_id", "vector")
-    schema = ", ".join(f"{n} {t}" for n, t in part.dtypes) + ", cell int"
-    return part.mapInArrow(run, schema), centres
-
-
-def ann_knn(index: DataFrame, centres: np.ndarray, queries: DataFrame, k: int, probes: int = 8, block: int = 8192) -> DataFrame:
-    """Approximate k nearest: only the cells nearest to each query are ranked, exactly.
-
-    Any number of queries; blocks of those that ask for a cell meet blocks of its units.
-    """
-    known = index.sparkSession.sparkContext.broadcast(centres)
-
-    def run(batches):
-        for b in batches:
-            if b.num_rows:
-                near = np.argsort(-(_matrix(b.column("vector")) @ known.value.T), axis=1)[:, :probes]
-                cells = pa.ListArray.from_arrays(np.arange(0, near.size + 1, near.shape[1], dtype=np.int32), pa.array(near.ravel(), pa.int32()))
-                yield pa.RecordBatch.from_arrays([*b.columns, cells], names=[*b.schema.names, "cells"])
-
-    part = queries.filter("vector is not null").select("query_id", "vector")
-    schema = ", ".join(f"{n} {t}" for n, t in part.dtypes) + ", cells array<int>"
-    asked = part.mapInArrow(run, schema).select(F.explode("cells").alias("cell"), "query_id", "vector")
-    return _ranked(_meet(index.select("cell", "unit_id", "asset_id", "vector"), asked, _nearest(k), ("unit_id", "asset_id"), block), k)
-
-
 def ann_recall(approximate: DataFrame, exact: DataFrame, k: int) -> DataFrame:
     """Mean share of the exact k nearest that the approximate ones hold."""
     both = exact.select("query_id", "unit_id").join(approximate.select("query_id", "unit_id", F.lit(1).alias("hit")), ["query_id", "unit_id"], "left")
