@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import search_text
 from ..operators import filters, ordering, people, search, vectors
+from ..operators.text_index import TextIndex
 from ..operators.vector_index import VectorIndex
 from ..sources.scratch import shared_dir
 from . import adapters
@@ -242,6 +243,41 @@ def text_bm25(spark, d):
     return rounded(search.bm25(searchable(spark, d), text_queries(spark, d)), "score").select("query_id", "unit_id", "score")
 
 
+INDEXED = """(WITH docs AS (SELECT doc_id AS unit_id, regexp_extract_all(lower(coalesce(text, '') || ' ' || CASE doc_id % 4 WHEN 0 THEN 'Красивая дача летом' WHEN 1 THEN 'красивые дачи' WHEN 2 THEN 'на даче лето' ELSE '' END), '[\\p{L}\\p{N}_]+') AS tokens FROM documents WHERE doc_id % 17 <> 0),
+  total AS (SELECT count(*) AS n, avg(len(tokens)) AS mean FROM docs), flat AS (SELECT unit_id, length, CASE word WHEN 'дача' THEN 'дач' WHEN 'дачи' THEN 'дач' WHEN 'даче' THEN 'дач' WHEN 'летом' THEN 'лет' WHEN 'лето' THEN 'лет' WHEN 'красивая' THEN 'красив' WHEN 'красивые' THEN 'красив' ELSE word END AS term FROM (SELECT unit_id, len(tokens) AS length, unnest(tokens) AS word FROM docs)),
+  terms AS (SELECT unnest([0, 0, 1, 1, 1, 2, 2]) AS query_id, unnest(['красив', 'дач', 'the', 'quality', 'лет', 'license', 'password']) AS term),
+  tf AS (SELECT unit_id, length, term, count(*) AS tf FROM flat WHERE term IN (SELECT term FROM terms) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1)
+  SELECT query_id, unit_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))), 9) AS score FROM tf JOIN df USING (term) JOIN terms USING (term), total GROUP BY ALL)"""
+
+
+def text_index(spark, d):
+    """(index, queries): documents with Russian words, written in two batches, the second of which
+    replaces texts of the first and deletes every seventeenth."""
+    docs = table(spark, d, "documents")
+    more = F.expr("case doc_id % 4 when 0 then 'Красивая дача летом' when 1 then 'красивые дачи' when 2 then 'на даче лето' else '' end")
+    units = docs.select(F.col("doc_id").alias("unit_id"), F.concat_ws(" ", F.coalesce("text", F.lit("")), more).alias("search_text"))
+    index = TextIndex(spark, shared_dir(spark, "texts"))
+    older = F.when(F.col("unit_id") % 10 == 1, F.lit("the older text")).otherwise(F.col("search_text"))
+    index.apply(units.filter("unit_id % 3 <> 0").withColumn("search_text", older), batch=0)
+    index.apply(units.filter("unit_id % 17 <> 0 and (unit_id % 3 = 0 or unit_id % 10 = 1)"), units.filter("unit_id % 17 = 0").select("unit_id"), batch=1)
+    queries = F.explode(F.array(*[F.struct(F.lit(i).alias("query_id"), F.lit(t).alias("q")) for i, t in enumerate(("красивых дач", "the quality летом", "license password"))]))
+    return index, table(spark, d, "region").limit(1).select(queries.alias("x")).select("x.*")
+
+
+@query(f"SELECT query_id, unit_id, round(score, 6) AS score FROM {INDEXED}")
+def text_index_bm25(spark, d):
+    """Texts found by words and Russian stems through the stored inverted table."""
+    index, queries = text_index(spark, d)
+    return rounded(index.search(queries), "score").select("query_id", "unit_id", "score")
+
+
+@query(f"SELECT query_id, unit_id, round(score, 6) AS score, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, unit_id))::INTEGER AS rank FROM {INDEXED} QUALIFY rank <= 20")
+def text_index_top(spark, d):
+    """The first 20 of each query; blocks of postings that can't reach them stay packed."""
+    index, queries = text_index(spark, d)
+    return rounded(index.search(queries, 20), "score").select("query_id", "unit_id", "score", "rank")
+
+
 RRF = """SELECT asset_id, page, round(score, 9) AS score FROM (SELECT asset_id, page, sum(weight / (60 + r)) AS score, row_number() OVER (PARTITION BY asset_id ORDER BY page) AS k
   FROM (SELECT stream, asset_id, r // 200 AS page, min(r) AS r, any_value(weight) AS weight FROM ({0}) GROUP BY stream, asset_id, r // 200) GROUP BY asset_id, page) WHERE k = 1"""
 STREAMS = """SELECT 'v' AS stream, 1.0::DOUBLE AS weight, doc_id AS r, doc_id // 2 AS asset_id FROM documents UNION ALL SELECT 'n', 2.0, doc_id, doc_id // 3 FROM documents"""

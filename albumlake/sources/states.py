@@ -102,10 +102,16 @@ class KeyedTable:
         """The buckets that the changes' keys are in: at most as many rows as there are buckets."""
         return [r[0] for r in changes.select(self.bucket()).distinct().collect()]
 
-    def apply(self, changes: DataFrame, merge: Callable[[DataFrame, DataFrame], DataFrame], batch: int | None = None, more: dict | None = None) -> bool:
+    def apply(self, changes: DataFrame, merge: Callable[[DataFrame, DataFrame], DataFrame], batch: int | None = None, base: int | None = None) -> bool:
         """Publish the state after ``merge(known, changes)``, where ``known`` has the rows of the
-        buckets touched. A batch that was applied before, or an older one, changes nothing: False."""
-        number, state = self.states.read()
+        buckets touched. A batch that was applied before, or an older one, changes nothing: False.
+
+        A table that is part of a larger one, whose state names a state of this one, is changed from
+        that ``base`` on: what a crashed writer published here since is passed over, and the larger
+        one calls ``retain`` when its own state is out.
+        """
+        number, state = self.states.read(base)
+        number = max(self.states.numbers(), default=0)
         if batch is not None and batch <= state.get("batch", -1):
             return False
         touched, token = self.touched(changes), f"{number + 1:012d}-{uuid.uuid4().hex}"
@@ -116,10 +122,14 @@ class KeyedTable:
             merged.repartition("bucket").write.partitionBy("bucket").parquet(f"{self.states.data}/{token}")
             written = {n[7:] for n in self.states.names(f"data/{token}") if n.startswith("bucket=")}
             held = {b: t for b, t in held.items() if int(b) not in touched} | {b: token for b in written}
-        self.states.publish(number + 1, {"n": self.buckets, "batch": state.get("batch", -1) if batch is None else batch, "buckets": held} | (more or {}))
-        self.states.retain(lambda s: {f"{t}/bucket={b}" for b, t in s.get("buckets", {}).items()}, self.keep)
+        self.states.publish(number + 1, {"n": self.buckets, "batch": state.get("batch", -1) if batch is None else batch, "buckets": held})
+        if base is None:
+            self.retain(self.keep)
         return True
 
+    def retain(self, keep: int) -> None:
+        self.states.retain(lambda s: {f"{t}/bucket={b}" for b, t in s.get("buckets", {}).items()}, keep)
+
 
 def newest(changes: DataFrame, key: str, order: str) -> DataFrame:
     """One row per key: that with the greatest ``order``."""
