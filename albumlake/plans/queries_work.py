@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import orientation, quality, reconcile, stages
 from ..sources.tables import shared_dir
+from ..streaming import jobs as jobs_stream
 from ..streaming import streams
 from .adapters import clips, commits, folders, jobs, media, scan, table, vec_units
 from .registry import query
@@ -379,6 +380,31 @@ def stream_job_state(spark, d):
     return totals(spark, streams.job_state(streamed(spark, e)))
 
 
+JOB_EVENT = "case event_type when 'click' then 'start' when 'view' then 'beat' when 'purchase' then 'done' when 'error' then 'error' else case when event_id % 3 = 0 then 'bump' else 'retry' end end"
+
+
+@query(f"""WITH RECURSIVE e AS (SELECT user_id AS job, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000, event_id) AS k, {JOB_EVENT} AS event, event_id // 1000 AS v, epoch_us(ts) // 1000 AS ms FROM events),
+  s AS (SELECT DISTINCT user_id AS job, 0::BIGINT AS k, 'pending' AS status, 0::BIGINT AS attempts, 0::BIGINT AS version, 0::BIGINT AS seen FROM events
+    UNION ALL SELECT job, k,
+      CASE WHEN event = 'bump' AND v > version THEN 'pending' WHEN event = 'start' AND st = 'pending' THEN 'running' WHEN event IN ('done', 'error') AND st = 'running' THEN event WHEN event = 'retry' AND st = 'error' THEN 'pending' ELSE st END,
+      CASE WHEN event = 'bump' AND v > version THEN 0 WHEN event = 'start' AND st = 'pending' THEN attempts + 1 ELSE attempts END,
+      CASE WHEN event = 'bump' AND v > version THEN v ELSE version END,
+      CASE WHEN event = 'bump' AND v > version OR event = 'start' AND st = 'pending' OR event IN ('beat', 'done', 'error') AND st = 'running' OR event = 'retry' AND st = 'error' THEN ms ELSE seen END
+      FROM (SELECT e.*, attempts, version, seen, CASE WHEN status = 'running' AND ms - seen > 43200000 THEN 'pending' ELSE status END AS st FROM s JOIN e ON e.job = s.job AND e.k = s.k + 1))
+  SELECT job, CASE WHEN status = 'running' AND (SELECT max(epoch_us(ts) // 1000) - 3600000 FROM events) - seen > 43200000 THEN 'pending' ELSE status END AS status, attempts, version, seen FROM s QUALIFY row_number() OVER (PARTITION BY job ORDER BY k DESC) = 1""")
+def stream_job_keeper(spark, d):
+    """Jobs kept from a stream of events that comes in three parts: attempts counted, versions reset,
+    jobs of workers silent for 12 hours taken back by timers."""
+    base = shared_dir(spark)
+    e = timed(table(spark, d, "events").selectExpr("user_id as job", "event_id as seq", "ts", f"{JOB_EVENT} as event", "event_id div 1000 as version"))
+    span = e.agg(F.min("ts").alias("a"), F.max("ts").alias("b"))
+    third = e.crossJoin(F.broadcast(span)).withColumn("third", F.floor(3 * (F.unix_millis("ts") - F.unix_millis("a")) / (F.unix_millis("b") - F.unix_millis("a") + 1)))
+    for i in range(3):
+        third.filter(F.col("third") == i).select(*e.columns).write.mode("append").parquet(f"{base}/in")
+        jobs_stream.keep_jobs(spark.readStream.schema(e.schema).parquet(f"{base}/in"), 43_200_000, f"{base}/jobs", f"{base}/ck")
+    return jobs_stream.jobs_table(spark, f"{base}/jobs").read().drop("revision")
+
+
 @query("""SELECT folder, camera, min(epoch(t))::BIGINT AS start, count(*) AS n, min(id) AS first_id FROM (SELECT *, sum(CASE WHEN gap IS NULL OR gap > 60 THEN 1 ELSE 0 END) OVER (PARTITION BY folder, camera ORDER BY t, id) AS k FROM (
   SELECT id, folder, camera, captured_at::TIMESTAMP AS t, epoch(captured_at::TIMESTAMP) - lag(epoch(captured_at::TIMESTAMP)) OVER (PARTITION BY folder, camera ORDER BY captured_at, id) AS gap FROM ready WHERE captured_at IS NOT NULL)) GROUP BY folder, camera, k""", "ready")
 def stream_bursts(spark, d):
