@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import effective_latitude, effective_longitude, effective_place, haversine_km
+from ..sources.scratch import Scratch
 
 
 def _xyz(lat: Column, lon: Column) -> list[Column]:
@@ -19,35 +20,81 @@ def _dot(e: Column) -> Column:
     return F.col("x") * e["cx"] + F.col("y") * e["cy"] + F.col("z") * e["cz"]
 
 
-def nearest_city(points: DataFrame, cities: DataFrame, most: int = 250_000, cell: float = 1.0) -> DataFrame:
+LEVELS = 14  # a cube of the finest level has a side of some 800 m
+
+
+def _cube(q: str, level: int) -> Column:
+    """Number of the cube of a level that holds the finest cube (``q``x, ``q``y, ``q``z)."""
+    at = [F.shiftright(F.col(f"{q}{a}"), LEVELS - level) for a in "xyz"]
+    return F.shiftleft(at[0], 2 * level) + F.shiftleft(at[1], level) + at[2]
+
+
+def _apart(p: str, c: str, level: int) -> Column:
+    """Distance of the middles of two cubes of a level, in units of their side."""
+    part = lambda k, a: F.shiftright(F.col(k), level * (2 - a)).bitwiseAND(F.lit((1 << level) - 1))
+    return F.sqrt(sum(((part(p, a) - part(c, a)).cast("double") ** 2 for a in range(3)), F.lit(0.0)))
+
+
+def _in_cubes(df: DataFrame) -> DataFrame:
+    """With the finest cube (qx, qy, qz) of the unit vector (x, y, z)."""
+    n = 1 << LEVELS
+    cube = lambda a: F.least(F.floor((F.col(a) + 1) / 2 * n), F.lit(n - 1)).cast("long")
+    return df.withColumns({f"q{a}": cube(a) for a in "xyz"})
+
+
+def city_candidates(points: DataFrame, cities: DataFrame, work: Scratch, few: int = 32, finest: int = LEVELS) -> list[tuple[int, DataFrame]]:
+    """For some levels (level, table of cube p and cube c): the cubes of cities that can hold the
+    nearest city to a point in cube p. Every point's cube is in the table of one level.
+
+    Points and cities lie in an octree around the globe. From level to level, each occupied cube of
+    points keeps the cubes of cities that aren't farther from it than the nearest one by more than two
+    diagonals of a cube; its children meet the children of those. A cube whose candidates hold at most
+    ``few`` cities is done. The kept cubes of a cube lie in a patch of a bounded number of cubes.
+    """
+    near = points.select("qx", "qy", "qz").distinct()
+    near, far = work.keep(near), work.keep(cities.groupBy("qx", "qy", "qz").agg(F.count("*").alias("n")))
+    done, active = [], None
+    for level in range(finest + 1):
+        p = near.select(_cube("q", level).alias("p"), _cube("q", max(0, level - 1)).alias("up")).distinct()
+        c = far.groupBy(_cube("q", level).alias("c"), _cube("q", max(0, level - 1)).alias("above")).agg(F.sum("n").alias("n"))
+        if active is None:
+            met = p.join(c, F.lit(True))  # one cube each
+        else:
+            met = active.select(F.col("p").alias("up"), F.col("c").alias("above")).join(p, "up").join(c, "above")
+        own = Window.partitionBy("p")
+        met = met.select("p", "c", "n", _apart("p", "c", level).alias("d")).withColumn("least", F.min("d").over(own))
+        kept = met.filter(F.col("d") <= F.col("least") + 2 * math.sqrt(3) + 1e-6).withColumn("total", F.sum("n").over(own))
+        kept = work.keep(kept.select("p", "c", (F.col("total") <= few).alias("few")))
+        last = level == finest
+        done.append((level, kept if last else kept.filter("few")))
+        active = kept.filter("not few")
+        if last or active.isEmpty():
+            return done
+    return done
+
+
+def nearest_city(points: DataFrame, cities: DataFrame, few: int = 32, cell: float = 0.007) -> DataFrame:
     """Points with coordinates and without a place text, with their nearest city and its distance.
 
-    All cities (broadcast after a check of their number) meet only the occupied cells of a map, of
-    which there is a bounded number however many points there are. What lies farther from a cell's
-    middle than the nearest city by more than the cell's diagonal can't be nearest to any point in it;
-    each point then looks at the cities left to its cell. Best is the highest product of unit vectors;
-    equal ones go to the smaller city id.
+    Any number of both: ``city_candidates`` leaves each cube of points a bounded number of cubes of
+    cities, and a point compares the cities of those. Best is the highest product of unit vectors;
+    equal ones go to the smaller city id. Cubes of less than ``cell`` degrees aren't split.
     """
-    if cities.count() > most:
-        raise ValueError(f"more than {most} cities")
+    work = Scratch(points.sparkSession)
+    finest = min(LEVELS, max(0, int(math.log2(2 / math.radians(cell)))))
     c = cities.select(F.col("id").alias("city_id"), F.col("name").alias("city"), F.col("latitude").alias("c_lat"), F.col("longitude").alias("c_lon"))
-    for n, x in zip("xyz", _xyz(F.col("c_lat"), F.col("c_lon"))):
-        c = c.withColumn(f"c{n}", x)
-    book = c.agg(F.collect_list(F.struct("city_id", "city", "c_lat", "c_lon", "cx", "cy", "cz")).alias("book"))
+    c = work.keep(_in_cubes(c.withColumns(dict(zip("xyz", _xyz(F.col("c_lat"), F.col("c_lon")))))))
     todo = points.filter(effective_latitude().isNotNull() & effective_longitude().isNotNull() & (F.coalesce("geo_text", F.lit("")) == ""))
     todo = todo.select("id", effective_latitude().alias("lat"), effective_longitude().alias("lon"))
-    todo = todo.withColumns({"cell_y": F.floor((F.col("lat") + 90) / cell), "cell_x": F.floor((F.col("lon") + 180) / cell)})
-
-    cells = todo.select("cell_y", "cell_x").distinct()
-    middle = _xyz((F.col("cell_y") + 0.5) * cell - 90, (F.col("cell_x") + 0.5) * cell - 180)
-    cells = cells.withColumns(dict(zip("xyz", middle))).join(F.broadcast(book), how="cross")
-    angle = lambda e: F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), _dot(e))))
-    cells = cells.withColumn("nearest", F.array_min(F.transform("book", angle)))
-    slack = math.radians(cell) * math.sqrt(2) + 1e-5  # the diagonal, and room for rounding
-    cells = cells.select("cell_y", "cell_x", F.filter("book", lambda e: angle(e) <= F.col("nearest") + slack).alias("near"))
-
+    todo = work.keep(_in_cubes(todo.withColumns(dict(zip("xyz", _xyz(F.col("lat"), F.col("lon")))))))
+    each = F.struct("city_id", "city", "c_lat", "c_lon", F.col("x").alias("cx"), F.col("y").alias("cy"), F.col("z").alias("cz"))
+    found = None
+    for level, pairs in city_candidates(todo, c, work, few, finest):
+        lists = pairs.join(c.withColumn("c", _cube("q", level)), "c").groupBy("p").agg(F.collect_list(each).alias("near"))
+        one = todo.withColumn("p", _cube("q", level)).join(lists, "p").drop("p")
+        found = one if found is None else found.unionByName(one)
     best = F.array_max(F.transform("near", lambda e: F.struct(F.round(_dot(e), 12).alias("s"), (-e["city_id"]).alias("k"), e["city"].alias("city"), e["c_lat"].alias("c_lat"), e["c_lon"].alias("c_lon"))))
-    found = todo.withColumns(dict(zip("xyz", _xyz(F.col("lat"), F.col("lon"))))).join(cells, ["cell_y", "cell_x"]).withColumn("b", best)
+    found = found.withColumn("b", best)
     return found.select("id", (-F.col("b.k")).alias("city_id"), F.col("b.city").alias("city"), F.round(haversine_km("lat", "lon", "b.c_lat", "b.c_lon"), 3).alias("km"))
 
 

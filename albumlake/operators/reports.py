@@ -97,8 +97,19 @@ def rolling_rate(commits: DataFrame, seconds: int = 60) -> DataFrame:
     return per.select("source", "stage", "at", F.sum("here").over(last).alias("n"))
 
 
-def transfer_rate(traffic: DataFrame, seconds: int = 10) -> DataFrame:
-    """Bytes a second over the last ``seconds`` at each event, at least a tenth of a second long."""
-    last = Window.partitionBy("direction").orderBy("at").rangeBetween(-seconds, 0)
+def transfer_rate(traffic: DataFrame, seconds: int = 10, block: int = 600) -> DataFrame:
+    """Bytes a second over the last ``seconds`` at each event, at least a tenth of a second long.
+
+    Bytes of one moment are summed first. The moments of a direction are cut into blocks of ``block``
+    seconds, each with a copy of the last ``seconds`` of the one before, so that no direction is one
+    task; events of one moment get its rate.
+    """
+    length = max(block, seconds)
+    moments = traffic.groupBy("direction", "at").agg(F.sum("bytes").alias("bytes")).withColumn("own", F.floor(F.col("at") / length))
+    spill = F.col("at") >= (F.col("own") + 1) * length - seconds
+    copies = F.when(spill, F.array(F.col("own"), F.col("own") + 1)).otherwise(F.array("own"))
+    blocks = moments.withColumn("block", F.explode(copies))
+    last = Window.partitionBy("direction", "block").orderBy("at").rangeBetween(-seconds, 0)
     span = F.greatest(F.lit(0.1), F.least(F.lit(float(seconds)), F.col("at") - F.min("at").over(last)))
-    return traffic.select("direction", "at", "event_id", (F.sum("bytes").over(last) / span).alias("rate"))
+    rates = blocks.withColumn("rate", F.sum("bytes").over(last) / span).filter("block = own").select("direction", "at", "rate")
+    return traffic.select("direction", "at", "event_id").join(rates, ["direction", "at"]).select("direction", "at", "event_id", "rate")
