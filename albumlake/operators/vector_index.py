@@ -13,11 +13,12 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.states import States
-from .vectors import _matrix, _meet, _ranked, dot, knn
+from .vectors import _matrix, _ranked, dot, knn
 
 GROWTH = 1.25  # rows over those at the last build, before the index is built anew
 EXACT_AFTER = 1000  # ranks beyond this come from exact search
@@ -58,24 +59,39 @@ def _cells_of(centres, probes: int):
     return run
 
 
+def _best(query: np.ndarray, unit: np.ndarray, score: np.ndarray, order: np.ndarray, k: int):
+    """The ``k`` best of each query; ties go to the unit that comes first in ``order``."""
+    by = np.lexsort((order[unit], -score, query))
+    query, unit, score = query[by], unit[by], score[by]
+    first = np.searchsorted(query, query)  # where each one's query begins
+    keep = np.arange(len(query)) - first < k
+    return query[keep], unit[keep], score[keep]
+
+
 def _by_codes(scale: np.ndarray, k: int):
-    """The ``k`` best units of a block for each query by their codes; all that tie with the last one."""
+    """The ``k`` best units of a shard for each query by their codes, among the cells that it asks for."""
 
     def run(asked: pa.Table, units: pa.Table) -> pa.Table:
-        query, unit, scores = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)]
+        found = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+        order = np.empty(0, np.int64)
         if asked.num_rows and units.num_rows:
-            code = np.frombuffer(b"".join(units.column("code").to_pylist()), np.int8).reshape(units.num_rows, -1).astype(np.float32)
+            code = np.frombuffer(b"".join(units.column("code").to_pylist()), np.int8).reshape(units.num_rows, -1)
             q = (_matrix(asked.column("vector")) * (scale / 127)).astype(np.float32)
-            most = min(k, len(code))
-            for at in range(0, len(q), 256):
-                score = q[at : at + 256] @ code.T
-                least = np.partition(score, len(code) - most, axis=1)[:, len(code) - most]
-                i, j = np.nonzero(score >= least[:, None])
-                query.append(i + at)
-                unit.append(j)
-                scores.append(score[i, j].astype(np.float64))
-        a, u = asked.select(["query_id"]).take(np.concatenate(query)), units.select(["unit_id"]).take(np.concatenate(unit))
-        return pa.table([*a.columns, *u.columns, pa.array(np.concatenate(scores))], names=["query_id", "unit_id", "score"])
+            order, cell = np.asarray(pc.rank(units.column("unit_id"), tiebreaker="first")).astype(np.int64), units.column("cell").to_numpy()
+            lists = asked.column("cells").combine_chunks()
+            wanted, of = lists.flatten().to_numpy(), np.repeat(np.arange(len(q)), pc.list_value_length(lists).to_numpy())
+            for c in np.unique(cell):
+                own, asking = np.flatnonzero(cell == c), of[wanted == c]
+                rows, most = code[own].astype(np.float32), min(k, len(own))
+                for at in range(0, len(asking), 256):
+                    score = q[asking[at : at + 256]] @ rows.T
+                    least = np.partition(score, len(own) - most, axis=1)[:, len(own) - most]
+                    i, j = np.nonzero(score >= least[:, None])
+                    found.append((asking[at + i], own[j], score[i, j].astype(np.float64)))
+                if len(found) > 64:  # what earlier cells gave is cut down now and then
+                    found = [_best(*map(np.concatenate, zip(*found)), order, k)]
+        query, unit, score = _best(*map(np.concatenate, zip(*found)), order, k)
+        return pa.table([asked.column("query_id").take(pa.array(query)), units.column("unit_id").take(pa.array(unit)), pa.array(score)], names=["query_id", "unit_id", "score"])
 
     return run
 
@@ -200,11 +216,34 @@ class VectorIndex:
         rows = self._rows(state, cells, where)
         if allowed is not None:
             rows = rows.join(allowed.select("asset_id").distinct(), "asset_id", "left_semi")
-        near = _meet(rows.select("cell", "unit_id", "code"), asked, _by_codes(np.array(state["scale"]), refine * k), ("unit_id",), 8192, present="code")
+        near = self._near(rows.select("cell", "unit_id", "code"), asked, np.array(state["scale"]), refine * k)
         few = _ranked(near.withColumn("asset_id", F.lit(0)), refine * k).select("query_id", "unit_id")
         exact = few.join(rows.select("unit_id", "asset_id", "vector"), "unit_id").join(queries.select("query_id", F.col("vector").alias("_q")), "query_id")
         return _ranked(exact.select("query_id", "unit_id", "asset_id", dot("vector", "_q").alias("score")), k)
 
+    def _near(self, units: DataFrame, asked: DataFrame, scale: np.ndarray, k: int, rows: int = 1 << 17, block: int = 8192) -> DataFrame:
+        """(query_id, unit_id, score): the ``k`` best units of each query by code in every shard. A shard
+        has whole cells, or a part of a cell of more than ``rows`` units, and meets blocks of queries."""
+        counts = {r["cell"]: r["count"] for r in units.groupBy("cell").count().collect()}  # a row for each cell
+        tasks, n = int(self.spark.conf.get("spark.sql.shuffle.partitions")), asked.select("query_id").distinct().count()
+        parts = [(c, -(-m // rows), i) for c, m in counts.items() for i in range(-(-m // rows))]
+        sizes = np.zeros(max(1, -(-sum(counts.values()) // rows), min(tasks, len(parts))), np.int64)
+        held = []
+        for c, several, i in sorted(parts, key=lambda p: -counts[p[0]] / p[1]):
+            shard = int(sizes.argmin())
+            sizes[shard] += counts[c] // several
+            held.append((c, several, i, shard))
+        held = F.broadcast(self.spark.createDataFrame(held, "cell int, parts int, part int, shard int"))  # as many rows as cells, and parts of large ones
+        blocks = max(1, -(-n // block))
+        here = units.join(held, "cell").filter(F.pmod(F.xxhash64("unit_id", F.lit(17)), F.col("parts")) == F.col("part"))
+        here = here.select("shard", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "unit_id", "code", "cell")
+        there = asked.join(held, "cell").groupBy("shard", "query_id").agg(F.collect_set("cell").alias("cells"), F.first("vector").alias("vector"))
+        there = there.withColumn("block", F.pmod(F.xxhash64("query_id", F.lit(17)), F.lit(blocks)).cast("int"))
+        there = there.select(*[F.col(c).alias(c) for c in there.columns])
+        kind = dict(units.dtypes) | dict(asked.dtypes)
+        schema = f"query_id {kind['query_id']}, unit_id {kind['unit_id']}, score double"
+        return there.groupBy("shard", "block").cogroup(here.groupBy("shard", "block")).applyInArrow(_by_codes(scale, k), schema)
+
     def page(self, queries: DataFrame, offset: int = 0, limit: int = 200, **more) -> DataFrame:
         """Ranks offset + 1 to offset + limit: of the index, or of exact search where the page ends
         beyond rank ``EXACT_AFTER``."""
