@@ -161,4 +161,6 @@ def sql(body: str, *names: str) -> str:
 
     for n in names:
         add(n)
+    if body.lstrip().startswith(", RECURSIVE "):  # the body goes on with parts of its own that recur
+        return "WITH RECURSIVE " + ", ".join(f"{n} AS ({SQL[n][1]})" for n in order) + ", " + body.lstrip()[12:]
     return "WITH " + ", ".join(f"{n} AS ({SQL[n][1]})" for n in order) + body if order else body

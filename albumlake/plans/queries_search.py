@@ -146,9 +146,10 @@ def face_match(spark, d):
     return rounded(vectors.face_match(faces(spark, d), examples(spark, d)), "score")
 
 
-@query()
+@query("""SELECT DISTINCT a.asset_id, a.unit_id FROM scores a JOIN scores b USING (asset_id, unit_id)
+  WHERE a.person = 0 AND b.person = 1 AND a.score >= 0.1 AND b.score >= 0.1 AND a.face_id <> b.face_id""", "scores")
 def face_match_people_all(spark, d):
-    """Assets with a face of its own for each of two people (tested against brute force)."""
+    """Assets with a face of its own for each of two people."""
     f = faces(spark, d)
     known = examples(spark, d).filter("person in (0, 1)")
     hits = vectors.face_match(f, known, 0.1).join(f.select("face_id", "unit_id"), "face_id")
@@ -198,9 +199,23 @@ def face_boundary_pools(spark, d):
     return rounded(people.boundary_pools(faces(spark, d), examples(spark, d)), "score", "distance")
 
 
-@query()
+#: One row after the other, as they are offered: inside ones for three places, outside ones for three more, then any.
+PICKED = f""", RECURSIVE pools AS (SELECT p.person, p.face_id, p.asset_id, inside, distance, f.vector FROM ({POOLS}) p JOIN faces f USING (face_id) WHERE r <= 128),
+  offered AS (SELECT *, row_number() OVER (PARTITION BY person ORDER BY phase, distance, face_id) AS k FROM (
+    SELECT *, CASE WHEN inside THEN 1 ELSE 2 END AS phase FROM pools UNION ALL SELECT *, 3 FROM pools)),
+  steps AS (SELECT DISTINCT person, 0::BIGINT AS k, 0::BIGINT AS first, []::STRUCT(face_id BIGINT, asset_id BIGINT, inside BOOLEAN, distance DOUBLE, vector DOUBLE[])[] AS chosen FROM offered
+    UNION ALL SELECT person, k, CASE WHEN phase = 1 THEN len(taken) ELSE first END, taken FROM (
+      SELECT o.person, o.k, o.phase, s.first, CASE WHEN len(s.chosen) < CASE o.phase WHEN 1 THEN 3 WHEN 2 THEN s.first + 3 ELSE 6 END
+          AND len(list_filter(s.chosen, lambda c: c.asset_id = o.asset_id OR list_dot_product(c.vector, o.vector) > 0.95)) = 0
+        THEN list_append(s.chosen, {{'face_id': o.face_id, 'asset_id': o.asset_id, 'inside': o.inside, 'distance': o.distance, 'vector': o.vector}}) ELSE s.chosen END AS taken
+      FROM steps s JOIN offered o ON o.person = s.person AND o.k = s.k + 1))
+  SELECT person, c.face_id AS face_id, c.asset_id AS asset_id, c.inside AS inside, round(c.distance, 6) AS distance, (row_number() OVER (PARTITION BY person ORDER BY NOT c.inside, c.distance, c.face_id) - 1)::INTEGER AS place
+  FROM (SELECT person, unnest(chosen) AS c FROM (SELECT * FROM steps QUALIFY row_number() OVER (PARTITION BY person ORDER BY k DESC) = 1))"""
+
+
+@query(PICKED, "scores")
 def face_diverse_pick(spark, d):
-    """Suggestions to review, six a person (tested on a fixture)."""
+    """Suggestions to review, six a person."""
     f = faces(spark, d)
     pools = people.boundary_pools(f, examples(spark, d)).join(f.select("face_id", "vector"), "face_id")
     return people.diverse_pick(pools).withColumn("distance", F.round("distance", 6))
@@ -212,9 +227,15 @@ def face_search(spark, d):
     return rounded(people.face_search(faces(spark, d), examples(spark, d).filter(own), examples(spark, d, "r = 3"), 3, "any"), "score")
 
 
-@query()
+@query("""WITH RECURSIVE b AS (SELECT vec_id // 8 AS image_id, vec_id AS box_id, embedding[1]::DOUBLE AS score, (vec_id * 7 % 40)::DOUBLE / 100 AS x, (vec_id * 11 % 40)::DOUBLE / 100 AS y,
+    row_number() OVER (PARTITION BY vec_id // 8 ORDER BY embedding[1] DESC, vec_id) AS k FROM embeddings),
+  s AS (SELECT DISTINCT image_id, 0::BIGINT AS k, NULL::BIGINT AS box_id, NULL::DOUBLE AS score, []::STRUCT(x DOUBLE, y DOUBLE, a DOUBLE)[] AS kept FROM b
+    UNION ALL SELECT image_id, k, CASE WHEN free THEN box_id END, score, CASE WHEN free THEN list_append(kept, {'x': x, 'y': y, 'a': 0.16::DOUBLE}) ELSE kept END FROM (
+      SELECT b.*, s.kept, len(list_filter(list_transform(s.kept, lambda o: greatest(0, least(o.x, b.x) + 0.4 - greatest(o.x, b.x)) * greatest(0, least(o.y, b.y) + 0.4 - greatest(o.y, b.y))), lambda i: i / (0.32 - i) > 0.3)) = 0 AS free
+      FROM s JOIN b ON b.image_id = s.image_id AND b.k = s.k + 1))
+  SELECT image_id, box_id, score FROM s WHERE box_id IS NOT NULL""")
 def face_non_maximum(spark, d):
-    """Boxes without those that overlap better ones (tested on a fixture)."""
+    """Boxes without those that overlap better ones."""
     e = table(spark, d, "embeddings")
     corner = lambda i: (F.col("vec_id") * (7 + i) % 40).cast("double") / 100
     boxes = e.select(F.expr("vec_id div 8").alias("image_id"), F.col("vec_id").alias("box_id"), F.get("embedding", 0).cast("double").alias("score"), F.array(corner(0), corner(4), corner(0) + 0.4, corner(4) + 0.4).alias("box"))
