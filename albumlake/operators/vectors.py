@@ -75,14 +75,14 @@ def _nearest(k: int):
     return run
 
 
-def _meet(units: DataFrame, queries: DataFrame, run, out: tuple[str, ...], block: int, rows: int = 8192, present: str = "vector") -> DataFrame:
+def _meet(units: DataFrame, queries: DataFrame, run, out: tuple[str, ...], block: int, rows: int = 32768) -> DataFrame:
     """(query_id, columns ``out`` of the units, score) of ``run`` over every block of queries and every block of units of the same cell, on executors.
 
     Rows with a cell are dealt by the hash of their ids to blocks of about ``block`` queries and
     ``rows`` units; each travels once for every block of the other side. The sizes of the cells, one
     row each, are broadcast: there are as many as an index has centres, or one.
     """
-    units, queries = units.filter(F.col(present).isNotNull()), queries.filter("vector is not null")
+    units, queries = units.filter("vector is not null"), queries.filter("vector is not null")
 
     def counted(df: DataFrame, size: int, name: str) -> DataFrame:
         return df.groupBy("cell").agg(F.ceil(F.count("*") / size).cast("int").alias(name))
