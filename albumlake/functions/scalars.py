@@ -31,14 +31,19 @@ def nocase(c) -> Column:
     return F.translate(_col(c), _UPPER, _LOWER)
 
 
+# A folder that holds other versions of its files, and extensions at the end of a name.
+VERSION_FOLDER = r"(?i)/(?:\[?developed\]?|web|raw|jpe?g|originals?)$"
+VERSION_EXTENSIONS = r"(?:\.[a-z0-9]{2,5})+$"
+
+
 def version_folder(c) -> Column:
     """Folder without one trailing folder that holds other versions of its files, folded."""
-    return fold(F.regexp_replace(_col(c), r"(?i)/(?:\[?developed\]?|web|raw|jpe?g|originals?)$", ""))
+    return fold(F.regexp_replace(_col(c), VERSION_FOLDER, ""))
 
 
 def version_name(c) -> Column:
     """Folded file name without all its trailing extensions."""
-    return F.regexp_replace(fold(c), r"(?:\.[a-z0-9]{2,5})+$", "")
+    return F.regexp_replace(fold(c), VERSION_EXTENSIONS, "")
 
 
 def timestamp_text(ms) -> Column:

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..functions import sql as functions_sql
 from ..operators import filters, geo, ordering, reports, stacks
-from ..sources import tables
-from .adapters import cities, clips, commits, folders, jobs, media, table
+from ..sources import listing, tables
+from ..sources.scratch import shared_dir
+from .adapters import cities, clips, commits, folders, jobs, media, table, vec_units
 from .registry import query
 
 
@@ -405,3 +407,65 @@ def scalar_keys(spark, d):
 def scalar_decide_orientation(spark, d):
     e = table(spark, d, "embeddings").selectExpr("vec_id", "case vec_id % 5 when 0 then 'A' when 1 then 'B' when 2 then 'C' when 3 then 'D' else 'uncertain' end as view", "vec_id % 2 = 0 as sure", "cast(vec_id % 4 * 90 as int) as b", "vec_id % 11 / 100d as s", "vec_id % 7 / 100d as r")
     return e.select("vec_id", S.decide_orientation("view", F.lit("scene"), "sure", "b", "s", "r").alias("x")).select("vec_id", "x.rotation", "x.certain")
+
+
+# ---- sources over written files, and SQL text ----
+@query("SELECT c_mktsegment AS segment, c_nationkey::BIGINT AS nation, 1::BIGINT AS n_files, '.json' AS extension, false AS supported FROM customer WHERE c_mktsegment <> 'BUILDING' GROUP BY ALL")
+def source_file_listing(spark, d):
+    """Files of a written tree, listed by folder in tasks; one folder is skipped with all below it."""
+    base = shared_dir(spark, "tree")
+    table(spark, d, "customer").repartition("c_mktsegment", "c_nationkey").write.partitionBy("c_mktsegment", "c_nationkey").json(f"{base}/tree")
+    listing.register(spark)
+    files = spark.read.format("file_listing").option("root", base).option("paths", '["tree"]').option("skip", '["tree/c_mktsegment=BUILDING"]').load()
+    own = files.filter(F.col("path").rlike(r"/c_nationkey=\d+/part-[^/]*\.json$"))
+    part = lambda name: F.regexp_extract("path", f"{name}=([^/]+)", 1)
+    return own.groupBy(part("c_mktsegment").alias("segment"), part("c_nationkey").cast("long").alias("nation"), "extension", "supported").agg(F.count("*").alias("n_files"))
+
+
+@query("SELECT id, folder, extension, version, present, camera, duration_ms, user_place FROM (SELECT *, 0::BIGINT AS duration_ms FROM media)", "media")
+def source_catalog(spark, d):
+    """A catalogue written by an older version, without some columns, read with their defaults."""
+    base = shared_dir(spark, "catalog")
+    media(spark, d).drop("duration_ms").write.parquet(f"{base}/assets")
+    return tables.read_catalog(spark, base).select("id", "folder", "extension", "version", "present", "camera", "duration_ms", "user_place")
+
+
+@query("SELECT unit_id::VARCHAR AS unit_id, 1::BIGINT AS file_version, 'm1' AS model_version, 64::INTEGER AS dimensions, round(vector[3], 6) AS third FROM vec_units", "vec_units")
+def source_vectors(spark, d):
+    base = shared_dir(spark, "vectors")
+    vec_units(spark, d).selectExpr("cast(unit_id as string) as unit_id", "1L as file_version", "'m1' as model_version", "size(vector) as dimensions", "vector").write.parquet(f"{base}/embeddings")
+    return tables.read_vectors(spark, base).select("unit_id", "file_version", "model_version", "dimensions", F.round(F.get("vector", 2).cast("double"), 6).alias("third"))
+
+
+@query("SELECT n_nationkey::BIGINT AS id, n_name AS name, lower(n_name) AS first_alias, CASE WHEN lower(n_name) = n_name THEN 1 ELSE 2 END::INTEGER AS n_aliases, round(latitude, 6) AS latitude FROM nation JOIN cities ON id = n_nationkey", "cities")
+def source_gazetteer(spark, d):
+    """Cities from tab-separated text, with their distinct aliases."""
+    base = shared_dir(spark, "gazetteer")
+    c = cities(spark, d)
+    c.select("id", "name", F.concat(F.lower("name"), F.lit(" ,"), F.col("name"), F.lit(",,"), F.col("name")).alias("aliases"), F.lit("XX").alias("country"), "latitude", "longitude").write.option("sep", "\t").csv(f"{base}/cities")
+    return tables.read_gazetteer(spark, f"{base}/cities").select("id", "name", F.get("aliases", 0).alias("first_alias"), F.size("aliases").alias("n_aliases"), F.round("latitude", 6).alias("latitude"))
+
+
+@query("""SELECT page_id, regexp_replace(lower(regexp_extract(path, '[^/]+$')), '(\\.[a-z0-9]{2,5})+$', '') AS bare, lower(regexp_replace(regexp_replace(path, '/[^/]*$', ''), '/(\\[?developed\\]?|web|raw|jpe?g|originals?)$', '', 'i')) AS folder,
+  lower(path) AS folded, len(string_split(path, '/'))::BIGINT AS n_folders, (page_id % 7 + 1)::BIGINT AS n_times FROM paths""", "paths")
+def sql_functions(spark, d):
+    """The registered functions and table functions in SQL text."""
+    functions_sql.register(spark)
+    pages = table(spark, d, "pages").selectExpr("page_id", "concat(regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', ''), '/p', cast(page_id as string), '.jpg') as path")
+    return spark.sql(
+        """SELECT page_id, version_name(regexp_extract(path, '[^/]+$', 0)) AS bare, version_folder(regexp_replace(path, '/[^/]*$', '')) AS folder, exact_fold(path) AS folded,
+             count(DISTINCT a.folder) AS n_folders, count(DISTINCT t.timestamp_ms) AS n_times
+           FROM {pages} AS p, LATERAL ancestor_folders(p.path) AS a, LATERAL frame_times((p.page_id % 7) * 10000 + 5000) AS t GROUP BY page_id, path""",
+        pages=pages,
+    )
+
+
+@query("SELECT u.unit_id::VARCHAR AS unit_id, m.id AS asset_id, m.folder, m.camera, round(u.vector[1], 6) AS first FROM vec_units u JOIN media m ON m.id = u.asset_id WHERE m.camera = 'cam_1' AND m.present AND m.width >= 4000", "vec_units", "media")
+def sql_vector_table(spark, d):
+    """Vectors with their assets' filter columns beside them, asked in SQL text: the filters reach the scan."""
+    base, u = shared_dir(spark, "beside"), vec_units(spark, d)
+    e = u.selectExpr("cast(unit_id as string) as unit_id", "1L as file_version", "'m1' as model_version", "vector")
+    units = u.selectExpr("cast(unit_id as string) as id", "asset_id")
+    tables.vector_rows(e, units, media(spark, d)).write.parquet(f"{base}/vectors")
+    tables.vector_view(spark, f"{base}/vectors")
+    return spark.sql("SELECT unit_id, asset_id, folder, camera, round(cast(vector[0] AS double), 6) AS first FROM vectors WHERE camera = 'cam_1' AND present AND width >= 4000")

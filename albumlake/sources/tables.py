@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .scratch import materialize, shared_dir  # noqa: F401  part of this module's interface
+from .states import States
 
 #: Extensions by group.
 RAW = ".3fr .arw .cr2 .cr3 .crw .dng .erf .kdc .mos .mrw .nef .nrw .orf .pef .raf .raw .rw2 .srw .x3f".split()
@@ -26,6 +27,9 @@ ASSETS = (
 )
 UNITS = "id string, asset_id long, kind string, timestamp_ms long"
 EMBEDDINGS = "unit_id string, file_version long, model_version string, dimensions int, vector array<float>"
+#: Columns of an asset that lie beside its vectors, so that a search filters where it scans.
+BESIDE = "folder string, captured_at string, camera string, extension string, orientation string, width long, height long, pixels long, size long, present boolean, metadata_ready boolean, search_text string"
+VECTORS = "unit_id string, asset_id long, version long, model_version string, vector array<float>, " + BESIDE
 FACES = "id string, asset_id long, file_version long, model_version string, box array<double>, landmarks array<array<double>>, confidence double, vector array<float>"
 CITIES = "id long, name string, aliases string, country string, latitude double, longitude double"
 #: What an older table lacks.
@@ -84,6 +88,22 @@ def read_vectors(spark: SparkSession, folder: str) -> DataFrame:
     return read_table(spark, f"{folder}/embeddings", EMBEDDINGS)
 
 
+def vector_rows(embeddings: DataFrame, units: DataFrame, assets: DataFrame) -> DataFrame:
+    """Rows of ``VECTORS``: vectors of the assets' present versions, with the assets' filter columns."""
+    beside = [f.name for f in T.StructType.fromDDL(BESIDE)]
+    of = units.select(F.col("id").alias("unit_id"), "asset_id")
+    here = assets.select(F.col("id").alias("asset_id"), "version", *[F.col(c) if c in assets.columns else F.lit(DEFAULTS.get(c)).alias(c) for c in beside])
+    joined = embeddings.join(of, "unit_id").withColumnRenamed("file_version", "version").join(here, ["asset_id", "version"])
+    return joined.select(*[F.col(f.name).cast(f.dataType) for f in T.StructType.fromDDL(VECTORS)])
+
+
+def vector_view(spark: SparkSession, path: str, name: str = "vectors") -> DataFrame:
+    """A vector table with its filter columns, also as a view for SQL text."""
+    df = spark.read.schema(VECTORS).parquet(path)
+    df.createOrReplaceTempView(name)
+    return df
+
+
 def read_gazetteer(spark: SparkSession, path: str) -> DataFrame:
     """Cities from tab-separated text; aliases as a list of distinct names."""
     return spark.read.schema(CITIES).csv(path, sep="\t").withColumn("aliases", split_aliases(F.col("aliases")))
@@ -112,13 +132,13 @@ def apply_changes(base: DataFrame, upserts: DataFrame, deletes: DataFrame, key:
 
 
 def publish(df: DataFrame, folder: str) -> str:
-    """Write a new snapshot and only then point to it: readers see the old one or the new one whole."""
-    spark = df.sparkSession
-    path = f"{folder}/snapshot-{uuid.uuid4().hex}"
+    """Write a new snapshot and only then the state that names it: readers see the old one or the new one whole."""
+    states = States(df.sparkSession, folder)
+    path = f"{states.data}/snapshot-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    spark.createDataFrame([(path,)], "path string").coalesce(1).write.mode("overwrite").json(f"{folder}/CURRENT")
+    states.publish(max(states.numbers(), default=0) + 1, {"path": path})
     return path
 
 
 def current_snapshot(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.parquet(spark.read.schema("path string").json(f"{folder}/CURRENT").first()["path"])
+    return spark.read.parquet(States(spark, folder).read()[1]["path"])
