@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import orientation, quality, reconcile, stages
+from ..operators import orientation, places, quality, reconcile, stages
 from ..sources.tables import shared_dir
 from ..streaming import jobs as jobs_stream
 from ..streaming import streams
@@ -411,3 +411,43 @@ def stream_bursts(spark, d):
     m = media(spark, d).filter("present and metadata_ready and captured_at is not null").withColumn("ts", F.col("captured_at").cast("timestamp"))
     feed = streamed(spark, m.select("id", "folder", "camera", "ts"))
     return totals(spark, streams.burst_stream(feed, 60)).select("folder", "camera", F.unix_timestamp("start").alias("start"), "n", "first_id")
+
+
+# ---- places set by hand ----
+COMMANDS = """SELECT id, CASE WHEN id % 4 = 1 THEN 0 ELSE 1 END AS v, k AS seq, CASE WHEN k = 1 THEN '  spot ' || (id % 7) || ' ' WHEN id % 9 = 0 THEN '' ELSE 'old' END AS name,
+    CASE WHEN id % 6 = 5 THEN NULL ELSE ((id * 7 + k) % 200 - 100)::DOUBLE END AS lat, (id % 360 - 180)::DOUBLE AS lon FROM media, (VALUES (0), (1)) t(k) WHERE id % 3 <> 2"""
+EDITED = f"""commands AS ({COMMANDS}), fine AS (SELECT * FROM commands WHERE lat BETWEEN -90 AND 90 AND lon BETWEEN -180 AND 180 QUALIFY row_number() OVER (PARTITION BY id ORDER BY seq DESC) = 1),
+  edited AS (SELECT m.id, present, geo_text, m.user_place AS old_place, m.user_latitude AS old_lat, CASE WHEN f.v = m.version THEN trim(name) ELSE m.user_place END AS new_place, CASE WHEN f.v = m.version THEN lat ELSE m.user_latitude END AS new_lat,
+    m.user_longitude AS old_lon, CASE WHEN f.v = m.version THEN lon ELSE m.user_longitude END AS new_lon FROM media m LEFT JOIN fine f USING (id))"""
+
+
+def placed(spark, d):
+    """Assets as a keyed table, and the state after two rounds of commands."""
+    assets = places.placed_assets(spark, shared_dir(spark, "places"))
+    m = media(spark, d)
+    assets.apply(m, lambda known, new: new, 0)
+    first = m.filter("id % 3 <> 2").withColumn("k", F.explode(F.array(F.lit(0), F.lit(1))))
+    commands = first.selectExpr(
+        "id", "cast(case when id % 4 = 1 then 0 else 1 end as bigint) as version", "k as seq", "case when k = 1 then concat('  spot ', cast(id % 7 as string), ' ') when id % 9 = 0 then '' else 'old' end as name",
+        "case when id % 6 = 5 then null else cast((id * 7 + k) % 200 - 100 as double) end as latitude", "cast(id % 360 - 180 as double) as longitude",
+    )
+    places.set_places(assets, commands, 1)
+    return assets
+
+
+@query(f", {EDITED} SELECT id, 'update' AS action, old_place, new_place, old_lat, new_lat FROM edited WHERE old_place IS DISTINCT FROM new_place OR old_lat IS DISTINCT FROM new_lat OR old_lon IS DISTINCT FROM new_lon", "media")
+def place_updates(spark, d):
+    """What commands changed in the catalogue: those of other versions and with wrong coordinates are left out."""
+    assets = placed(spark, d)
+    feed = places.place_feed(assets, 1, 2)
+    return feed.select("id", "action", F.col("before.user_place").alias("old_place"), F.col("after.user_place").alias("new_place"), F.col("before.user_latitude").alias("old_lat"), F.col("after.user_latitude").alias("new_lat"))
+
+
+@query(f", {EDITED} SELECT id AS unit_id, 2::BIGINT AS revision, CASE WHEN new_place <> '' THEN new_place ELSE geo_text END AS payload FROM edited WHERE present AND CASE WHEN new_place <> '' THEN new_place ELSE geo_text END <> CASE WHEN old_place <> '' THEN old_place ELSE geo_text END", "media")
+def place_updates_index(spark, d):
+    """The index after those changes came through its stream."""
+    base, assets = shared_dir(spark), placed(spark, d)
+    places.outbox(places.place_feed(assets, 1, 2), 2).write.parquet(f"{base}/in")
+    s = streams.read_stream(spark, f"{base}/in", "unit_id long, revision long, action string, payload string")
+    streams.index_sync_stream(s, f"{base}/index", f"{base}/ck").awaitTermination()
+    return streams.index_table(spark, f"{base}/index").read().filter("not deleted").select("unit_id", "revision", "payload")
