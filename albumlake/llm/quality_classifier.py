@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, slices
+from .common import Scratch, as_bytes, pieces
 
 BITS = 18
 _MARKS = bytes(c for c in range(33, 127) if not chr(c).isalnum())
@@ -59,7 +59,7 @@ class Features(dict):
 def _extract(batches):
     features = Features()
     for batch in batches:
-        for part in slices(batch, 500):
+        for part in pieces(batch, rows=500):
             rows = [features.of(t) for t in as_bytes(part.column("text"))]
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", "grade", "key")), pa.array(rows, pa.list_(pa.int32()))], names=["doc_id", "grade", "key", "features"])
 
@@ -124,7 +124,7 @@ def _score(model: Ordinal | None, at_least: int, names: list[str]):
     def run(batches):
         features = Features()
         for batch in batches:
-            for part in slices(batch, 500):
+            for part in pieces(batch, rows=500):
                 if model is None:
                     expected, tail = [None] * part.num_rows, [None] * part.num_rows
                 else:
@@ -143,15 +143,21 @@ def rating(labels: DataFrame) -> DataFrame:
     return rated.dropna().groupBy("doc_id").agg(F.min("grade").alias("grade"))
 
 
-def train(df: DataFrame, ratings: DataFrame, max_rows: int = 12_000, max_bytes: int = 200_000) -> Ordinal | None:
-    """Fit on a bounded sample: of the ``max_rows`` rated ids with the smallest hashes, the first
-    ``max_rows`` distinct texts by the same order, of those with at most ``max_bytes``. Features are
-    extracted by the executors, and only the sample's come to the driver."""
+def train(df: DataFrame, ratings: DataFrame, max_rows: int = 12_000, max_features: int = 1 << 26) -> Ordinal | None:
+    """Fit on a bounded sample of the rated rows: of the ``max_rows`` rated ids with the smallest
+    hashes, the first ``max_rows`` distinct texts by the same order, as many as have ``max_features``
+    features together (some hundred thousand texts of ordinary length). Whole texts of any length are read, by
+    the executors, and only the sample's features come to the driver, at most 2**18 of a text."""
     order = [F.xxhash64(F.lit(11), "doc_id"), F.col("doc_id")]
     ids = ratings.orderBy(*order).limit(max_rows)
-    rated = df.filter(F.octet_length("text") <= max_bytes).join(F.broadcast(ids), "doc_id").select("doc_id", "grade", F.xxhash64("text").alias("key"), "text")
+    rated = df.join(F.broadcast(ids), "doc_id").select("doc_id", "grade", F.xxhash64("text").alias("key"), "text")
+    work = Scratch(df.sparkSession)
     rows = rated.mapInArrow(_extract, "doc_id long, grade int, key long, features array<int>").groupBy("doc_id", "key").agg(F.first("grade").alias("grade"), F.first("features").alias("features"))
-    sample = rows.orderBy(*order, "key").limit(max_rows).select("grade", "features").toArrow().combine_chunks()
+    rows = work.keep(rows)
+    sizes = rows.select(*order, "key", F.size("features").alias("n")).orderBy(*order, "key").limit(max_rows).toArrow().column("n").to_numpy()
+    fits = int((np.cumsum(sizes) <= max_features).sum())
+    sample = rows.orderBy(*order, "key").limit(fits).select("grade", "features").toArrow().combine_chunks()
+    work.clear()
     if not sample.num_rows:
         return None
     return Ordinal.fit([x.values.to_numpy() for x in sample.column("features")], sample.column("grade").to_numpy())
