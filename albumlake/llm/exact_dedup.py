@@ -4,7 +4,8 @@ Every text is cut into chunks of bytes. Each chunk gets two polynomial hashes (m
 below 2**31); hashes of neighbouring chunks combine by shifting the left one by the length of the
 right one, so chunks can be hashed independently and in any order. Rows with equal (length, hashes)
 are only candidates: their texts are then compared chunk by chunk with those of the group's leader,
-and a group in which any chunk differs is split by the full SHA-256 of its texts.
+and a group in which any chunk differs is split by the full SHA-256 of its texts. The parts of a huge
+text are hashed by several tasks; the copies of a large group meet several copies of its leader.
 """
 
 from __future__ import annotations
@@ -14,12 +15,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, as_bytes, bitmap, bitmap_bits, in_bitmap, slices, text_or_empty
+from .common import Scratch, as_bytes, bitmap, bitmap_bits, in_bitmap, pieces, text_or_empty
 
 PRIMES = (2147483647, 2147483629)
 BASES = (1000003, 998244353)
 CHUNK = 1 << 16
 KEY = ["n_bytes", "h1", "h2"]
+HUGE = 1 << 23  # bytes from which a text's parts are hashed by several tasks
+PART = 64 * CHUNK  # bytes of such a part
+MEET = 256  # copies of a text that meet one copy of their leader
 
 
 def _powers(base: int, prime: int, n: int) -> np.ndarray:
@@ -53,34 +57,82 @@ def fingerprint(data: bytes, chunk: int = CHUNK) -> tuple[int, int, int]:
     return out
 
 
-def _fingerprints(batches):
+def _fingerprints(huge: int, part: int):
+    """Fingerprints of texts; a huge text gives its parts instead."""
+    names = ["row", "doc_id", "sha", *KEY, "seq", "part"]
+    types = [pa.int64(), pa.int64(), pa.string(), *[pa.int64()] * 4, pa.binary()]
+
+    def table(rows):
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
+
+    def run(batches):
+        for batch in batches:
+            for some in pieces(batch):
+                rows = []
+                for row, doc, sha, text in zip(*(some.column(c).to_pylist() for c in ("row", "doc_id", "sha")), as_bytes(some.column("text"))):
+                    if len(text) <= huge:
+                        rows.append((row, doc, sha, *fingerprint(text), None, None))
+                    else:
+                        for seq, at in enumerate(range(0, len(text), part)):
+                            yield table([(row, doc, sha, None, None, None, seq, text[at : at + part])])
+                if rows:
+                    yield table(rows)
+
+    return run
+
+
+def _parts(batches):
+    """The fingerprint of each part, and what a hash to its left is multiplied by."""
+    names = ["row", "doc_id", "sha", "seq", *KEY, "s1", "s2"]
     for batch in batches:
-        f = [fingerprint(t) for t in as_bytes(batch.column("text"))]
-        cols = [pa.array([x[i] for x in f], pa.int64()) for i in range(3)]
-        yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), batch.column("sha"), *cols], names=["row", "doc_id", "sha", *KEY])
+        for some in pieces(batch, "part"):
+            f = [fingerprint(x) for x in some.column("part").to_pylist()]
+            columns = [[x[i] for x in f] for i in range(3)] + [[pow(b, x[0], p) for x in f] for b, p in zip(BASES, PRIMES)]
+            yield pa.RecordBatch.from_arrays([*(some.column(c) for c in names[:4]), *(pa.array(c, pa.int64()) for c in columns)], names=names)
+
+
+def _combined(parts: DataFrame) -> DataFrame:
+    """(row, doc_id, sha, fingerprint) of whole texts from those of their parts, whichever task hashed them."""
+    hashed = parts.select("row", "doc_id", "sha", "seq", "part").repartition("row", "seq").mapInArrow(_parts, "row long, doc_id long, sha string, seq long, n_bytes long, h1 long, h2 long, s1 long, s2 long")
+    lists = hashed.groupBy("row", "doc_id", "sha").agg(F.array_sort(F.collect_list(F.struct("seq", *KEY, "s1", "s2"))).alias("parts"))
+    zero = F.struct(*[F.lit(0).cast("long").alias(k) for k in KEY])
+    add = lambda h, s, p: lambda left, x: (left[h] * x[s] + x[h]) % p
+    one, two = add("h1", "s1", PRIMES[0]), add("h2", "s2", PRIMES[1])
+    whole = F.aggregate("parts", zero, lambda left, x: F.struct((left["n_bytes"] + x["n_bytes"]).alias("n_bytes"), one(left, x).alias("h1"), two(left, x).alias("h2")))
+    return lists.withColumn("f", whole).select("row", "doc_id", "sha", *[F.col(f"f.{k}").alias(k) for k in KEY])
+
 
+def _place(sha, bits: int):
+    """Place of a digest in a bitmap of at most 2**28 bits."""
+    return F.conv(F.substring(sha, 1, 7), 16, 10).cast("long") % bits
 
-def _mask(h1, h2, bits: int):
-    return (h1 * 40503 + h2 * 2654435) % bits
 
+def _candidate_chunks(marked: np.ndarray, bits: int, most: int = 8 << 20):
+    """Chunks of the texts whose digests are marked, with a number by which copies are dealt out."""
+    types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.binary()]
+
+    def table(rows):
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [()] * 5, types)], names=["doc_id", "sha", "number", "seq", "chunk"])
 
-def _candidate_chunks(marked: np.ndarray, bits: int):
     def run(batches):
+        number, rows, total = 0, [], 0
         for batch in batches:
-            for part in slices(batch, 500):
-                rows = []
-                for d, text in zip(part.column("doc_id").to_pylist(), as_bytes(part.column("text"))):
-                    n, h1, h2 = fingerprint(text)
-                    if in_bitmap(marked, _mask(h1, h2, bits)):
-                        rows += [(d, n, h1, h2, i // CHUNK, text[i : i + CHUNK]) for i in range(0, len(text), CHUNK)]
-                cols = list(zip(*rows)) or [()] * 6
-                types = [pa.int64()] * 5 + [pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["doc_id", *KEY, "seq", "chunk"])
+            for some in pieces(batch):
+                for doc, sha, text in zip(some.column("doc_id").to_pylist(), some.column("sha").to_pylist(), as_bytes(some.column("text"))):
+                    if in_bitmap(marked, int(sha[:7], 16) % bits):
+                        number += 1
+                        for i in range(0, len(text), CHUNK):
+                            rows.append((doc, sha, number, i // CHUNK, text[i : i + CHUNK]))
+                            total += len(rows[-1][-1])
+                            if total > most:
+                                yield table(rows)
+                                rows, total = [], 0
+        yield table(rows)
 
     return run
 
 
-def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = 1 << 27) -> DataFrame:
+def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = 1 << 27, huge: int = HUGE, part: int = PART) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256, row.
 
     Texts are equal when byte-identical; a null text counts as empty, so null and empty texts are
@@ -88,26 +140,33 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     repeated rows of that id exactly one stays. ``row`` is a unique number of the input row. Extra
     columns of ``df`` are ignored. An empty table gives an empty result.
 
+    Texts of any length are read whole. One of more than ``huge`` bytes is hashed in parts of ``part``
+    bytes (a multiple of the chunk) by several tasks; batches are cut by bytes, so a task holds some
+    megabytes beside the text at hand.
+
     ``max_bits`` bounds the broadcast bitmap that keeps non-candidates out of the comparison's
     shuffle; a full bitmap lets more rows through and never changes the result.
     """
     src = df.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     out, work = Scratch(df.sparkSession), Scratch(df.sparkSession)
-    fps = out.keep(
-        src.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.sha2("text", 256).alias("sha"), "text").mapInArrow(
-            _fingerprints, "row long, doc_id long, sha string, n_bytes long, h1 long, h2 long"
-        )
-    )
+    told = src.withColumn("sha", F.sha2("text", 256))
+    schema = "row long, doc_id long, sha string, n_bytes long, h1 long, h2 long, seq long, part binary"
+    first = out.keep(told.select(F.monotonically_increasing_id().alias("row"), "doc_id", "sha", "text").mapInArrow(_fingerprints(huge, part), schema))
+    fps, parts = first.filter("part IS NULL").drop("seq", "part"), first.filter("part IS NOT NULL")
+    if not parts.isEmpty():
+        fps = fps.unionByName(out.keep(_combined(parts)))
     leader = F.max(F.struct("doc_id", "row"))
     shared = work.keep(fps.groupBy(*KEY).agg(F.count("*").alias("n"), leader.alias("leader")).filter("n > 1"))
-    bits = bitmap_bits(shared.count(), max_bits)
-    marked = bitmap(shared, _mask(F.col("h1"), F.col("h2"), bits), bits)
-
-    chunks = work.keep(src.mapInArrow(_candidate_chunks(marked, bits), "doc_id long, n_bytes long, h1 long, h2 long, seq long, chunk binary"))
-    same_id = F.col("c.doc_id").eqNullSafe(F.col("g.leader.doc_id"))
-    on_group = [F.col(f"c.{k}") == F.col(f"g.{k}") for k in KEY]
-    heads = chunks.alias("c").join(shared.alias("g"), [*on_group, same_id], "left_semi").dropDuplicates([*KEY, "seq"]).withColumnRenamed("chunk", "head")
-    broken = chunks.join(heads.drop("doc_id"), [*KEY, "seq"]).filter(F.col("chunk") != F.col("head")).select(*KEY).distinct()
+    named = work.keep(fps.join(shared.select(*KEY, "n", F.col("leader.doc_id").alias("head_id")), KEY).select("sha", *KEY, "n", "head_id").distinct())  # a row for each candidate text
+    bits = bitmap_bits(named.count(), min(max_bits, 1 << 28))
+    marked = bitmap(named, _place(F.col("sha"), bits), bits)
+
+    chunks = work.keep(told.mapInArrow(_candidate_chunks(marked, bits), "doc_id long, sha string, number long, seq long, chunk binary"))
+    sides = F.ceil(F.col("n") / MEET).cast("long")
+    dealt = chunks.join(named, "sha").withColumn("side", F.pmod("number", sides))
+    heads = dealt.filter(F.col("doc_id").eqNullSafe(F.col("head_id"))).groupBy(*KEY, "seq").agg(F.min("chunk").alias("head"), F.first(sides).alias("sides"))
+    heads = heads.withColumn("side", F.explode(F.sequence(F.lit(0).cast("long"), F.col("sides") - 1))).drop("sides")
+    broken = dealt.join(heads, [*KEY, "seq", "side"]).filter(F.col("chunk") != F.col("head")).select(*KEY).distinct()
     broken = out.keep(broken)
     work.clear()
     if broken.isEmpty():
