@@ -1,9 +1,10 @@
 """Secret scans with a recursive decoding worklist.
 
-A text is the first layer. Every layer is scanned, then unwrapped: URL escapes and Unicode escapes
-give a rewritten layer; every run of base64 gives a layer of its own, or layers of what its compressed
+A text is the first layer. Every layer is scanned, then unwrapped: URL escapes, and escapes of
+programs and markup, give a rewritten layer; every run of base64 gives a layer of its own, or layers of what its compressed
 data unpacks to. Bytes that are no text stay in a layer as lone surrogates, which no pattern takes.
-A line break within base64 is read both as the run's end and as a wrap. Layers go on a worklist until
+Base64 may hold UTF-8 or UTF-16, and gzip, zlib, bare deflate, bzip2 or xz data. A line break within
+it, indented or not, is read both as the run's end and as a wrap. Layers go on a worklist until
 none is new; a text that was a layer of the same place before is not taken again, which ends cycles.
 Each layer knows which characters of the original its own came from.
 """
@@ -11,7 +12,9 @@ Each layer knows which characters of the original its own came from.
 from __future__ import annotations
 
 import binascii
+import bz2
 import hashlib
+import lzma
 import re
 import zlib
 from itertools import accumulate, chain
@@ -20,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, text_or_empty
+from .common import pieces, text_or_empty
 
 KINDS = ("assign", "access", "hex")
 #: What counts as a secret before decoding.
@@ -30,15 +33,18 @@ _HEX = re.compile(r"[0-9a-f]{32,}")
 _HINTS = (b"passw", b"secret", b"token", b"apikey", b"api_key")
 
 _URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-_UNICODE = re.compile(r"\\u[0-9A-Fa-f]{4}|\\u\{[0-9A-Fa-f]{1,6}\}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};")
-#: Runs of base64 over single line breaks; shorter ones than 16 characters are left out later.
-_BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]{16,}+|[A-Za-z0-9+/_-]++(?=[\r\n]))(?:(?:\r\n?|\n)[A-Za-z0-9+/_-]+)*={0,2}")
-#: How base64 of gzip and zlib data begins.
-_GLUED = re.compile(r"H4sI|e[AFJN]")
+_UNICODE = re.compile(r"""\\(?:u[0-9A-Fa-f]{4}|u\{[0-9A-Fa-f]{1,6}\}|x[0-9A-Fa-f]{2}|[0-7]{3}|[nrtbf"'/\\])|&#[0-9]{1,7};?|&#[xX][0-9A-Fa-f]{1,6};?""")
+#: What a backslash and a letter stand for.
+_PLAIN = {"n": "\n", "r": "\r", "t": "\t", "b": "\b", "f": "\f"}
+#: Runs of base64 over single line breaks and what indents the lines; shorter ones than 16 characters are left out later.
+_BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]{16,}+|[A-Za-z0-9+/_-]++(?=[\x20\t]*[\r\n]))(?:[\x20\t]*(?:\r\n?|\n)[\x20\t]*[A-Za-z0-9+/_-]+)*={0,2}")
+#: How base64 of gzip, zlib, bzip2 and xz data begins within a word, and its first letters at all.
+_GLUED = re.compile(r"H4sI|e[AFJN]|Qlpo|/Td6")
+_HEADS = "HCGKOSWaeQ/_"
 _LINE = re.compile(r"[A-Za-z0-9+/_-]+")
 _STANDARD = bytes.maketrans(b"-_", b"+/")
 #: What every layer has that holds a secret or can be unwrapped further.
-_WORTH = re.compile(rb"[A-Za-z0-9+/_.=-]{8}|%[0-9A-Fa-f]{2}|\\[ux]|&#|[A-Za-z0-9+/_-][\r\n][\nA-Za-z0-9+/_-]")
+_WORTH = re.compile(rb"[A-Za-z0-9+/_.=-]{8}|%[0-9A-Fa-f]{2}|\\[ux0-7nrtbf\"'/\\]|&#|[A-Za-z0-9+/_-][\r\n][\n\x20\tA-Za-z0-9+/_-]")
 #: Ends of these are in no secret, escape or base64 of a text or of what its escapes stand for.
 _CUT = re.compile(rb"[\x00-\x09\x0b\x0c\x0e-\x1f!$()*,<>?@\[\]^`|~\x7f]|[\x80-\xff](?=[\x00-\x7f\xc0-\xff])|(?<=[a-z]{3})\x20(?=[A-Za-z0-9])")
 _PART = 1 << 16
@@ -102,28 +108,65 @@ def _url(run: str):
 
 
 def _unicode(run: str):
+    if run[0] == "\\" and run[1] not in "ux01234567":
+        return [(_PLAIN.get(run[1], run[1]), 0, len(run))]
     digits = run.strip("\\uxX&#;{}")
-    code = int(digits, 10 if run.startswith("&#") and run[2] not in "xX" else 16)
+    code = int(digits, 16 if run[:2] in ("\\u", "\\x") or run[2] in "xX" else 8 if run[0] == "\\" else 10)
     return None if code > 0x10FFFF or 0xD800 <= code < 0xE000 else [(chr(code), 0, len(run))]
 
 
+class _Unpacker:
+    """One packed member: ``take`` gives a bounded part of what it holds; ``rest`` is what wasn't used."""
+
+    def __init__(self, head: bytes, bare: bool = False):
+        kind = bz2.BZ2Decompressor if head[:3] == b"BZh" else lzma.LZMADecompressor if head[:6] == b"\xfd7zXZ\x00" else None
+        self.own = zlib.decompressobj(-15 if bare else 47) if kind is None else kind()
+        self.zlib, self.rest, self.waits = kind is None, b"", False
+
+    def take(self, data: bytes) -> bytes:
+        try:
+            out = self.own.decompress(data, _PART)
+        except (OSError, EOFError, lzma.LZMAError) as e:
+            raise zlib.error(str(e)) from e
+        self.rest = self.own.unused_data if self.own.eof else self.own.unconsumed_tail if self.zlib else b""
+        self.waits = not self.zlib and not self.own.eof and not self.own.needs_input  # more to come of what it took
+        return out
+
+    @property
+    def eof(self) -> bool:
+        return self.own.eof
+
+
 def _packed(data: bytes) -> bool:
-    """Whether gzip or zlib data begins here, as far as its first part shows."""
-    if data[:2] != b"\x1f\x8b" and not (data[:1] == b"\x78" and len(data) > 2 and int.from_bytes(data[:2], "big") % 31 == 0):
+    """Whether gzip, zlib, bzip2 or xz data begins here, as far as its first part shows."""
+    zlib_head = len(data) > 2 and data[0] & 15 == 8 and data[0] < 0x80 and int.from_bytes(data[:2], "big") % 31 == 0
+    if not zlib_head and data[:2] != b"\x1f\x8b" and data[:3] != b"BZh" and data[:6] != b"\xfd7zXZ\x00":
         return False
     try:
-        zlib.decompressobj(47).decompress(data[:_PART], _PART)
+        _Unpacker(data).take(data[:_PART])
     except zlib.error:
         return False
     return True
 
 
+def _bare(data: bytes) -> bool:
+    """Whether this is deflate data without a head: it must unpack without a fault, to what is worth a look or mostly printable."""
+    try:
+        unpack = zlib.decompressobj(-15)
+        out = unpack.decompress(data[:_PART], _PART)
+    except zlib.error:
+        return False
+    whole = unpack.eof or unpack.unconsumed_tail or len(data) > _PART
+    shown = sum(32 <= c < 127 or c in b"\t\n\r" for c in out[:256])
+    return len(out) >= 12 and bool(whole) and (_WORTH.search(out) is not None or 4 * shown > 3 * len(out[:256]))
+
+
 def _parts(data: bytes):
     return (data[i : i + _PART] for i in range(0, len(data), _PART))
 
 
-def _inflated(parts, size: list[int] | None = None):
-    """What all gzip or zlib members unpack to, in small parts, then what lies behind them.
+def _inflated(parts, size: list[int] | None = None, bare: bool = False):
+    """What all packed members unpack to, in small parts, then what lies behind them.
 
     A fault ends it. ``size`` gets the number of bytes that the members take.
     """
@@ -131,31 +174,33 @@ def _inflated(parts, size: list[int] | None = None):
     parts = iter(parts)
     for part in parts:
         held, read = held + part, read + len(part)
-        while held:
+        while held or unpack is not None and unpack.waits:
             if unpack is None:
-                if not _packed(held):
+                if not bare and not _packed(held):
                     yield b"\0" + held
                     yield from parts
                     return
-                unpack = zlib.decompressobj(47)
+                unpack, bare = _Unpacker(held, bare), False
             try:
-                out = unpack.decompress(held, _PART)
+                out = unpack.take(held)
             except zlib.error:
                 return
             if out:
                 yield out
-            held = unpack.unused_data if unpack.eof else unpack.unconsumed_tail
+            held = unpack.rest
             if size is not None:
                 size[:] = [read - len(held)]
             if unpack.eof:
                 unpack = None
-    if unpack is not None:
-        yield unpack.flush()
+    if unpack is not None and unpack.zlib:
+        yield unpack.own.flush()
 
 
-def _stream(data: bytes):
+def _stream(data: bytes, bare: bool = False):
     """(parts of what packed data unpacks to, how many times it was packed)."""
     parts, depth, heads = _parts(data), 0, set()
+    if bare:
+        parts, depth = _inflated(parts, bare=True), 1
     head = next(parts, b"")
     while _packed(head) and head not in heads:
         heads.add(head)
@@ -194,11 +239,20 @@ def _plain(layer: Layer, lines: list[tuple[int, int]], data: bytes, via: str):
             spans.append(layer.origin(at[b * 8 // 6], at[((b + n) * 8 - 1) // 6] + 1))
             b += n
         yield Layer(text, layer.spans if isinstance(layer.spans, tuple) else spans, via)
-
-
-def _streamed(layer: Layer, data: bytes, span: tuple[int, int], via: str, room: int):
+    for order, zeros in (("le", data[1:512:2]), ("be", data[:512:2])):
+        if 3 * zeros.count(0) > len(zeros) > 7:  # mostly Latin letters in two bytes each
+            at, spans, b = [i for line in lines for i in range(*line)], [], 0
+            text = data[: len(data) // 2 * 2].decode(f"utf-16-{order}", "replace")
+            for c in text:
+                n = 4 if ord(c) > 0xFFFF else 2
+                spans.append(layer.origin(at[min(b * 8 // 6, len(at) - 1)], at[min(((b + n) * 8 - 1) // 6, len(at) - 1)] + 1))
+                b += n
+            yield Layer(text, layer.spans if isinstance(layer.spans, tuple) else spans, f"{via}>utf16")
+
+
+def _streamed(layer: Layer, data: bytes, span: tuple[int, int], via: str, room: int, bare: bool = False):
     """Layers of what packed data unpacks to, all of whose characters come from its run."""
-    parts, depth = _stream(data)
+    parts, depth = _stream(data, bare)
     whole = layer.origin(*span)
     for piece in _pieces(parts, room):
         if _WORTH.search(piece):
@@ -222,8 +276,10 @@ def _unpacked(layer: Layer, room: int):
                 joined[phase] = starts[i], _bytes(layer, lines[i:])
                 if not alone:
                     yield from _plain(layer, lines[i:], joined[phase][1], via)
+                    if i == 0 and _bare(joined[phase][1]):
+                        yield from _streamed(layer, joined[phase][1], m.span(), via, room, True)
             taken = False
-            if phase in joined and layer.text[a] in "He":  # how packed data begins
+            if phase in joined and layer.text[a] in _HEADS:  # how packed data begins
                 since, data = joined[phase]
                 at = (starts[i] - since) // 4 * 3
                 if taken := _packed(data[at : at + _PART]):
@@ -243,6 +299,8 @@ def _unpacked(layer: Layer, room: int):
                     yield from _streamed(layer, data, (a, end), via, room)
                     continue
                 yield from _plain(layer, [(a, b)], data, via)
+                if _bare(data):
+                    yield from _streamed(layer, data, (a, end), via, room, True)
                 # the run may be glued to what stands before it: a path, a name, a word
                 for shift in (1, 2, 3):
                     yield from _plain(layer, [(a + shift, b)], _bytes(layer, [(a + shift, b)]), via)
@@ -290,7 +348,7 @@ def _scan_batches(limit: int):
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("base", pa.bool_()), ("via", pa.string()), ("value", pa.string())]))
         names = ("kind", "start", "end", "base", "via", "value")
         for batch in batches:
-            for part in slices(batch, 500):
+            for part in pieces(batch, rows=500):
                 found = [[dict(zip(names, x)) for x in find_secrets(t or "", limit)] for t in part.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(found, kind)], names=["doc_id", "found"])
 
