@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, slices, text_or_empty
+from .common import as_bytes, pieces, text_or_empty
 
 
 def read_vocabulary(path: str) -> list[bytes]:
@@ -24,6 +24,9 @@ def read_vocabulary(path: str) -> list[bytes]:
         return [base64.b64decode(line.split()[0]) for line in f if line.strip()]
 
 
+LONG = 256  # bytes from which a word is stepped through by itself
+
+
 class Automaton:
     """Trie edges as sorted keys (node * 256 + byte), with failure links and popped-token counts."""
 
@@ -64,8 +67,36 @@ class Automaton:
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where(self.keys[at] == key, self.nodes[at], -1)
 
+    def length(self, word: bytes) -> int:
+        """Pieces of one word of any length, in time that grows with it."""
+        if not hasattr(self, "child"):
+            self.child = dict(zip(self.keys.tolist(), self.nodes.tolist()))
+            self.links = list(zip(self.fail.tolist(), self.pops.tolist()))
+        child, links, state, count = self.child.get, self.links, 0, 0
+        for c in word:
+            while (to := child(state * 256 + c)) is None:
+                to, popped = links[state]
+                if to < 0:
+                    return 1
+                state, count = to, count + popped
+            state = to
+        while state > 0:
+            state, popped = links[state]
+            count += popped
+        return 1 if state < 0 else count
+
     def lengths(self, words: list[bytes]) -> np.ndarray:
-        """Pieces of each word; a word that the vocabulary cannot spell is one (unknown) piece."""
+        """Pieces of each word; a word that the vocabulary cannot spell is one (unknown) piece.
+
+        Short words go on together, a byte of each at a time; long ones go by themselves, so that one
+        long word isn't a step of all for each of its bytes.
+        """
+        long = [i for i, w in enumerate(words) if len(w) > LONG]
+        if long:
+            rest = [b"" if len(w) > LONG else w for w in words]
+            out = self.lengths(rest)
+            out[long] = [self.length(words[i]) for i in long]
+            return out
         size = np.array([len(w) for w in words], np.int64)
         order = np.argsort(-size, kind="stable")
         data = np.frombuffer(b"".join(words), np.uint8)
@@ -101,7 +132,7 @@ def _counts(automaton: Automaton, marker: bytes, limit: int = 500_000):
     def run(batches):
         memo: dict[bytes, int] = {}
         for batch in batches:
-            for part in slices(batch, 1000):
+            for part in pieces(batch, rows=1000):
                 texts = [t.split() for t in as_bytes(part.column("text"))]
                 if len(memo) > limit:
                     memo.clear()
