@@ -23,16 +23,18 @@ from .search import B, K1
 BLOCK = 1024  # unit ids to a block
 SEGMENTS, DEAD = 8, 0.25  # segments, and dead units over living ones, before all is written anew
 LENGTHS = "unit_id long, length long"
-ROW = "term string, block long, units array<long>, counts array<long>, lengths array<long>, max_count long, min_length long"
+ROW = "term string, block long, units array<long>, counts array<int>, lengths array<int>, max_count int, min_length int"
 
 
-def stemmed(words: DataFrame, stem: bool) -> DataFrame:
-    """The rows of ``words`` with the ``term`` that their ``word`` is found by. Each distinct Russian
-    word is stemmed once."""
-    if not stem:
+WORDS = 1_000_000  # Russian words up to which a batch's table of stems is broadcast
+
+
+def stemmed(words: DataFrame, russian: DataFrame | None) -> DataFrame:
+    """The rows of ``words`` with the ``term`` that their ``word`` is found by; ``russian`` has a row for each distinct Russian word."""
+    if russian is None:
         return words.withColumn("term", F.col("word"))
-    russian = words.select("word").filter(F.col("word").rlike("[а-яё]")).distinct().withColumn("term", F.get(stems(F.array("word")), 0))
-    return words.join(russian, "word", "left").withColumn("term", F.coalesce("term", "word"))
+    stem = russian.select("word", F.get(stems(F.array("word")), 0).alias("term"))
+    return words.join(stem, "word", "left").withColumn("term", F.coalesce("term", "word"))
 
 
 class TextIndex:
@@ -57,9 +59,8 @@ class TextIndex:
         if batch is not None and batch <= state.get("batch", -1):
             return False
         work = Scratch(self.spark)
-        words = F.explode_outer(F.regexp_extract_all(F.lower(F.coalesce("search_text", F.lit(""))), F.lit(TERM), F.lit(0))).alias("word")
-        found = work.keep(stemmed(upserts.select("unit_id", words).groupBy("unit_id", "word").agg(F.count("*").alias("n")), self.stem).select("unit_id", "term", "n"))
-        lengths = work.keep(found.groupBy("unit_id").agg(F.sum(F.when(F.col("term").isNotNull(), F.col("n")).otherwise(0)).alias("length")))
+        texts = upserts.select("unit_id", F.lower(F.coalesce("search_text", F.lit(""))).alias("text"))
+        lengths = work.keep(texts.select("unit_id", F.regexp_count("text", F.lit(TERM)).cast("long").alias("length")))
         gone = lengths.select("unit_id")
         gone = work.keep(gone if deletes is None else gone.union(deletes.select("unit_id")).distinct())
         known = self.lengths.read(state.get("lengths", 0))
@@ -72,7 +73,13 @@ class TextIndex:
         if old[0]:
             gone.withColumn("_before", F.lit(len(segments))).write.parquet(f"{self.states.data}/{token}-dead")
             state |= {"dead": [*state["dead"], f"{token}-dead"], "dead_units": state["dead_units"] + old[0]}
-        postings = found.filter("term is not null").groupBy("unit_id", "term").agg(F.sum("n").alias("count")).join(lengths, "unit_id")
+        # Texts are dealt by block once; what follows is counted within a task up to the rows of the index.
+        tokens = texts.withColumn("block", F.floor(F.col("unit_id") / BLOCK)).repartition("block").select("unit_id", "block", F.regexp_extract_all("text", F.lit(TERM), F.lit(0)).alias("tokens"))
+        key = ["block", "unit_id", "length"]
+        words = tokens.select("block", "unit_id", F.size("tokens").alias("length"), F.explode("tokens").alias("word")).groupBy(*key, "word").agg(F.count("*").cast("int").alias("count"))
+        postings = stemmed(words, self._russian(texts, work))
+        if self.stem:
+            postings = postings.groupBy(*key, "term").agg(F.sum("count").cast("int").alias("count"))
         state |= {"units": state["units"] + new[0] - old[0], "total": state["total"] + new[1] - old[1]}
         state["segments"] = [*segments, self._write(postings, token, state["units"])]
         self.lengths.apply(gone, lambda held, ids: held.join(ids, "unit_id", "left_anti").unionByName(lengths), base=state.get("lengths", 0))
@@ -84,9 +91,19 @@ class TextIndex:
         work.clear()
         return True
 
+    def _russian(self, texts: DataFrame, work: Scratch) -> DataFrame | None:
+        """The distinct Russian words of the texts; None if there are none. Others aren't tokenised for it."""
+        if not self.stem:
+            return None
+        letters = TERM[:-1]
+        some = texts.filter(F.col("text").rlike("[а-яё]")).select(F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(f"{letters}*[а-яё]{letters}*"), F.lit(0)))).alias("word"))
+        known = work.keep(some.distinct())
+        n = known.count()
+        return None if not n else F.broadcast(known) if n <= WORDS else known
+
     def _write(self, postings: DataFrame, token: str, units: int) -> dict:
-        """Postings (term, unit_id, count, length) as one segment; buckets of many units take several files."""
-        blocks = postings.groupBy("term", F.floor(F.col("unit_id") / BLOCK).alias("block")).agg(F.array_sort(F.collect_list(F.struct("unit_id", "count", "length"))).alias("p"))
+        """Postings (block, term, unit_id, count, length) as one segment; buckets of many units take several files."""
+        blocks = postings.groupBy("block", "term").agg(F.array_sort(F.collect_list(F.struct("unit_id", "count", "length"))).alias("p"))
         rows = blocks.select("term", "block", F.col("p.unit_id").alias("units"), F.col("p.count").alias("counts"), F.col("p.length").alias("lengths"), F.array_max("p.count").alias("max_count"), F.array_min("p.length").alias("min_length"), self.bucket().alias("bucket"))
         files = max(1, units // 1_000_000)
         rows = rows.repartition("bucket", F.pmod(F.xxhash64("block"), F.lit(files))).sortWithinPartitions("bucket", "term", "block")
@@ -97,7 +114,7 @@ class TextIndex:
         number, state = self.states.read()
         token = uuid.uuid4().hex
         living = self._living(state, self._rows(state, None))
-        state |= {"segments": [self._write(living.select("term", "unit_id", "count", "length"), token, state["units"])], "dead": [], "dead_units": 0}
+        state |= {"segments": [self._write(living.select("block", "term", "unit_id", "count", "length"), token, state["units"])], "dead": [], "dead_units": 0}
         self._publish(number + 1, state)
 
     def _publish(self, number: int, state: dict) -> None:
@@ -126,7 +143,7 @@ class TextIndex:
     def asked(self, queries: DataFrame) -> DataFrame:
         """(query_id, term): the distinct terms of queries (query_id, q), at most 32 words each."""
         words = queries.select("query_id", F.explode(query_terms(F.lower("q"))).alias("word"))
-        return stemmed(words, self.stem).select("query_id", "term").distinct()
+        return stemmed(words, words.select("word").distinct() if self.stem else None).select("query_id", "term").distinct()
 
     def postings(self, terms: DataFrame) -> DataFrame:
         """Rows of the inverted table with one of the terms; only their buckets are read."""
