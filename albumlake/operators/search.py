@@ -23,13 +23,16 @@ def bm25(texts: DataFrame, queries: DataFrame, limit: int | None = None, stem: b
     form = stems if stem else (lambda words: words)
     terms = queries.select("query_id", F.explode(F.array_distinct(form(query_terms(F.lower("q"))))).alias("term"))
     wanted = terms.select("term").distinct()
-    n_terms = wanted.count()
-    small = (lambda x: F.broadcast(x)) if n_terms <= 100_000 else (lambda x: x)
-    tokens = form(F.regexp_extract_all(F.lower(F.coalesce("search_text", F.lit(""))), F.lit(TERM), F.lit(0)))
-    docs = texts.select("unit_id", tokens.alias("tokens")).withColumn("length", F.size("tokens"))
-    if n_terms <= 256:
-        among = F.array(*[F.lit(r["term"]) for r in wanted.collect()]) if n_terms else F.array().cast("array<string>")
-        docs = docs.withColumn("tokens", F.filter("tokens", lambda t: F.array_contains(among, t)))
+    few = [r["term"] for r in wanted.limit(257).collect()]
+    small = (lambda x: F.broadcast(x)) if len(few) <= 256 or wanted.count() <= 100_000 else (lambda x: x)
+    text = F.lower(F.coalesce("search_text", F.lit("")))
+    words = F.regexp_extract_all(text, F.lit(TERM), F.lit(0))
+    # Only texts with Russian letters are stemmed; what the others need is told by one look at the text.
+    tokens = F.when(text.rlike("[а-яё]"), form(words)).otherwise(words) if stem else words
+    if len(few) <= 256:
+        among = F.array(*[F.lit(t) for t in few]) if few else F.array().cast("array<string>")
+        tokens = F.filter(tokens, lambda t: F.array_contains(among, t))
+    docs = texts.select("unit_id", F.regexp_count(text, F.lit(TERM)).alias("length"), tokens.alias("tokens"))
     docs = materialize(docs)
     total = docs.agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
     tf = docs.select("unit_id", "length", F.explode("tokens").alias("term")).join(small(wanted), "term").groupBy("unit_id", "length", "term").agg(F.count("*").alias("tf"))
@@ -80,7 +83,8 @@ def hybrid_search(visual: DataFrame, places: DataFrame, text: DataFrame, names:
     """Fusion of the four streams (asset_id, r): names weigh twice.
 
     With ``allowed`` (asset_id), only those assets take part: each stream is cut down to them and
-    ranked anew before the fusion, as if it had been filtered before its ranking.
+    ranked anew before the fusion, as if it had been filtered before its ranking. Streams that were
+    ranked among them already are passed without it and aren't numbered again.
     """
     out = None
     for label, df, weight in (("visual", visual, 1.0), ("place", places, 1.0), ("text", text, 1.0), ("name", names, 2.0)):

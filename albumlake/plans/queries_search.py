@@ -347,15 +347,15 @@ HYBRID = f"""{VISUAL.format("visual", "ready")} UNION ALL {VISUAL.format("place"
 @query(f"SELECT asset_id, page, score, (row_number() OVER (ORDER BY page, score DESC, asset_id) - 1)::BIGINT AS ordinal FROM ({RRF.format(HYBRID)})", "vec_units", "media", "ready")
 def search_hybrid(spark, d):
     """Whole visual, place, text and name streams of browsable assets, fused."""
-    m = media(spark, d)
-    units = vec_units(spark, d).withColumn("asset_id", F.col("unit_id"))
-    located = m.filter("geo_text <> ''").select(F.col("id").alias("asset_id"))
+    m = media(spark, d).filter(filters.Filters().condition())  # filtered before anything is ranked
+    allowed, located = m.select(F.col("id").alias("asset_id")), m.filter("geo_text <> ''").select(F.col("id").alias("asset_id"))
+    units = vec_units(spark, d).withColumn("asset_id", F.col("unit_id")).join(allowed, "asset_id", "left_semi")
     visual = ranked_by_vector(units, spark, d).select("r", "asset_id")
     place = ranked_by_vector(units.join(located, "asset_id", "left_semi"), spark, d).select("r", "asset_id")
-    text = search.bm25(searchable(spark, d), text_queries(spark, d).filter("query_id = 0")).select((F.col("rank") - 1).alias("r"), F.col("unit_id").alias("asset_id"))
-    names = m.filter(filters.literal_name("IMG_12")).select(F.col("id").alias("r"), F.col("id").alias("asset_id"))
-    allowed = m.filter(filters.Filters().condition()).select(F.col("id").alias("asset_id"))
-    return search.hybrid_search(visual, place, text, names, allowed).select("asset_id", "page", "score", "ordinal")
+    hits = search.bm25(searchable(spark, d), text_queries(spark, d).filter("query_id = 0")).select(F.col("unit_id").alias("asset_id"), "score").join(allowed, "asset_id", "left_semi")
+    text = ordering.with_ordinal(hits, [F.col("score").desc(), F.col("asset_id").asc()], "r")
+    names = ordering.with_ordinal(m.filter(filters.literal_name("IMG_12")).select(F.col("id").alias("asset_id")), [F.col("asset_id").asc()], "r")
+    return search.hybrid_search(visual, place, text, names).select("asset_id", "page", "score", "ordinal")
 
 
 CHECKED = """WITH h AS (SELECT unit_id AS asset_id, (row_number() OVER (ORDER BY score DESC, unit_id) - 1)::BIGINT AS ordinal FROM (
