@@ -169,24 +169,27 @@ def _printed(k: int):
     return run
 
 
-def linked_fingerprints(distinct: DataFrame, radius: int = 2, shard: int = 8192, sample: int = 1 << 16) -> DataFrame:
+def linked_fingerprints(distinct: DataFrame, radius: int = 2, shard: int = 1 << 18, sample: int = 1 << 16) -> DataFrame:
     """(a, b): links between distinct fingerprints (fp) that connect all that lie within ``radius``
     bits of each other, directly or through others.
 
     The tree is fitted on about ``sample`` of the fingerprints, those with the smallest hashes; each
-    of its leaves is a shard of about ``shard`` fingerprints (more where the sample is too small to
-    tell, or nothing can be split).
+    of its leaves is a shard of at most about ``shard`` fingerprints (more where the sample is too
+    small to tell, or nothing can be split), and there are enough of them for all tasks. Each level of
+    the tree copies what lies in its shells, so large shards, which a task splits on in memory, cost
+    less than many.
     """
-    n = distinct.count()
+    n, tasks = distinct.count(), int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shards = max(-(-n // shard), min(tasks, -(-n // 8192)), 1)
     share = min(1.0, sample / max(n, 1))
     some = distinct if share == 1 else distinct.filter(F.pmod(F.xxhash64("fp", F.lit(11)), F.lit(1 << 30)) < int(share * (1 << 30)))
     picked = np.array([r["fp"] for r in some.select("fp").collect()], np.int64).view(np.uint64)
-    nodes = grow(np.sort(picked), shard * share, radius)
+    nodes = grow(np.sort(picked), n / shards * share, radius)
     dealt = distinct.select("fp").mapInArrow(_dealt(nodes, radius), "shard long, fp long")
     return dealt.groupBy("shard").applyInArrow(_joined(radius), "a long, b long").distinct()
 
 
-def simhash_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, radius: int = 2, shard: int = 8192, sample: int = 1 << 16) -> DataFrame:
+def simhash_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, radius: int = 2, shard: int = 1 << 18, sample: int = 1 << 16) -> DataFrame:
     """One row per input row: doc_id, fingerprint (16 lowercase hex digits), component_id, n_shingles.
 
     A bit of the fingerprint is 1 if it is set in over half the hashes of the text's k-word shingles
