@@ -3,9 +3,9 @@
 Every text is cut into chunks of bytes. Each chunk gets two polynomial hashes (modulo two primes
 below 2**31); hashes of neighbouring chunks combine by shifting the left one by the length of the
 right one, so chunks can be hashed independently and in any order. Rows with equal (length, hashes)
-are only candidates: their texts are then compared chunk by chunk with those of the group's leader,
-and a group in which any chunk differs is split by the full SHA-256 of its texts. The parts of a huge
-text are hashed by several tasks; the copies of a large group meet several copies of its leader.
+are only candidates: their texts are then compared chunk by chunk, and a group in which any chunk differs
+is split by the full SHA-256 of its texts. The parts of a huge text are hashed by several tasks; equal
+chunks of a large group become one in each task before they meet those of others.
 """
 
 from __future__ import annotations
@@ -23,7 +23,6 @@ CHUNK = 1 << 16
 KEY = ["n_bytes", "h1", "h2"]
 HUGE = 1 << 23  # bytes from which a text's parts are hashed by several tasks
 PART = 64 * CHUNK  # bytes of such a part
-MEET = 256  # copies of a text that meet one copy of their leader
 
 
 def _powers(base: int, prime: int, n: int) -> np.ndarray:
@@ -108,21 +107,21 @@ def _place(sha, bits: int):
 
 
 def _candidate_chunks(marked: np.ndarray, bits: int, most: int = 8 << 20):
-    """Chunks of the texts whose digests are marked, with a number by which copies are dealt out."""
-    types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.binary()]
+    """Chunks of the texts whose digests are marked, with the fingerprints of their texts."""
+    types = [pa.int64()] * 4 + [pa.binary()]
 
     def table(rows):
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [()] * 5, types)], names=["doc_id", "sha", "number", "seq", "chunk"])
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [()] * 5, types)], names=[*KEY, "seq", "chunk"])
 
     def run(batches):
-        number, rows, total = 0, [], 0
+        rows, total = [], 0
         for batch in batches:
             for some in pieces(batch):
-                for doc, sha, text in zip(some.column("doc_id").to_pylist(), some.column("sha").to_pylist(), as_bytes(some.column("text"))):
+                for sha, text in zip(some.column("sha").to_pylist(), as_bytes(some.column("text"))):
                     if in_bitmap(marked, int(sha[:7], 16) % bits):
-                        number += 1
+                        key = fingerprint(text)
                         for i in range(0, len(text), CHUNK):
-                            rows.append((doc, sha, number, i // CHUNK, text[i : i + CHUNK]))
+                            rows.append((*key, i // CHUNK, text[i : i + CHUNK]))
                             total += len(rows[-1][-1])
                             if total > most:
                                 yield table(rows)
@@ -157,16 +156,14 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
         fps = fps.unionByName(out.keep(_combined(parts)))
     leader = F.max(F.struct("doc_id", "row"))
     shared = work.keep(fps.groupBy(*KEY).agg(F.count("*").alias("n"), leader.alias("leader")).filter("n > 1"))
-    named = work.keep(fps.join(shared.select(*KEY, "n", F.col("leader.doc_id").alias("head_id")), KEY).select("sha", *KEY, "n", "head_id").distinct())  # a row for each candidate text
-    bits = bitmap_bits(named.count(), min(max_bits, 1 << 28))
-    marked = bitmap(named, _place(F.col("sha"), bits), bits)
-
-    chunks = work.keep(told.mapInArrow(_candidate_chunks(marked, bits), "doc_id long, sha string, number long, seq long, chunk binary"))
-    sides = F.ceil(F.col("n") / MEET).cast("long")
-    dealt = chunks.join(named, "sha").withColumn("side", F.pmod("number", sides))
-    heads = dealt.filter(F.col("doc_id").eqNullSafe(F.col("head_id"))).groupBy(*KEY, "seq").agg(F.min("chunk").alias("head"), F.first(sides).alias("sides"))
-    heads = heads.withColumn("side", F.explode(F.sequence(F.lit(0).cast("long"), F.col("sides") - 1))).drop("sides")
-    broken = dealt.join(heads, [*KEY, "seq", "side"]).filter(F.col("chunk") != F.col("head")).select(*KEY).distinct()
+    copies = work.keep(fps.join(shared.select(*KEY), KEY, "left_semi").select("sha"))
+    bits = bitmap_bits(copies.count(), min(max_bits, 1 << 28))
+    marked = bitmap(copies, _place(F.col("sha"), bits), bits)
+
+    # Equal chunks fall together, in each task first; a place that has more than one is a difference.
+    chunks = told.select("sha", "text").mapInArrow(_candidate_chunks(marked, bits), "n_bytes long, h1 long, h2 long, seq long, chunk binary")
+    kinds = chunks.distinct().groupBy(*KEY, "seq").agg(F.count("*").alias("kinds"))
+    broken = kinds.filter("kinds > 1").select(*KEY).distinct()
     broken = out.keep(broken)
     work.clear()
     if broken.isEmpty():

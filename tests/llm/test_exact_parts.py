@@ -33,7 +33,7 @@ def test_combined_fingerprints_are_those_of_the_whole(spark):
 
 @pytest.mark.parametrize("copies", [600])
 def test_many_copies_of_a_long_text(spark, copies):
-    """Copies meet several copies of their leader, and batches are cut by bytes."""
+    """Equal chunks become one in each task, and batches are cut by bytes."""
     long = text(200_000, 4)
     df = spark.range(copies).selectExpr("id as doc_id", f"'{long}' as text").repartition(6)
     more = spark.createDataFrame([(5000, long[:-1] + "!"), (5001, long[:-1] + "!"), (5002, "alone")], "doc_id long, text string")
@@ -45,7 +45,6 @@ def test_many_copies_of_a_long_text(spark, copies):
 def test_collisions_among_many_copies(spark, monkeypatch):
     real = X.fingerprint
     monkeypatch.setattr(X, "fingerprint", lambda data, chunk=0: (len(data), 1, 1) if len(data) == 2 else real(data))
-    monkeypatch.setattr(X, "MEET", 2)
     rows = [(i, "cd" if i == 17 else "ab") for i in range(40)]
     got = {r["doc_id"]: (r["keep_id"], r["group_size"]) for r in X.exact_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {i: (17, 1) if i == 17 else (39, 39) for i in range(40)}
