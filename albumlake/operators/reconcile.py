@@ -134,14 +134,17 @@ def stage_rollup(unit_jobs: DataFrame) -> DataFrame:
     return out.select("asset_id", "stage", status.alias("status"), "elapsed", message.alias("message"))
 
 
-def cover_folders(includes: DataFrame, new: DataFrame) -> DataFrame:
+def cover_folders(includes: DataFrame, new: DataFrame, exact: bool = False) -> DataFrame:
     """(folder, state) of a minimal covering set: ``added`` for new folders that nothing covers,
     ``skipped`` for covered ones, ``kept`` and ``absorbed`` for the folders there were. Each folder
-    meets its own ancestors only."""
-    key = lambda df: df.select("folder", folder_key("folder").alias("key")).dropDuplicates(["key"])
+    meets its own ancestors only. Folders are compared by ``folder_key``; with ``exact`` as they are
+    written, so that ``a/`` is a folder of its own below ``a`` and none is the root."""
+    form = F.col("folder") if exact else folder_key("folder")
+    root = [] if exact else [F.array(F.lit("."))]
+    key = lambda df: df.select("folder", form.alias("key")).dropDuplicates(["key"])
     old, candidates = key(includes), key(new)
     every = old.select("key").unionByName(candidates.select("key")).distinct()
-    above = lambda df: df.select("folder", "key", F.explode(F.concat(F.array(F.lit(".")), ancestors("key"))).alias("above"))
+    above = lambda df: df.select("folder", "key", F.explode(F.concat(*root, ancestors("key"))).alias("above"))
     covered_by = lambda df, by, strict: above(df).filter(F.col("above") != F.col("key") if strict else F.lit(True)).join(by.select(F.col("key").alias("above")), "above", "left_semi").select("key").distinct()
     by_old = covered_by(candidates, old, False)
     by_any = covered_by(candidates, every, True)

@@ -290,6 +290,13 @@ def test_cover_folders(spark):
     assert got == {"A": "added", "e": "added", "c/d": "skipped", "a/b": "absorbed", "c": "kept"}
 
 
+def test_cover_folders_as_written(spark):
+    """A folder written with a slash at its end lies below the same one without it."""
+    f = lambda *x: spark.createDataFrame([(i,) for i in x], "folder string")
+    got = dict(shown(reconcile.cover_folders(f("h/a", "h/b/", "h/b/c"), f("h/a/", "h/b", "h/d", "h/d/"), exact=True), "folder", "state"))
+    assert got == {"h/a": "kept", "h/a/": "skipped", "h/b": "added", "h/b/": "absorbed", "h/b/c": "absorbed", "h/d": "added", "h/d/": "skipped"}
+
+
 def test_bursts_of_one_folder_over_many_ranges(spark):
     """One folder and camera; stacks go on over the borders of ranges, whatever their number."""
     import random
