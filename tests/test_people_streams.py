@@ -129,3 +129,11 @@ def test_replayed_batch_changes_nothing(spark):
     for ck in ("one", "two"):  # a second checkpoint replays the same batch
         streams.ingest_stream(streams.read_stream(spark, f"{base}/in", "path string, size long, mtime long"), f"{base}/catalog", f"{base}/{ck}").awaitTermination()
     assert sorted((r["path"], r["version"]) for r in streams.catalog_table(spark, f"{base}/catalog").read().collect()) == [("a", 1), ("b", 1)]
+
+
+def test_matched_unit_goes_by_rank_over_all_units(spark):
+    """Every unit is a hit, and the ranks decide: for some assets a later unit of the same stream is the one to show."""
+    got = queries_search.search_matched_unit(spark, DATA).collect()
+    assert sum(len(r["units"].split(",")) for r in got) == spark.read.parquet(f"{DATA}/embeddings.parquet").count()
+    first = {r["asset_id"]: min((int(u) % 2, int(u)) for u in r["units"].split(","))[1] for r in got}
+    assert any(r["unit_id"] != first[r["asset_id"]] for r in got)
