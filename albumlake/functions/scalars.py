@@ -90,8 +90,10 @@ def parse_iso6709(c) -> Column:
     """(latitude, longitude, altitude) of a string like +55.7558+037.6173+151.0/ or null."""
     pattern = r"^([+-]\d+(?:\.\d+)?)([+-]\d+(?:\.\d+)?)([+-]\d+(?:\.\d+)?)?/?$"
     part = lambda i: F.regexp_extract(_col(c), pattern, i)
-    lat, lon = coordinate(part(1)), coordinate(part(2), latitude=False)
-    return F.when(lat.isNotNull() & lon.isNotNull(), F.struct(lat.alias("latitude"), lon.alias("longitude"), part(3).try_cast("double").alias("altitude")))
+    # The pattern leaves plain signed numbers, which a variable of a lambda holds so that each is extracted once.
+    numbers = F.array(*[part(i).try_cast("double") + 0.0 for i in (1, 2)], part(3).try_cast("double"))
+    fine = lambda n: (F.abs(n[0]) <= 90) & (F.abs(n[1]) <= 180)
+    return F.get(F.transform(F.array(numbers), lambda n: F.when(fine(n), F.struct(n[0].alias("latitude"), n[1].alias("longitude"), n[2].alias("altitude")))), 0)
 
 
 def capture_time(raw) -> Column:
