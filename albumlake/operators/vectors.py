@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -50,6 +52,10 @@ def _exact(v: np.ndarray, q: np.ndarray) -> np.ndarray:
     return total
 
 
+_SCORES = 1 << 20  # scores that a task has at a time
+_FOUND = 1 << 20  # rows that a task finds for its queries, about
+
+
 def _nearest(k: int):
     """The k best units of a block for each of a block's queries; ties go to the smaller unit."""
 
@@ -59,8 +65,9 @@ def _nearest(k: int):
             q, v = _matrix(asked.column("vector")), _matrix(units.column("vector"))
             order = np.asarray(pc.rank(units.column("unit_id"), tiebreaker="first")).astype(np.int64)
             most = min(k, len(v))
-            for at in range(0, len(q), 256):
-                score = q[at : at + 256] @ v.T
+            step = max(1, _SCORES // len(v))
+            for at in range(0, len(q), step):
+                score = q[at : at + step] @ v.T
                 least = np.partition(score, len(v) - most, axis=1)[:, len(v) - most] - 1e-9
                 for i, row in enumerate(score):
                     near = np.flatnonzero(row >= least[i])
@@ -75,8 +82,8 @@ def _nearest(k: int):
     return run
 
 
-def _meet(units: DataFrame, queries: DataFrame, run, out: tuple[str, ...], block: int, rows: int = 32768) -> DataFrame:
-    """(query_id, columns ``out`` of the units, score) of ``run`` over every block of queries and every block of units of the same cell, on executors.
+def _dealt(units: DataFrame, queries: DataFrame, block: int, rows: int) -> tuple[DataFrame, DataFrame, list[str]]:
+    """The queries, the units and the columns in which every block of queries meets every block of units of the same cell.
 
     Rows with a cell are dealt by the hash of their ids to blocks of about ``block`` queries and
     ``rows`` units; each travels once for every block of the other side. The sizes of the cells, one
@@ -94,7 +101,13 @@ def _meet(units: DataFrame, queries: DataFrame, run, out: tuple[str, ...], block
 
     sizes = counted(queries, block, "_q").join(counted(units, rows, "_u"), "cell")
     left, right = dealt(queries, "query_id", "_q", "_u", "_i", "_j"), dealt(units, "unit_id", "_u", "_q", "_j", "_i")
-    key, kind = ["cell", "_i", "_j"], dict(units.dtypes) | dict(queries.dtypes)
+    return left, right, ["cell", "_i", "_j"]
+
+
+def _meet(units: DataFrame, queries: DataFrame, run, out: tuple[str, ...], block: int, rows: int = 32768) -> DataFrame:
+    """(query_id, columns ``out`` of the units, score) of ``run`` over every block of queries and every block of units of the same cell, on executors."""
+    left, right, key = _dealt(units, queries, block, rows)
+    kind = dict(units.dtypes) | dict(queries.dtypes)
     schema = ", ".join(f"{n} {kind[n]}" for n in ("query_id", *out)) + ", score double"
     return left.groupBy(key).cogroup(right.groupBy(key)).applyInArrow(run, schema)
 
@@ -104,14 +117,14 @@ def _ranked(hits: DataFrame, k: int) -> DataFrame:
     return hits.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "unit_id", "asset_id", "score", "rank")
 
 
-def knn(units: DataFrame, queries: DataFrame, k: int, block: int = 8192) -> DataFrame:
+def knn(units: DataFrame, queries: DataFrame, k: int, block: int | None = None) -> DataFrame:
     """(query_id, unit_id, asset_id, score, rank) of the k nearest units of each query, exactly.
 
     Filter ``units`` first: ranking then sees only what is allowed. Any number of queries: blocks
     of them meet blocks of units as matrices, and each pair of blocks keeps its k best of a query
-    before the shuffle.
+    before the shuffle. A block has fewer queries where each gets many rows.
     """
-    whole = F.lit(0).alias("cell")
+    whole, block = F.lit(0).alias("cell"), block or max(1, min(8192, _FOUND // k))
     hits = _meet(units.select(whole, "unit_id", "asset_id", "vector"), queries.select(whole, "query_id", "vector"), _nearest(k), ("unit_id", "asset_id"), block)
     return _ranked(hits, k)
 
@@ -137,31 +150,37 @@ def face_match(faces: DataFrame, examples: DataFrame, threshold: float = 0.363,
     return scored.filter(F.col("score") >= threshold).select("person", "face_id", "asset_id", "score")
 
 
-def _reaching(threshold: float):
-    """All pairs of two blocks whose score reaches the threshold."""
-
-    def run(asked: pa.Table, units: pa.Table) -> pa.Table:
-        i = j = np.empty(0, np.int64)
-        score = np.empty(0)
-        if asked.num_rows and units.num_rows:
-            every = _matrix(asked.column("vector")) @ _matrix(units.column("vector")).T
-            i, j = np.nonzero(every >= threshold)
-            score = every[i, j]
-        columns = [asked.column("query_id").take(pa.array(i)), units.column("unit_id").take(pa.array(j)), pa.array(score)]
-        return pa.table(columns, names=["query_id", "unit_id", "score"])
-
-    return run
-
-
-def match_many(units: DataFrame, queries: DataFrame, threshold: float, block: int = 512) -> DataFrame:
-    """(query_id, unit_id, score) of all pairs at or above the threshold, for many queries.
-
-    Blocks of about ``block`` queries meet blocks of units as matrices on executors; nothing goes
-    through the driver, and the plan doesn't grow with the queries.
+def _reaching(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All pairs of a block's queries and units whose score reaches the query's ``least``, some queries at a time."""
+    both = pa.Table.from_batches(batches)
+    asked, units = both.filter(pc.is_valid(both.column("least"))), both.filter(pc.is_null(both.column("least")))
+    if not asked.num_rows or not units.num_rows:
+        return
+    q, v, least = _matrix(asked.column("vector")), _matrix(units.column("vector")), asked.column("least").to_numpy()
+    query, unit = asked.column("id").combine_chunks(), units.column("id").combine_chunks()
+    step = max(1, _SCORES // len(v))
+    for at in range(0, len(q), step):
+        every = q[at : at + step] @ v.T
+        i, j = np.nonzero(every >= least[at : at + step, None])
+        if len(i):
+            columns = [query.take(pa.array(at + i)), unit.take(pa.array(j)), pa.array(every[i, j])]
+            yield pa.RecordBatch.from_arrays(columns, names=["query_id", "unit_id", "score"])
+
+
+def match_many(units: DataFrame, queries: DataFrame, threshold: float | Column, block: int = 16384) -> DataFrame:
+    """(query_id, unit_id, score) of all pairs at or above the threshold, for many queries; it may be
+    an expression over the queries' columns.
+
+    Blocks of about ``block`` queries meet blocks of as many units as matrices on executors; nothing
+    goes through the driver, and the plan doesn't grow with the queries. A vector travels once for
+    each block of the other side, and a task holds the pairs of some of its queries at a time.
     """
-    whole = F.lit(0).alias("cell")
-    asked = queries.select(whole, "query_id", "vector")
-    return _meet(units.select(whole, "unit_id", "vector"), asked, _reaching(threshold), ("unit_id",), block, 4096)
+    whole, least = F.lit(0).alias("cell"), threshold if isinstance(threshold, Column) else F.lit(float(threshold))
+    asked = queries.select(whole, "query_id", "vector", least.cast("double").alias("least")).filter("least is not null")
+    left, right, key = _dealt(units.select(whole, "unit_id", "vector"), asked, block, block)
+    sides = left.withColumnRenamed("query_id", "id").unionByName(right.withColumnRenamed("unit_id", "id").withColumn("least", F.lit(None).cast("double")))
+    kind = dict(queries.dtypes)["query_id"], dict(units.dtypes)["unit_id"]
+    return sides.select(*key, "id", "vector", "least").groupBy(key).applyInArrow(_reaching, f"query_id {kind[0]}, unit_id {kind[1]}, score double")
 
 
 def best_per_asset(matches: DataFrame, key: str = "asset_id") -> DataFrame:
