@@ -27,6 +27,7 @@ ROW = "term string, block long, units array<long>, counts array<int>, lengths ar
 
 
 WORDS = 1_000_000  # Russian words up to which a batch's table of stems is broadcast
+TOKENS = 500_000  # tokens that a task counts, or postings that it sorts, about
 
 
 def stemmed(words: DataFrame, russian: DataFrame | None) -> DataFrame:
@@ -74,14 +75,16 @@ class TextIndex:
             gone.withColumn("_before", F.lit(len(segments))).write.parquet(f"{self.states.data}/{token}-dead")
             state |= {"dead": [*state["dead"], f"{token}-dead"], "dead_units": state["dead_units"] + old[0]}
         # Texts are dealt by block once; what follows is counted within a task up to the rows of the index.
-        tokens = texts.withColumn("block", F.floor(F.col("unit_id") / BLOCK)).repartition("block").select("unit_id", "block", F.regexp_extract_all("text", F.lit(TERM), F.lit(0)).alias("tokens"))
+        # As many tasks as the tokens need: left to itself, Spark would join small shuffle files to tasks of gigabytes of tokens.
+        dealt = texts.withColumn("block", F.floor(F.col("unit_id") / BLOCK)).repartition(max(1, -(-new[1] // TOKENS)), "block")
+        tokens = dealt.select("unit_id", "block", F.regexp_extract_all("text", F.lit(TERM), F.lit(0)).alias("tokens"))
         key = ["block", "unit_id", "length"]
         words = tokens.select("block", "unit_id", F.size("tokens").alias("length"), F.explode("tokens").alias("word")).groupBy(*key, "word").agg(F.count("*").cast("int").alias("count"))
         postings = stemmed(words, self._russian(texts, work))
         if self.stem:
             postings = postings.groupBy(*key, "term").agg(F.sum("count").cast("int").alias("count"))
         state |= {"units": state["units"] + new[0] - old[0], "total": state["total"] + new[1] - old[1]}
-        state["segments"] = [*segments, self._write(postings, token, state["units"])]
+        state["segments"] = [*segments, self._write(postings, token, new[1])]
         self.lengths.apply(gone, lambda held, ids: held.join(ids, "unit_id", "left_anti").unionByName(lengths), base=state.get("lengths", 0))
         state |= {"lengths": max(self.lengths.states.numbers()), "batch": state.get("batch", -1) if batch is None else batch}
         self._publish(number + 1, state)
@@ -101,12 +104,12 @@ class TextIndex:
         n = known.count()
         return None if not n else F.broadcast(known) if n <= WORDS else known
 
-    def _write(self, postings: DataFrame, token: str, units: int) -> dict:
-        """Postings (block, term, unit_id, count, length) as one segment; buckets of many units take several files."""
+    def _write(self, postings: DataFrame, token: str, tokens: int) -> dict:
+        """Postings (block, term, unit_id, count, length) of texts of so many tokens as one segment; large buckets take several files."""
         blocks = postings.groupBy("block", "term").agg(F.array_sort(F.collect_list(F.struct("unit_id", "count", "length"))).alias("p"))
         rows = blocks.select("term", "block", F.col("p.unit_id").alias("units"), F.col("p.count").alias("counts"), F.col("p.length").alias("lengths"), F.array_max("p.count").alias("max_count"), F.array_min("p.length").alias("min_length"), self.bucket().alias("bucket"))
-        files = max(1, units // 1_000_000)
-        rows = rows.repartition("bucket", F.pmod(F.xxhash64("block"), F.lit(files))).sortWithinPartitions("bucket", "term", "block")
+        files = max(1, -(-tokens // (self.buckets * TOKENS)))
+        rows = rows.repartition(max(1, min(self.buckets * files, -(-tokens // TOKENS))), "bucket", F.pmod(F.xxhash64("block"), F.lit(files))).sortWithinPartitions("bucket", "term", "block")
         rows.write.partitionBy("bucket").parquet(f"{self.states.data}/{token}")
         return {"token": token, "buckets": sorted(int(n[7:]) for n in self.states.names(f"data/{token}") if n.startswith("bucket="))}
 
@@ -114,7 +117,7 @@ class TextIndex:
         number, state = self.states.read()
         token = uuid.uuid4().hex
         living = self._living(state, self._rows(state, None))
-        state |= {"segments": [self._write(living.select("block", "term", "unit_id", "count", "length"), token, state["units"])], "dead": [], "dead_units": 0}
+        state |= {"segments": [self._write(living.select("block", "term", "unit_id", "count", "length"), token, state["total"])], "dead": [], "dead_units": 0}
         self._publish(number + 1, state)
 
     def _publish(self, number: int, state: dict) -> None:
