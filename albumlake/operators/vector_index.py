@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.states import States
-from .vectors import _matrix, _ranked, dot, knn
+from .vectors import _FOUND, _SCORES, _matrix, _ranked, dot, knn
 
 GROWTH = 1.25  # rows over those at the last build, before the index is built anew
 EXACT_AFTER = 1000  # ranks beyond this come from exact search
@@ -73,7 +73,7 @@ def _by_codes(scale: np.ndarray, k: int):
 
     def run(asked: pa.Table, units: pa.Table) -> pa.Table:
         found = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
-        order = np.empty(0, np.int64)
+        order, held = np.empty(0, np.int64), 0
         if asked.num_rows and units.num_rows:
             code = np.frombuffer(b"".join(units.column("code").to_pylist()), np.int8).reshape(units.num_rows, -1)
             q = (_matrix(asked.column("vector")) * (scale / 127)).astype(np.float32)
@@ -83,13 +83,16 @@ def _by_codes(scale: np.ndarray, k: int):
             for c in np.unique(cell):
                 own, asking = np.flatnonzero(cell == c), of[wanted == c]
                 rows, most = code[own].astype(np.float32), min(k, len(own))
-                for at in range(0, len(asking), 256):
-                    score = q[asking[at : at + 256]] @ rows.T
+                step = max(1, _SCORES // len(own))
+                for at in range(0, len(asking), step):
+                    score = q[asking[at : at + step]] @ rows.T
                     least = np.partition(score, len(own) - most, axis=1)[:, len(own) - most]
                     i, j = np.nonzero(score >= least[:, None])
                     found.append((asking[at + i], own[j], score[i, j].astype(np.float64)))
-                if len(found) > 64:  # what earlier cells gave is cut down now and then
-                    found = [_best(*map(np.concatenate, zip(*found)), order, k)]
+                    held += len(i)
+                    if held > 2 * _FOUND:  # what earlier cells gave is cut down by its size
+                        found = [_best(*map(np.concatenate, zip(*found)), order, k)]
+                        held = len(found[0][0])
         query, unit, score = _best(*map(np.concatenate, zip(*found)), order, k)
         return pa.table([asked.column("query_id").take(pa.array(query)), units.column("unit_id").take(pa.array(unit)), pa.array(score)], names=["query_id", "unit_id", "score"])
 
@@ -221,7 +224,7 @@ class VectorIndex:
         exact = few.join(rows.select("unit_id", "asset_id", "vector"), "unit_id").join(queries.select("query_id", F.col("vector").alias("_q")), "query_id")
         return _ranked(exact.select("query_id", "unit_id", "asset_id", dot("vector", "_q").alias("score")), k)
 
-    def _near(self, units: DataFrame, asked: DataFrame, scale: np.ndarray, k: int, rows: int = 1 << 17, block: int = 8192) -> DataFrame:
+    def _near(self, units: DataFrame, asked: DataFrame, scale: np.ndarray, k: int, rows: int = 1 << 17) -> DataFrame:
         """(query_id, unit_id, score): the ``k`` best units of each query by code in every shard. A shard
         has whole cells, or a part of a cell of more than ``rows`` units, and meets blocks of queries."""
         counts = {r["cell"]: r["count"] for r in units.groupBy("cell").count().collect()}  # a row for each cell
@@ -234,7 +237,7 @@ class VectorIndex:
             sizes[shard] += counts[c] // several
             held.append((c, several, i, shard))
         held = F.broadcast(self.spark.createDataFrame(held, "cell int, parts int, part int, shard int"))  # as many rows as cells, and parts of large ones
-        blocks = max(1, -(-n // block))
+        blocks = max(1, -(-n // max(1, min(8192, _FOUND // k))))
         here = units.join(held, "cell").filter(F.pmod(F.xxhash64("unit_id", F.lit(17)), F.col("parts")) == F.col("part"))
         here = here.select("shard", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "unit_id", "code", "cell")
         there = asked.join(held, "cell").groupBy("shard", "query_id").agg(F.collect_set("cell").alias("cells"), F.first("vector").alias("vector"))
