@@ -59,16 +59,18 @@ class JobKeeper(StatefulProcessor):
 
     def _set(self, job: Job, before: Job) -> None:
         self.state.update(tuple(job))
-        if (job.status, job.seen) != (before.status, before.seen) or job.status != "running":
-            for t in self.handle.listTimers():
-                self.handle.deleteTimer(t)
-            if job.status == "running":
-                self.handle.registerTimer(job.seen + self.silence + 1)
+        if (job.status, job.seen) == (before.status, before.seen):
+            return
+        if before.status == "running":  # its timer is told by its state
+            self.handle.deleteTimer(before.seen + self.silence + 1)
+        if job.status == "running":
+            self.handle.registerTimer(job.seen + self.silence + 1)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        before = job = Job(*self.state.get()) if self.state.exists() else Job()
-        events = pd.concat(rows).sort_values(["ms", "seq"])  # what one micro-batch has of one job
-        for event, version, ms in zip(events["event"], events["version"], events["ms"]):
+        known = self.state.get()
+        before = job = Job(*known) if known is not None else Job()
+        events = sorted(e for part in rows for e in zip(*(part[c].tolist() for c in ("ms", "seq", "event", "version"))))  # what one micro-batch has of one job
+        for ms, _, event, version in events:
             job = step(job, event, int(version), int(ms), self.silence)
         job = job._replace(revision=before.revision + 1)
         self._set(job, before)
