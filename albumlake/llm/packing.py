@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, slices, text_or_empty
+from .common import materialize, pieces, text_or_empty
 
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -44,7 +44,7 @@ class WordIds(dict):
     that differ by case share a row. Key "\\n", which is no word, is the end of a document.
     """
 
-    def __init__(self, content: str, end_id: int, limit: int = 500_000):
+    def __init__(self, content: str, end_id: int, limit: int = 200_000):
         from tokenizers import Tokenizer
 
         super().__init__()
@@ -127,7 +127,7 @@ def _pieces(tokenizer_json: str, end_id: int, size: int):
     def run(batches):
         memo = worker_memo(tokenizer_json, end_id)
         for batch in batches:
-            for part in slices(batch, 500):
+            for part in pieces(batch, size=1 << 20, rows=500):
                 ids, n = memo.texts([t or "" for t in part.column("text").to_pylist()])
                 data, start, rows = memoryview(ids).cast("B"), 0, []
                 for d, m in zip(part.column("doc_id").to_pylist(), n.tolist()):
